@@ -16,7 +16,9 @@ def published_at(text: Column | str) -> Column:
 
 def age_days(published: Column | str, as_of: Column) -> Column:
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col(published))
-    return F.greatest(F.lit(0).cast("long"), F.floor(micros / F.lit(86_400_000_000)).cast("long"))
+    days = F.greatest(F.lit(0).cast("long"), F.floor(micros / F.lit(86_400_000_000)).cast("long"))
+    # greatest() skips nulls, an unknown date must stay unknown
+    return F.when(col(published).isNotNull(), days)
 
 
 def bucket(age: Column | str) -> Column:

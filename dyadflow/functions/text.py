@@ -100,7 +100,7 @@ def safe_filename(value: Column | str) -> Column:
 
 
 def dollars(value: Column | str) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.4f", col(value).cast("double")))
+    return F.concat(F.lit("$"), F.format_string("%.4f", F.bround(col(value).cast("double"), 4)))
 
 
 def redact(message: Column | str, secret: Column | str) -> Column:

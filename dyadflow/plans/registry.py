@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dyadflow.plans import prediction
+from dyadflow.plans import evidence, ingestion, prediction
 
-_PLANS = (prediction,)
+_PLANS = (prediction, evidence, ingestion)
 
 QUERIES = {name: fn for plan in _PLANS for name, fn in plan.QUERIES.items()}
 ORACLE = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

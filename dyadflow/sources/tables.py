@@ -8,15 +8,11 @@ from pyspark.sql import types as T
 from dyadflow.functions import vocab
 
 
-def _schema(ddl: str, **enums: list[str]) -> T.StructType:
-    fields = []
-    for field in T.StructType.fromDDL(ddl).fields:
-        metadata = {"enum": enums[field.name]} if field.name in enums else {}
-        fields.append(T.StructField(field.name, field.dataType, field.nullable, metadata))
-    return T.StructType(fields)
+def _schema(ddl: str, **enums: list[str]) -> tuple[str, dict[str, list[str]]]:
+    return ddl, enums
 
 
-SCHEMAS: dict[str, T.StructType] = {
+_CONTRACTS = {
     "athletes": _schema("athlete_id long not null, canonical_name string not null"),
     "events": _schema(
         "event_id long not null, slug string not null, promoter string not null, "
@@ -73,8 +69,19 @@ KEYS: dict[str, list[str]] = {
 }
 
 
+def schema(name: str) -> T.StructType:
+    """Schema of a canonical table; enumerations are in the fields' metadata."""
+    ddl, enums = _CONTRACTS[name]
+    return T.StructType(
+        [
+            T.StructField(f.name, f.dataType, f.nullable, {"enum": enums[f.name]} if f.name in enums else {})
+            for f in T.StructType.fromDDL(ddl).fields
+        ]
+    )
+
+
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(path)
+    return spark.read.schema(schema(name)).parquet(path)
 
 
 def read_jdbc_table(spark: SparkSession, name: str, url: str, split_on: str, bounds: tuple[int, int], parts: int) -> DataFrame:
