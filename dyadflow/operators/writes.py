@@ -24,13 +24,14 @@ def latest(updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Replace by key, last update wins; rows of other keys stay."""
     newest = latest(updates, keys, seq).drop(*([] if seq in base.columns else [seq]))
-    return base.join(newest.select(*keys), list(keys), "left_anti").unionByName(newest)
+    kept = base.join(newest.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(newest).select(*base.columns)
 
 
 def insert_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add rows whose key is not there yet, once each."""
     fresh = rows.join(base.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
-    return base.unionByName(fresh)
+    return base.unionByName(fresh).select(*base.columns)
 
 
 def upsert_extractions(base: DataFrame, updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:

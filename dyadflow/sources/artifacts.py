@@ -43,8 +43,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
     parts = F.split(F.url_decode(stem), "__")
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             F.get(parts, 0).alias("video_id"),
             F.get(parts, 1).alias("model"),

@@ -33,7 +33,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def check_header(spark: SparkSession, path: str) -> None:
     """Compare the first line of each file with the expected header before anything is parsed."""
     expected = ",".join(vocab.RESULT_COLUMNS)
-    lines = spark.read.option("wholetext", False).text(path).select(
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("n"),
