@@ -14,14 +14,17 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+WHITESPACE = " \t\n\v\f\r\u0085\u00a0"
+
+
 def slugify(value: Column | str) -> Column:
     return F.btrim(F.regexp_replace(F.lower(col(value)), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def base_natural_key(event_slug, name_a, name_b, arm) -> Column:
     """``event:slug:slug:arm`` with the two athlete slugs in sorted order."""
-    slugs = F.array_sort(F.array(slugify(name_a), slugify(name_b)))
-    return F.concat_ws(":", col(event_slug), F.array_join(slugs, ":"), col(arm))
+    a, b = slugify(name_a), slugify(name_b)
+    return F.concat_ws(":", col(event_slug), F.least(a, b), F.greatest(a, b), col(arm))
 
 
 def timestamp_seconds(value: Column | str) -> Column:

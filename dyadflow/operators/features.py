@@ -125,7 +125,12 @@ def with_default_ratings(features: DataFrame, default_ratings: DataFrame | None)
     return features
 
 
-def _event_state(matches: DataFrame, max_rows_per_task: int | None) -> DataFrame:
+def event_count(matches: DataFrame) -> int:
+    """Number of events, which bounds the rows of anything reduced to one row per event."""
+    return matches.agg(F.count_distinct(*EVENT_ORDER)).first()[0]
+
+
+def _event_state(matches: DataFrame, max_rows_per_task: int | None, n_events: int) -> DataFrame:
     """State of every athlete before each event they take part in.
 
     Matches are first reduced to one row per athlete and event, and to the last five of each
@@ -149,6 +154,7 @@ def _event_state(matches: DataFrame, max_rows_per_task: int | None) -> DataFrame
         sums={"_before": "_n", "_before_wins": "_wins"},
         last={"_tails": LastK(("_tail",), K)},
         max_rows_per_task=max_rows_per_task,
+        group_bound=n_events,
     )
     merged = F.flatten(F.col("_tails")["_tail"])
     start = F.greatest(F.size(merged) - F.lit(K - 1), F.lit(1))
@@ -160,15 +166,17 @@ def _event_state(matches: DataFrame, max_rows_per_task: int | None) -> DataFrame
 def cutoff_features(matches: DataFrame, max_rows_per_task: int | None = None) -> DataFrame:
     """Feature row per match as of the state before its event."""
     keep = ("arm", "weight_class", "result_a")
+    n_events = event_count(matches)
     pair_events = running_before(
         matches.groupBy(*PAIR, *EVENT_ORDER).agg(F.sum(_sign()).alias("_diff")),
         PAIR, EVENT_ORDER,
         sums={"head_to_head_diff": "_diff"},
         max_rows_per_task=max_rows_per_task,
+        group_bound=n_events,
     ).drop("_diff")
     with_pair = matches.join(pair_events, [*PAIR, *EVENT_ORDER])
     long = sides(with_pair, *keep, "head_to_head_diff").join(
-        _event_state(matches, max_rows_per_task), ["athlete_id", *EVENT_ORDER]
+        _event_state(matches, max_rows_per_task, n_events), ["athlete_id", *EVENT_ORDER]
     )
     last = F.col("_last")
     valued = long.select(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dyadflow.operators.features import EVENT_ORDER
 from dyadflow.operators.running import ordinal, running_before
+from dyadflow.staging import stage
 
 
 def rolling_origin(
@@ -31,7 +32,8 @@ def rolling_origin(
     if excluded is not None:
         eligible = eligible.join(excluded.select("event_id").distinct(), "event_id", "left_anti")
     sizes = matches.groupBy("event_id").agg(F.count(F.lit(1)).alias("test_count"))
-    sized = eligible.join(sizes, "event_id", "left").fillna({"test_count": 0})
+    # one row per event, read several times below
+    sized = stage(eligible.join(sizes, "event_id", "left").fillna({"test_count": 0}), "events")
     placed = running_before(
         sized, [], EVENT_ORDER,
         sums={"position": F.lit(1), "train_count": "test_count"},

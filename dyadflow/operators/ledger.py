@@ -63,7 +63,6 @@ def prediction_problems(rows: DataFrame) -> DataFrame:
 
 def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
     """Input row per (fold, role, match) of a rating model; only training rows carry the outcome."""
-    won = F.when(F.col("role") == "train", (F.col("result_a") == "win").cast("string"))
     fields = {
         "match_id": F.col("match_id"),
         "scheduled_at": F.date_format("scheduled_at", "yyyy-MM-dd HH:mm:ss"),
@@ -71,13 +70,22 @@ def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
         "athlete_a_id": F.col("athlete_a_id"),
         "athlete_b_id": F.col("athlete_b_id"),
         "missingness": F.lit("not_applicable"),
-        "athlete_a_won": won,
     }
-    payload = canonical(fields)
-    return members.join(matches, "match_id").select(
-        "fold_index", "role", "match_id", payload.alias("payload"),
-        F.sha2(payload, 256).alias("payload_sha256"),
+    won = {"train": (F.col("result_a") == "win").cast("string"), "test": F.lit(None).cast("string")}
+    per_role = matches.select(
+        "match_id",
+        F.explode(
+            F.array(*[
+                F.struct(F.lit(role).alias("role"), canonical(fields | {"athlete_a_won": w}).alias("payload"))
+                for role, w in won.items()
+            ])
+        ).alias("p"),
+    )
+    # a training row reads the same in every fold, so it is built and hashed once per match
+    hashed = per_role.select(
+        "match_id", "p.role", "p.payload", F.sha2("p.payload", 256).alias("payload_sha256")
     )
+    return members.select("fold_index", "role", "match_id").join(hashed, ["match_id", "role"])
 
 
 def history_payloads(rows: DataFrame, role: str) -> DataFrame:
@@ -107,16 +115,16 @@ def manifest(payloads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     Digest pieces are added up, so the result does not depend on row order and every task sends
     one partial sum instead of its list of hashes.
     """
-    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 12 * i, 12), 16, 10).cast(
-        "decimal(38,0)"
+    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast(
+        "decimal(20,0)"
     )
     summed = payloads.groupBy(*by).agg(
         F.count(F.lit(1)).alias("feature_rows"),
         F.count_if(F.col("role") == "train").alias("train_rows"),
         F.count_if(F.col("role") == "test").alias("test_rows"),
-        *[F.sum(piece(i)).alias(f"_p{i}") for i in range(5)],
+        *[F.sum(piece(i)).alias(f"_p{i}") for i in range(2)],
     )
-    text = F.concat_ws("|", "feature_rows", *[F.col(f"_p{i}").cast("string") for i in range(5)])
+    text = F.concat_ws("|", "feature_rows", *[F.col(f"_p{i}").cast("string") for i in range(2)])
     return summed.select(
         *by, "feature_rows", "train_rows", "test_rows", F.sha2(text, 256).alias("manifest_sha256")
     )

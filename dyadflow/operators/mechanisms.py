@@ -41,16 +41,39 @@ def mechanism_nodes(atoms: DataFrame, tokens: Mapping[str, Sequence[str]]) -> Da
         normalize_actor("actor", tokens).alias("actor"),
         _or("action", "unknown action").alias("action"),
         _or("lane", "unknown lane").alias("lane"),
-        "evidence_index", "current_form_usable",
-        F.struct("evidence_index", "atom_id").alias("_seq"),
+        "evidence_index", "atom_id", "current_form_usable",
         _or("confidence", "unknown").alias("confidence"),
     )
-    return keyed.groupBy("actor", "action", "lane").agg(
-        F.count_distinct("evidence_index").alias("claim_count"),
-        F.count_if("current_form_usable").alias("current_usable_count"),
-        F.min_by("confidence", "_seq").alias("confidence"),
-        F.min("_seq").alias("first_seen"),
+    key = ["actor", "action", "lane"]
+    counted = _count_claims(keyed, key, {"current_usable_count": "current_form_usable"})
+    return _with_first(counted, keyed, key, ["confidence"])
+
+
+def _count_claims(rows: DataFrame, key: Sequence[str], flags: Mapping[str, str]) -> DataFrame:
+    """Rows, flagged rows, distinct claims and first claim per key, in hash aggregations only."""
+    per_claim = rows.groupBy(*key, "evidence_index").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(c).alias(n) for n, c in flags.items()]
+    )
+    return per_claim.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("claim_count"),
+        F.sum("_rows").alias("atom_count"),
+        *[F.sum(n).alias(n) for n in flags],
+        F.min("evidence_index").alias("_first"),
+    )
+
+
+def _with_first(
+    counted: DataFrame, rows: DataFrame, key: Sequence[str], columns: Sequence[str]
+) -> DataFrame:
+    """Add column values of the first atom of each key; only atoms of first claims are compared."""
+    first = rows.join(
+        counted.select(*key, F.col("_first").alias("evidence_index")), [*key, "evidence_index"], "left_semi"
+    )
+    order = F.struct("evidence_index", "atom_id")
+    values = first.groupBy(*key).agg(
+        *[F.min_by(c, order).alias(c) for c in columns], F.min(order).alias("first_seen")
     )
+    return counted.drop("_first").join(values, list(key))
 
 
 def node_claims(atoms: DataFrame, tokens: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -67,18 +90,16 @@ def move_counts(atoms: DataFrame, token_a: str, token_b: str) -> DataFrame:
     """Moves per side bucket (a, b or shared) keyed by the raw actor and action."""
     side = leans(F.coalesce("actor", F.lit("")), token_a, token_b)
     bucketed = atoms.select(
-        F.when(side == "even", "shared").otherwise(side).alias("bucket"), "actor",
-        F.col("action").alias("_action"), _or("lane", "unknown").alias("lane"), "evidence_index",
-        F.struct("evidence_index", "atom_id").alias("_seq"),
+        F.when(side == "even", "shared").otherwise(side).alias("bucket"),
+        F.coalesce("actor", F.lit("")).alias("actor"),
+        F.coalesce("action", F.lit("")).alias("_action"), _or("lane", "unknown").alias("lane"),
+        "evidence_index", "atom_id",
     )
-    return bucketed.groupBy("bucket", "actor", F.col("_action")).agg(
-        F.count(F.lit(1)).alias("moves"),
-        F.count_distinct("evidence_index").alias("claim_count"),
-        F.min_by("lane", "_seq").alias("lane"),
-        F.min("_seq").alias("first_seen"),
-    ).select(
-        "bucket", "actor", _or("_action", "unspecified").alias("move"), "lane", "moves",
-        "claim_count", "first_seen",
+    key = ["bucket", "actor", "_action"]
+    counted = _count_claims(bucketed, key, {})
+    return _with_first(counted, bucketed, key, ["lane"]).select(
+        "bucket", "actor", _or("_action", "unspecified").alias("move"), "lane",
+        F.col("atom_count").alias("moves"), "claim_count", "first_seen",
     )
 
 

@@ -44,11 +44,13 @@ def running_before(
     maxes: Mapping[str, str | Column] | None = None,
     last: Mapping[str, LastK] | None = None,
     max_rows_per_task: int | None = None,
+    group_bound: int | None = None,
 ) -> DataFrame:
     """Append running aggregates over the rows strictly before each row of its key.
 
     ``order`` must be unique within a key. Missing history gives 0 for sums, null for maxima and
-    an empty array for ``last``.
+    an empty array for ``last``. ``group_bound`` is an upper limit on the rows of any key where
+    the caller knows one; it saves the measurement.
     """
     sums, maxes, last = dict(sums or {}), dict(maxes or {}), dict(last or {})
     limit = MAX_ROWS_PER_TASK if max_rows_per_task is None else max_rows_per_task
@@ -58,7 +60,8 @@ def running_before(
         *[F.struct(*spec.fields).alias(f"_in_{n}") for n, spec in last.items()],
     )
     dropped = [f"_in_{n}" for n in (*sums, *maxes, *last)]
-    if largest_group(df, keys) <= limit:
+    largest = largest_group(df, keys) if group_bound is None or group_bound > limit else group_bound
+    if largest <= limit:
         return _local(inputs, keys, order, sums, maxes, last).drop(*dropped)
     return _chunked(inputs, keys, order, sums, maxes, last, limit).drop(*dropped, "_chunk")
 

@@ -17,7 +17,7 @@ def collect_problems(rules: Sequence[tuple[Column, Column | str]]) -> Column:
         F.when(violated, message if isinstance(message, Column) else F.lit(message))
         for violated, message in rules
     ]
-    return F.array_sort(F.array_compact(F.array(*found)))
+    return F.sort_array(F.array_compact(F.array(*found)))
 
 
 def accepted(rows: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def validate_results(rows: DataFrame) -> DataFrame:
     Sides may meet again on one day only with distinct bout minutes, which then become part of the
     scheduled time. That rule looks at the rows that are otherwise fine.
     """
-    c = {n: F.coalesce(F.regexp_replace(n, r"^\s+|\s+$", ""), F.lit("")) for n in vocab.RESULT_COLUMNS}
+    c = {n: F.coalesce(F.btrim(n, F.lit(text.WHITESPACE)), F.lit("")) for n in vocab.RESULT_COLUMNS}
     clean = rows.select(
         *[x for x in rows.columns if x not in c], *[v.alias(n) for n, v in c.items()]
     )
@@ -94,9 +94,12 @@ def validate_results(rows: DataFrame) -> DataFrame:
     checked = typed.withColumn("problems", collect_problems(rules)).withColumn(
         "_bout", F.coalesce("_bout", F.lit(0))
     )
-    names = F.array_sort(F.array(F.lower("athlete_a"), F.lower("athlete_b")))
+    first, second = F.lower("athlete_a"), F.lower("athlete_b")
     keyed = checked.withColumn(
-        "_meeting", F.concat_ws("|", "event_slug", "arm", F.array_join(names, ":"), "event_date")
+        "_meeting",
+        F.concat_ws(
+            "|", "event_slug", "arm", F.least(first, second), F.greatest(first, second), "event_date"
+        ),
     )
     repeated = (
         keyed.where(F.size("problems") == 0)

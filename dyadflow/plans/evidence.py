@@ -941,7 +941,7 @@ def atoms(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def mechanism_nodes(spark, sf):
-    return mech.mechanism_nodes(atoms(spark, sf), TOKENS).drop("first_seen")
+    return mech.mechanism_nodes(atoms(spark, sf), TOKENS).drop("first_seen", "atom_count")
 
 
 @query(

@@ -958,7 +958,7 @@ def rating_payloads(spark, sf):
 
 
 _PIECES = ", ".join(
-    f"sum(('0x' || substr(payload_sha256, {1 + 12 * i}, 12))::BIGINT) AS p{i}" for i in range(5)
+    f"sum(('0x' || substr(payload_sha256, {1 + 15 * i}, 15))::BIGINT) AS p{i}" for i in range(2)
 )
 
 
@@ -966,7 +966,7 @@ _PIECES = ", ".join(
     "manifest_hash",
     with_ctes(
         f"""SELECT fold_index, feature_rows, train_rows, test_rows,
-  sha256(concat_ws('|', feature_rows, p0, p1, p2, p3, p4)) AS manifest_sha256
+  sha256(concat_ws('|', feature_rows, p0, p1)) AS manifest_sha256
 FROM (SELECT fold_index, count(*) AS feature_rows, count(*) FILTER (WHERE role = 'train') AS train_rows,
     count(*) FILTER (WHERE role = 'test') AS test_rows, {_PIECES} FROM hashed GROUP BY 1)""",
         DYADS, FOLDS, MEMBERS, _PAYLOADS,
