@@ -22,14 +22,6 @@ class Seeds:
     targets: tuple[str, str]
 
 
-def _points(hits: Sequence[tuple[Column, int, str]]) -> tuple[Column, Column]:
-    score = F.lit(0)
-    for hit, points, _ in hits:
-        score = score + F.when(hit, points).otherwise(0)
-    reasons = F.array_compact(F.array(*[F.when(hit, F.lit(reason)) for hit, _, reason in hits]))
-    return score, reasons
-
-
 def score_sources(rows: DataFrame, seeds: Seeds) -> DataFrame:
     """Append ``score`` and ``score_reasons`` (title, description, channel, caption, view_count)."""
     lower = lambda n: F.lower(F.coalesce(n, F.lit("")))
@@ -52,8 +44,16 @@ def score_sources(rows: DataFrame, seeds: Seeds) -> DataFrame:
         (F.coalesce(F.col("caption") == "true", F.lit(False)), 1, "caption flag true"),
         (F.coalesce(F.col("view_count") > 10_000, F.lit(False)), 1, "10k+ views"),
     ]
-    score, reasons = _points(hits)
-    return prepared.select(*rows.columns, score.alias("score"), reasons.alias("score_reasons"))
+    # each test runs once; points and reason travel together
+    found = F.array(
+        *[F.when(h, F.struct(F.lit(p).alias("points"), F.lit(r).alias("reason"))) for h, p, r in hits]
+    )
+    scored = prepared.select(*rows.columns, F.array_compact(found).alias("_hits"))
+    return scored.select(
+        *rows.columns,
+        F.aggregate("_hits", F.lit(0), lambda total, h: total + h["points"]).alias("score"),
+        F.col("_hits")["reason"].alias("score_reasons"),
+    )
 
 
 def rank_sources(scored: DataFrame, max_rows_per_task: int | None = None) -> DataFrame:
@@ -71,18 +71,26 @@ def classify_sources(rows: DataFrame, targets: tuple[str, str], style_phrase: st
         "_text", F.concat_ws(" ", lower("title"), lower("description"))
     ).withColumn("duration_seconds", text.iso_duration_seconds("duration"))
     has = lambda *terms: text.contains_any("_text", terms)
-    short = (F.col("duration_seconds") <= 45) & has("stage walk", "walkout", "edit", "short")
-    cancelled = has("cancelled", "canceled")
-    direct = has(targets[0]) & has(targets[1])
-    style = ~direct & has(style_phrase) & ~has(targets[1])
+    flagged = prepared.withColumns(
+        {
+            "_short": (F.col("duration_seconds") <= 45) & has("stage walk", "walkout", "edit", "short"),
+            "_cancelled": has("cancelled", "canceled"),
+            "_direct": has(targets[0]) & has(targets[1]),
+            "_style": has(style_phrase) & ~has(targets[1]),
+            "_language": has("prediction", "predict", "analysis", "breakdown"),
+            "_right": has("right hand", "right arm"),
+        }
+    )
+    short, cancelled, direct = F.col("_short"), F.col("_cancelled"), F.col("_direct")
+    style = ~direct & F.col("_style")
     reasons = F.array_compact(
         F.array(
             F.when(short, F.lit("very short stage-walk/edit/short-style video")),
             F.when(cancelled, F.lit("cancellation/replacement news")),
             F.when(direct, F.lit("mentions both target athletes")),
             F.when(style, F.lit("style context, not the direct matchup")),
-            F.when(has("prediction", "predict", "analysis", "breakdown"), F.lit("analysis/prediction language")),
-            F.when(has("right hand", "right arm"), F.lit("right-hand/right-arm signal")),
+            F.when(F.col("_language"), F.lit("analysis/prediction language")),
+            F.when(F.col("_right"), F.lit("right-hand/right-arm signal")),
             F.when(F.col("duration_seconds") >= 600, F.lit("long-form or match-length source")),
         )
     )
@@ -94,7 +102,7 @@ def classify_sources(rows: DataFrame, targets: tuple[str, str], style_phrase: st
         .otherwise("review")
     )
     none = F.array(F.lit("ambiguous; keep for review"))
-    return prepared.select(
+    return flagged.select(
         *rows.columns, "duration_seconds", category.alias("filter_category"),
         (short | cancelled).alias("exclude_high_confidence"),
         F.when(F.size(reasons) == 0, none).otherwise(reasons).alias("filter_reasons"),

@@ -188,9 +188,13 @@ def result_submission_problems(rows: DataFrame) -> DataFrame:
     return rows.withColumn("problems", collect_problems(rules))
 
 
-def _flag(rows: DataFrame, condition: Column, message: Column | str) -> DataFrame:
-    text_ = message if isinstance(message, Column) else F.lit(message)
-    return rows.where(condition).select("batch_key", text_.alias("problem"))
+def _row_problems(rows: DataFrame, rules: Sequence[tuple[Column, Column | str]]) -> DataFrame:
+    found = rows.select("batch_key", F.explode(collect_problems(rules)).alias("problem"))
+    return found.distinct()
+
+
+def _blank(*names: str) -> Column:
+    return _any([F.coalesce(F.col(n), F.lit("")) == "" for n in names])
 
 
 def evidence_problems(
@@ -198,84 +202,96 @@ def evidence_problems(
 ) -> DataFrame:
     """Every problem of evidence batches as (batch_key, problem) rows.
 
-    The four parts of a batch are tables keyed by ``batch_key``; references between them are
-    checked by anti-joins, so a huge batch is spread over the cluster like any other rows.
+    The four parts of a batch are tables keyed by ``batch_key``. Each is read once for its own
+    rules; references between them are anti-joins, so a huge batch is spread over the cluster like
+    any other rows.
     """
-    blank = lambda *names: F.lit(False) if not names else _any([F.coalesce(F.col(n), F.lit("")) == "" for n in names])
-    out = [
-        _flag(
+    source_fields = ("key", "source_type", "external_id", "url")
+    extraction_fields = ("key", "source_key", "provider", "model", "prompt_version")
+    failed, completed = F.col("status") == "failed", F.col("status") == "completed"
+    has_error = F.col("error_message").isNotNull()
+    own = [
+        _row_problems(
             submissions,
-            ~F.col("schema_version").eqNullSafe(F.lit(vocab.EVIDENCE_SCHEMA_VERSION)),
-            "unsupported evidence submission schema version",
+            [
+                (
+                    ~F.col("schema_version").eqNullSafe(F.lit(vocab.EVIDENCE_SCHEMA_VERSION)),
+                    "unsupported evidence submission schema version",
+                ),
+                (
+                    _blank("batch_key", "match_natural_key"),
+                    "evidence submission requires batch key and match natural key",
+                ),
+            ],
         ),
-        _flag(
-            submissions, blank("batch_key", "match_natural_key"),
-            "evidence submission requires batch key and match natural key",
+        _row_problems(
+            sources,
+            [(_blank(*source_fields), "sources require key, type, external ID, and URL")],
         ),
-        _flag(
-            sources, blank("key", "source_type", "external_id", "url"),
-            "sources require key, type, external ID, and URL",
-        ),
-        _flag(
+        _row_problems(
             extractions,
-            blank("key", "source_key", "provider", "model", "prompt_version")
-            | F.col("extracted_at").isNull(),
-            "extractions require key, source, provider, model, prompt version, and extracted-at",
-        ),
-        _flag(
-            extractions, ~F.coalesce("status", F.lit("")).isin("completed", "failed"),
-            "extraction status must be completed or failed",
-        ),
-        _flag(
-            extractions, (F.col("status") == "failed") & F.col("error_message").isNull(),
-            "failed extraction requires an error message",
-        ),
-        _flag(
-            extractions, (F.col("status") == "completed") & F.col("error_message").isNotNull(),
-            "completed extraction cannot contain an error message",
-        ),
-        _flag(
-            claims, blank("source_key", "text") | F.col("extracted_at").isNull(),
-            "claim requires source, text, and extracted-at",
+            [
+                (
+                    _blank(*extraction_fields) | F.col("extracted_at").isNull(),
+                    "extractions require key, source, provider, model, prompt version, and extracted-at",
+                ),
+                (
+                    ~F.coalesce("status", F.lit("")).isin("completed", "failed"),
+                    "extraction status must be completed or failed",
+                ),
+                (failed & ~has_error, "failed extraction requires an error message"),
+                (completed & has_error, "completed extraction cannot contain an error message"),
+            ],
         ),
-        _flag(
-            claims, F.coalesce(F.size("subject_names"), F.lit(0)) <= 0,
-            "claim requires at least one subject",
+        _row_problems(
+            claims,
+            [
+                (
+                    _blank("source_key", "text") | F.col("extracted_at").isNull(),
+                    "claim requires source, text, and extracted-at",
+                ),
+                (
+                    F.coalesce(F.size("subject_names"), F.lit(0)) <= 0,
+                    "claim requires at least one subject",
+                ),
+            ],
         ),
     ]
-    for part, what in ((sources, "source"), (extractions, "extraction")):
-        repeated = part.groupBy("batch_key", "key").agg(F.count(F.lit(1)).alias("_n"))
-        out.append(
-            _flag(repeated, F.col("_n") > 1, F.concat(F.lit(f"duplicate {what} key: "), "key"))
-        )
-    complete_sources = sources.where(~blank("key", "source_type", "external_id", "url")).select(
-        "batch_key", F.col("key").alias("source_key")
+    say = lambda rows, message, c: rows.select(
+        "batch_key", F.concat(F.lit(message), c).alias("problem")
     )
+    complete_sources = sources.where(~_blank(*source_fields))
+    between = []
+    for part, what in ((complete_sources, "source"), (extractions, "extraction")):
+        repeated = part.groupBy("batch_key", "key").agg(F.count(F.lit(1)).alias("_n"))
+        between.append(say(repeated.where("_n > 1"), f"duplicate {what} key: ", "key"))
+    known_sources = complete_sources.select("batch_key", F.col("key").alias("source_key")).distinct()
     for part, what in ((extractions, "extraction"), (claims, "claim")):
-        dangling = part.join(complete_sources, ["batch_key", "source_key"], "left_anti")
-        out.append(
-            _flag(dangling, F.lit(True), F.concat(F.lit(f"{what} references unknown source: "), "source_key"))
-        )
-    used = claims.where(F.coalesce("extraction_key", F.lit("")) != "")
+        cited = part.select("batch_key", "source_key").distinct()
+        dangling = cited.join(known_sources, ["batch_key", "source_key"], "left_anti")
+        between.append(say(dangling, f"{what} references unknown source: ", "source_key"))
     known = extractions.groupBy("batch_key", F.col("key").alias("extraction_key")).agg(
-        F.max_by("status", "source_key").alias("_status"), F.max("source_key").alias("_source")
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by("status", "source_key").alias("_status"),
+        F.max("source_key").alias("_source"),
     )
-    linked = used.join(known, ["batch_key", "extraction_key"], "left")
-    out.append(
-        _flag(
-            linked, F.col("_status").isNull() & F.col("_source").isNull(),
-            F.concat(F.lit("claim references unknown extraction: "), "extraction_key"),
-        )
+    used = (
+        claims.where(~_blank("extraction_key"))
+        .select("batch_key", "extraction_key", "source_key")
+        .distinct()
+        .join(known, ["batch_key", "extraction_key"], "left")
     )
-    out.append(
-        _flag(
-            linked,
-            (F.col("_status") != "completed") | (F.col("_source") != F.col("source_key")),
-            "claim extraction must be completed and reference the same source",
+    missing = used.where("_n IS NULL")
+    between.append(say(missing, "claim references unknown extraction: ", "extraction_key"))
+    unfit = used.where((F.col("_status") != "completed") | (F.col("_source") != F.col("source_key")))
+    between.append(
+        unfit.select(
+            "batch_key",
+            F.lit("claim extraction must be completed and reference the same source").alias("problem"),
         )
     )
-    problems = out[0]
-    for more in out[1:]:
+    problems = own[0]
+    for more in (*own[1:], *between):
         problems = problems.unionByName(more)
     return problems.distinct()
 

@@ -24,7 +24,7 @@ def latest(updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """Replace by key, last update wins; rows of other keys stay."""
     newest = latest(updates, keys, seq).drop(*([] if seq in base.columns else [seq]))
-    kept = base.join(newest.select(*keys), list(keys), "left_anti")
+    kept = base.join(updates.select(*keys).distinct(), list(keys), "left_anti")
     return kept.unionByName(newest).select(*base.columns)
 
 

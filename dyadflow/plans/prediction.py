@@ -53,7 +53,7 @@ def _day(name: str):
     ),
 )
 def dyads(spark, sf):
-    base = fx.dyads(spark, sf)
+    base = stage(fx.dyads(spark, sf), "dyads")
     _, result_b = dy.derive_results(F.col("score_a"), F.col("score_b"), F.col("status"))
     one = lambda a, r: F.struct(F.col(a).alias("athlete_id"), r.alias("result"))
     competitors = base.select(
@@ -704,7 +704,8 @@ def forecasts(matches: DataFrame) -> DataFrame:
     unit = lambda c: F.lit(0.05) + F.lit(0.9) * (c % 101) / F.lit(100.0)
     a_won = F.col("result_a") == "win"
     return matches.select(
-        "match_id", "athlete_a_id", "athlete_b_id", a_won.alias("a_won"), "result_a",
+        "match_id", "athlete_a_id", "athlete_b_id", a_won.alias("a_won"), "result_a", "arm",
+        "weight_class",
         unit(F.col("match_id") * 37).alias("p_1"),
         unit(F.col("match_id") * 53 + F.when(a_won, 30).otherwise(0)).alias("p_2"),
         unit(F.col("match_id") * 71 + 13).alias("p_3"),
@@ -737,7 +738,7 @@ def prediction_rows(spark, sf):
     ),
 )
 def paired_compare(spark, sf):
-    rows = forecasts(fx.completed(spark, sf))
+    rows = forecasts(_completed(spark, sf))
     matches = rows.select("match_id", "athlete_a_id", "result_a")
     return stats.paired(matches, _run(rows, "p_1"), _run(rows, "p_2")).select(
         "match_id", "a_won", _r("p_run_a"), _r("p_run_b")
@@ -772,8 +773,8 @@ FROM counted LEFT JOIN tails USING (arm)""",
 def mcnemar(spark, sf):
     rows = forecasts(fx.completed(spark, sf))
     pairs = rows.select(
-        "match_id", "a_won", F.col("p_1").alias("p_run_a"), F.col("p_2").alias("p_run_b")
-    ).join(fx.completed(spark, sf).select("match_id", "arm"), "match_id")
+        "match_id", "arm", "a_won", F.col("p_1").alias("p_run_a"), F.col("p_2").alias("p_run_b")
+    )
     return stats.discordance(pairs, ["arm"]).select(
         "arm", "n", _r("accuracy_a"), _r("accuracy_b"), "a_right_b_wrong", "b_right_a_wrong",
         _r("mcnemar_p_value"),
@@ -823,8 +824,7 @@ def bootstrap_ci(spark, sf):
     ),
 )
 def wilson(spark, sf):
-    matches = fx.completed(spark, sf)
-    rows = forecasts(matches).join(matches.select("match_id", "weight_class"), "match_id")
+    rows = forecasts(fx.completed(spark, sf))
     return stats.metrics(rows.withColumn("p_a", F.col("p_2")), ["weight_class"]).select(
         "weight_class", "n", *[_r(c) for c in _METRIC_COLUMNS]
     )
@@ -889,7 +889,7 @@ FROM dyads d, LATERAL (SELECT unnest([d.athlete_a_id, d.athlete_b_id]) AS athlet
     ),
 )
 def prediction_outcomes(spark, sf):
-    everything = fx.dyads(spark, sf)
+    everything = stage(fx.dyads(spark, sf), "dyads")
     rows = _run(everything.withColumn("p_1", F.lit(0.5)), "p_1")
     matches = everything.where("status = 'completed'")
     return ledger.outcomes(rows, matches).select("match_id", "athlete_id", "outcome")

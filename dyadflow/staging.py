@@ -34,10 +34,11 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/dyadflow/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: pruning and size statistics survive,
-    which a plain checkpoint would lose."""
+    which a plain checkpoint would lose. ``partition_by`` gives each value its own folder."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
