@@ -643,7 +643,7 @@ climb AS (
     ),
 )
 def bradley_terry(spark, sf):
-    return ratings.bradley_terry(fx.completed(spark, sf), tolerance=1e-9).select(
+    return ratings.bradley_terry(fx.completed(spark, sf), tolerance=1e-8).select(
         "athlete_id", _r("strength", 5)
     )
 
@@ -681,7 +681,37 @@ def logreg_coefficients(spark, sf):
     )
 
 
-@query("bradley_terry_folds")
+# the climb of every fold at once, over the results of its training events
+_BRADLEY_TERRY_FOLDS = """
+fold_results AS MATERIALIZED (
+  SELECT t.fold_index, s.athlete_id, s.opponent_id, count(*) AS games, sum(s.won) AS wins
+  FROM sides s JOIN eligible e USING (event_id) JOIN tested t ON e.position < t.position GROUP BY 1, 2, 3),
+fold_climb AS (
+  SELECT 0 AS i, fold_index, athlete_id, 0.0::DOUBLE AS theta
+  FROM (SELECT DISTINCT fold_index, athlete_id FROM fold_results)
+  UNION ALL
+  SELECT i, fold_index, athlete_id, raw - avg(raw) OVER (PARTITION BY fold_index) FROM (
+    SELECT s.i + 1 AS i, s.fold_index, s.athlete_id,
+      any_value(s.theta) + (sum(r.wins - r.games / (1.0 + exp(-(s.theta - o.theta))))
+        - 2.0 * any_value(s.theta)) / (2.0 + sum(r.games) / 2.0) AS raw
+    FROM fold_climb s JOIN fold_results r ON r.athlete_id = s.athlete_id AND r.fold_index = s.fold_index
+    JOIN fold_climb o ON o.athlete_id = r.opponent_id AND o.fold_index = s.fold_index
+    WHERE s.i < 60 GROUP BY s.i, s.fold_index, s.athlete_id)),
+strengths AS (SELECT fold_index, athlete_id, theta FROM fold_climb WHERE i = 60)
+""".strip()
+
+
+@query(
+    "bradley_terry_folds",
+    with_recursive(
+        """SELECT t.fold_index, m.match_id,
+  round(1.0 / (1.0 + exp(-(coalesce(a.theta, 0.0) - coalesce(b.theta, 0.0)))), 4) AS p_a
+FROM matches m JOIN tested t USING (event_id)
+LEFT JOIN strengths a ON a.fold_index = t.fold_index AND a.athlete_id = m.athlete_a_id
+LEFT JOIN strengths b ON b.fold_index = t.fold_index AND b.athlete_id = m.athlete_b_id""",
+        DYADS, SIDES, FOLDS.replace(">= 8", ">= 23"), _BRADLEY_TERRY_FOLDS,
+    ),
+)
 def bradley_terry_folds(spark, sf):
     matches, _, plan = _plan(spark, sf, 23)
     run = models.bradley_terry_family().run(matches, plan)
