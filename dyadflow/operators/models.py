@@ -149,7 +149,7 @@ def fit_logistic(
     assembler = VectorAssembler(inputCols=[*numeric, *hot], outputCol="_features")
     regression = LogisticRegression(
         featuresCol="_features", labelCol="label", probabilityCol="_probability",
-        regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9,
+        regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-7,
     )
     fitted = Pipeline(stages=[indexer, encoder, assembler, regression]).fit(train)
     names = list(numeric)

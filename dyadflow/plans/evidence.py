@@ -844,8 +844,8 @@ def _usage(spark, sf) -> DataFrame:
 
 @query(
     "token_costs",
-    """SELECT lang, count(*) AS calls, round(sum((n_chars * 3 * 0.30 + n_chars * 3 * 1.00 + (n_chars // 10) * 2.50) / 1e6), 6)
-  AS media_cost, round(sum((n_chars * 0.05 + (n_chars // 10) * 0.40) / 1e6), 6) AS text_cost
+    """SELECT lang, count(*) AS calls, round(sum((n_chars * 3 * 0.30 + n_chars * 3 * 1.00 + (n_chars // 10) * 2.50) / 1e6), 8)
+  AS media_cost, round(sum((n_chars * 0.05 + (n_chars // 10) * 0.40) / 1e6), 8) AS text_cost
 FROM documents GROUP BY 1""",
 )
 def token_costs(spark, sf):
@@ -854,8 +854,8 @@ def token_costs(spark, sf):
         .groupBy("lang")
         .agg(
             F.count(F.lit(1)).alias("calls"),
-            F.round(F.sum(ds.media_cost("details", "output")), 6).alias("media_cost"),
-            F.round(F.sum(ds.text_cost("n_chars", "output")), 6).alias("text_cost"),
+            F.round(F.sum(ds.media_cost("details", "output")), 8).alias("media_cost"),
+            F.round(F.sum(ds.text_cost("n_chars", "output")), 8).alias("text_cost"),
         )
     )
 

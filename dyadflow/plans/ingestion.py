@@ -99,7 +99,8 @@ def raw_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _checked(spark, sf) -> DataFrame:
-    return validation.validate_results(raw_results(spark, sf))
+    # the rows stand for files that landed: written once, then read by every rule
+    return validation.validate_results(stage(raw_results(spark, sf), "raw-results"))
 
 
 @query(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings that matter for results (UTC) and for plans at scale (AQE, skew join).
@@ -19,6 +25,23 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Executors have no copy of it, and even local workers only find it from the right folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="dyadflow-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for source in sorted(package.rglob("*.py")):
+            bundle.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
+
+
 def local_session(cores: int | str = "*", app: str = "dyadflow", **conf: str) -> SparkSession:
     """A local session for tests and the bench."""
     partitions = str(cores) if str(cores).isdigit() else "8"
