@@ -9,6 +9,9 @@ from dyadflow.functions import vocab
 from dyadflow.functions.text import col
 
 
+BUCKETS = ("current_window", "recent_context", "historical_context", "unknown")
+
+
 def published_at(text: Column | str) -> Column:
     """ISO timestamp text (``Z`` accepted) to a timestamp; unreadable text is null."""
     return F.try_to_timestamp(F.nullif(F.trim(col(text)), F.lit("")))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadflow.functions import text, vocab
+from dyadflow.functions import recency, text, vocab
 
 
 def _or(value: Column | str, default: str) -> Column:
@@ -208,21 +208,17 @@ def conflicts(
 
 def evidence_summary(claims: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts over claims, with the recency histogram as a map."""
-    counted = claims.groupBy(*by, "source_recency").agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if("current_form_allowed").alias("_current")
+    counted = claims.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("claim_count"),
+        F.count_distinct("video_id").alias("source_count"),
+        F.count_if("current_form_allowed").alias("current_form_claim_count"),
+        *[F.count_if(F.col("source_recency") == b).alias(f"_{b}") for b in recency.BUCKETS],
     )
-    histogram = counted.groupBy(*by).agg(
-        F.sum("_n").alias("claim_count"),
-        F.sum("_current").alias("current_form_claim_count"),
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("source_recency", "_n")))
-        ).alias("recency_distribution"),
+    histogram = F.create_map(*[x for b in recency.BUCKETS for x in (F.lit(b), F.col(f"_{b}"))])
+    return counted.select(
+        *by, "claim_count", "source_count", "current_form_claim_count",
+        F.map_filter(histogram, lambda _, n: n > 0).alias("recency_distribution"),
     )
-    sources = claims.groupBy(*by).agg(F.count_distinct("video_id").alias("source_count"))
-    if by:
-        return histogram.join(sources, list(by))
-    one = F.lit(1).alias("_one")
-    return histogram.select("*", one).join(sources.select("*", one), "_one").drop("_one")
 
 
 def dimension_counts(dimensions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
