@@ -127,9 +127,10 @@ def theme_fronts(themes: DataFrame, token_a: str, token_b: str) -> DataFrame:
     """Card fields of each theme (dossier_id, pos from 0, theme_id, label, match_relevance,
     challenged_assumption, why_this_theme_emerged, claim_count)."""
     sentence = lambda n: F.substring_index(n, ".", 1)
+    number = (F.col("pos") + 1).cast("string")
     return themes.select(
         "dossier_id", "theme_id",
-        F.lpad((F.col("pos") + 1).cast("string"), 2, "0").alias("ordinal"),
+        F.when(F.col("pos") < 9, F.concat(F.lit("0"), number)).otherwise(number).alias("ordinal"),
         F.substring(F.upper("label"), 1, 32).alias("label"),
         F.concat(sentence("match_relevance"), F.lit("?")).alias("question"),
         F.coalesce("challenged_assumption", sentence("why_this_theme_emerged")).alias("popular_take"),

@@ -39,15 +39,22 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON file: its text, and the video, model and kind its name stands for.
 
     Names are ``<video>.json``, ``<video>__<model>.json`` or ``<video>__<model>__<kind>_eval.json``.
+    Video ids have eleven characters and may contain the separator themselves; other ids end at
+    the first one.
     """
-    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
-    parts = F.split(F.url_decode(stem), "__")
+    encoded = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    stem = F.coalesce(F.try_url_decode(encoded), encoded)
+    judged = F.rlike(stem, F.lit(r"__[A-Za-z0-9]+_eval$"))
+    name = F.regexp_replace(stem, r"__[A-Za-z0-9]+_eval$", "")
+    full_id = F.rlike(name, F.lit(r"^.{11}(__.*)?$"))
+    video = F.when(full_id, F.substring(name, 1, 11)).otherwise(F.substring_index(name, "__", 1))
+    rest = F.substring(name, F.length(video) + 3, F.length(name))
     return (
         spark.read.text(path, wholetext=True)
         .select(
-            F.get(parts, 0).alias("video_id"),
-            F.get(parts, 1).alias("model"),
-            F.coalesce(F.endswith(F.get(parts, 2), F.lit("_eval")), F.lit(False)).alias("is_evaluation"),
+            video.alias("video_id"),
+            F.nullif(rest, F.lit("")).alias("model"),
+            judged.alias("is_evaluation"),
             F.col("value").alias("document"),
         )
     )

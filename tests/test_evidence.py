@@ -203,12 +203,15 @@ def test_polymorphic_analysis(spark, tmp_path):
         "v3__m.json": {"analysis": "text"},
         "v4.json": {"other": 1},
         "v1__m__x_eval.json": {"analysis": {"pass_fail": "Pass"}},
+        "a__bcdefgh_.json": {},
+        "a__bcdefgh___gemini-2.json": {},
     }
     for name, doc in docs.items():
         (tmp_path / name).write_text(json.dumps(doc, indent=1))
     rows = artifacts.read_documents(spark, str(tmp_path))
     assert {(r["video_id"], r["model"], r["is_evaluation"]) for r in rows.collect()} == {
-        ("v1", "m", False), ("v2", "m", False), ("v3", "m", False), ("v4", None, False), ("v1", "m", True)}
+        ("v1", "m", False), ("v2", "m", False), ("v3", "m", False), ("v4", None, False), ("v1", "m", True),
+        ("a__bcdefgh_", None, False), ("a__bcdefgh_", "gemini-2", False)}
     got = artifacts.analysis_claims(rows.where("NOT is_evaluation"))
     assert sorted((r["video_id"], r["pos"], r["claim"], r["timestamp"]) for r in got.collect()) == [
         ("v1", 0, "a", "00:01"), ("v1", 1, "b", None), ("v2", 0, "c", None)]
