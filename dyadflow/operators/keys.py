@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.operators.running import ordinal
+from dyadflow.staging import stage
 
 
 def resolve_natural_keys(
@@ -20,7 +21,8 @@ def resolve_natural_keys(
     moments = submissions.groupBy("base_key", "scheduled_at").agg(F.min("seq").alias("_seq"))
     stored = existing.groupBy("base_key", "scheduled_at").agg(F.min("natural_key").alias("_stored"))
     counts = existing.groupBy("base_key").agg(F.count(F.lit(1)).alias("_count"))
-    known = moments.join(stored, ["base_key", "scheduled_at"], "left")
+    # one row per meeting, measured and then read twice
+    known = stage(moments.join(stored, ["base_key", "scheduled_at"], "left"), "meetings")
     fresh = ordinal(
         known.where("_stored IS NULL"), ["base_key"], ["_seq"], "_rank", max_rows_per_task
     ).join(counts, "base_key", "left")

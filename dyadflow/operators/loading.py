@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dyadflow.functions import text
 from dyadflow.operators.dyads import derive_results
 from dyadflow.operators.keys import resolve_natural_keys
+from dyadflow.staging import stage
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,12 @@ def canonical_rows(accepted: DataFrame, existing_matches: DataFrame) -> Canonica
     based = accepted.withColumn(
         "base_key", text.base_natural_key("event_slug", "athlete_a", "athlete_b", "arm")
     )
-    keyed = resolve_natural_keys(based, existing_matches).withColumn(
-        "match_id", surrogate("natural_key")
+    # five tables are cut from these rows
+    keyed = stage(
+        resolve_natural_keys(based, existing_matches).withColumn(
+            "match_id", surrogate("natural_key")
+        ),
+        "keyed-results",
     )
     result_a, result_b = derive_results(F.col("score_a"), F.col("score_b"), F.col("status"))
     events = keyed.select(
