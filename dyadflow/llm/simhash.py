@@ -39,6 +39,8 @@ HOT_KEY = 48  # members of a key from which points are named instead of pairs
 
 WIDE_WORDS = 8  # 64-bit words of a wide fingerprint
 BLOCK_BITS = 24
+KEY_BITS = 57  # a block's bits and those that sort its members
+FIRST_BLOCKS = 16  # of the blocks; what these connect is not compared again
 BLOCKS = 128  # finds 93 of 100 pairs of similarity 0.8, 99 of 0.85, all but one in 10,000 of 0.9
 #: Of 512 bits, similarity 0.8 differs in 78 on average, with a deviation of 8: up to SURE pairs are
 #: taken as they are (0.87 and more on average), up to WIDE_DISTANCE their shingles are compared.
@@ -191,53 +193,50 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def _block_bits(blocks: int, bits: int, words: int) -> list[list[int]]:
-    """Which bits form each block: drawn without replacement, the same on every run."""
+def _block_keys(classes: DataFrame, numbers: range) -> DataFrame:
+    """(id, root, fp) → (id, root, key) for each block: its number, then ``KEY_BITS`` sampled bits."""
     import random
 
-    draw = random.Random(SEED)
-    return [sorted(draw.sample(range(64 * words), bits)) for _ in range(blocks)]
-
-
-def _block_keys(classes: DataFrame, blocks: int, bits: int) -> DataFrame:
-    """(id, fp) → (id, block): one long for each block, its number in the upper bits."""
-    chosen = _block_bits(blocks, bits, WIDE_WORDS)
+    draw = random.Random(SEED)  # the same bits on every run
+    chosen = [draw.sample(range(64 * WIDE_WORDS), KEY_BITS) for _ in range(BLOCKS)]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        weights = 1 << np.arange(bits, dtype=np.int64)
+        weights = np.uint64(1) << np.arange(KEY_BITS, dtype=np.uint64)[::-1]
         for batch in batches:
             for at in range(0, batch.num_rows, 2_048):
                 part = batch.slice(at, 2_048)
-                words = part.column(1).flatten().to_numpy().astype("<i8").reshape(-1, WIDE_WORDS)
+                words = part.column(2).flatten().to_numpy().astype("<i8").reshape(-1, WIDE_WORDS)
                 set_bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-                keys = np.empty((part.num_rows, blocks), dtype=np.int64)
-                for number, columns in enumerate(chosen):
-                    keys[:, number] = (set_bits[:, columns] @ weights) | (number << bits)
-                ids = np.repeat(part.column(0).to_numpy(), blocks)
+                keys = np.empty((part.num_rows, len(numbers)), dtype=np.uint64)
+                for place, number in enumerate(numbers):
+                    own = set_bits[:, chosen[number]].astype(np.uint64) @ weights
+                    keys[:, place] = own | np.uint64(number << KEY_BITS)
+                ids, roots = (np.repeat(part.column(i).to_numpy(), len(numbers)) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(keys.ravel())], names=["id", "block"]
+                    [pa.array(ids), pa.array(roots), pa.array(keys.ravel().view(np.int64))],
+                    names=["id", "root", "key"],
                 )
 
-    return classes.select("id", "fp").mapInArrow(run, "id bigint, block bigint")
+    return classes.select("id", "root", "fp").mapInArrow(run, "id bigint, root bigint, key bigint")
 
 
-def candidates(classes: DataFrame, blocks: int = BLOCKS, bits: int = BLOCK_BITS) -> DataFrame:
-    """(id, wide fp) → pairs (a, b) with their ``distance``, up to ``WIDE_DISTANCE``.
+def candidates(classes: DataFrame, numbers: range) -> DataFrame:
+    """(id, root, wide fp) → pairs (a, b) with their ``distance``, up to ``WIDE_DISTANCE``.
 
-    Within a block every member is compared with the smallest id and with the one before it, so a
-    block of any size gives no more than two candidates a member.
+    Members of a block are sorted by further bits, so that the closest stand side by side, and every
+    member is compared with the one before it, unless both have one root. A block of any size gives
+    at most one candidate a member.
     """
-    keyed = _block_keys(classes, blocks, bits)
-    line = Window.partitionBy("block").orderBy("id")
-    met = keyed.select(
-        "id", F.lag("id").over(line).alias("previous"), F.first("id").over(line).alias("least")
-    ).where("previous IS NOT NULL")
+    keyed = _block_keys(classes, numbers)
+    block = F.shiftright("key", KEY_BITS - BLOCK_BITS)
+    line = Window.partitionBy(block).orderBy("key", "id")
+    met = keyed.select("id", "root", F.lag("id").over(line).alias("_id"), F.lag("root").over(line).alias("_root"))
     pairs = (
-        met.select(F.explode(F.array_distinct(F.array("previous", "least"))).alias("a"), F.col("id").alias("b"))
-        .where("a <> b").distinct()
+        met.where("_id IS NOT NULL AND root <> _root")
+        .select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
     )
     left = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
     right = classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
@@ -301,8 +300,16 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
         "wide_classes",
     )
     blank = F.forall("fp", lambda word: word == 0)
-    near = stage(candidates(classes.where(~blank)), "candidates")
-    sure = components(near.where(F.col("distance") <= SURE).select("a", "b"))
+    close = lambda pairs: pairs.where(F.col("distance") <= SURE).select("a", "b")
+    worded = classes.where(~blank)
+    first = stage(candidates(worded.withColumn("root", F.col("id")), range(FIRST_BLOCKS)), "first")
+    joined = stage(
+        worded.join(components(close(first)), "id", "left").withColumn("root", F.coalesce("root", "id")),
+        "joined",
+    )
+    later = stage(candidates(joined, range(FIRST_BLOCKS, BLOCKS)), "later")
+    near = first.unionByName(later)
+    sure = components(close(near))
     root_of = lambda side: sure.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
     open_pairs = stage(
         near.where(F.col("distance") > SURE)
@@ -323,7 +330,7 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
         asked, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_content"))
     )
     told = similar(open_pairs, texts.select("id", "text"), shingle)
-    roots = components(near.where(F.col("distance") <= SURE).select("a", "b").unionByName(told))
+    roots = components(close(near).unionByName(told))
     rooted = classes.join(roots, "id", "left").select(
         "fp", "low", F.coalesce("root", "id").alias("root"), blank.alias("blank")
     )
