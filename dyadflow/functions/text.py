@@ -82,7 +82,7 @@ def contains_any(text: Column | str, needles: Sequence[str]) -> Column:
 
 def kg_values(text: Column | str) -> Column:
     """All weights in a text, single (``82``) or as a range (``80-85``), in text order."""
-    pattern = F.lit(r"(?i)\b\d{2,3}(?:\s*-\s*\d{2,3})?\s*kg\b")
+    pattern = F.lit(r"(?i)\b(?:(?:around|nearly|approximately)\s*)?\d{2,3}(?:\s*-\s*\d{2,3})?\s*kg\b")
     found = F.regexp_extract_all(col(text), pattern, F.lit(0))
     return F.transform(found, lambda m: F.regexp_replace(m, "[^0-9-]", ""))
 

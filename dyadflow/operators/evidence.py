@@ -86,20 +86,16 @@ def encode(
 
     ``claims`` is (claim_id, published_at, claim_type) already joined to one annotation;
     ``subjects`` links claims to athletes. A claim about both sides counts once: the sides are
-    added and claims naming both are taken off again. Subjects are competitors of the claim's own
-    match, so a claim names at most two athletes.
+    added and claims naming both are taken off again, for every two subjects of a claim. Subjects are
+    competitors of the matches a claim is linked to, so a claim names a few athletes.
     """
     named = claims.select("claim_id", "published_at", "claim_type").join(
         subjects.select("claim_id", "athlete_id").distinct(), "claim_id"
     )
+    other = named.select("claim_id", F.col("athlete_id").alias("athlete_b_id"))
     both = (
-        named.groupBy("claim_id")
-        .agg(
-            F.min("athlete_id").alias("athlete_a_id"),
-            F.max("athlete_id").alias("athlete_b_id"),
-            F.first("published_at").alias("published_at"),
-            F.first("claim_type").alias("claim_type"),
-        )
+        named.withColumnRenamed("athlete_id", "athlete_a_id")
+        .join(other, "claim_id")
         .where("athlete_a_id < athlete_b_id")
     )
     asked = matches.select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dyadflow.functions import vocab
 from dyadflow.functions.text import canonical
+from dyadflow.staging import stage
 
 STATUS_SCHEMA = (
     "run_id long, status string, seq long, at timestamp, git_sha string, git_dirty boolean, "
@@ -122,9 +123,9 @@ def manifest(payloads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.count(F.lit(1)).alias("feature_rows"),
         F.count_if(F.col("role") == "train").alias("train_rows"),
         F.count_if(F.col("role") == "test").alias("test_rows"),
-        *[F.sum(piece(i)).alias(f"_p{i}") for i in range(2)],
+        *[F.sum(piece(i)).alias(f"_p{i}") for i in range(5)],
     )
-    text = F.concat_ws("|", "feature_rows", *[F.col(f"_p{i}").cast("string") for i in range(2)])
+    text = F.concat_ws("|", "feature_rows", *[F.col(f"_p{i}").cast("string") for i in range(5)])
     return summed.select(
         *by, "feature_rows", "train_rows", "test_rows", F.sha2(text, 256).alias("manifest_sha256")
     )
@@ -267,10 +268,10 @@ class Ledger:
 
     def append_predictions(self, run_id: int, predictions: DataFrame) -> None:
         rows = prediction_rows(predictions).withColumn("run_id", F.lit(run_id).cast("long"))
-        self._append("predictions", rows)
-        stored = self.read("predictions").where(F.col("run_id") == run_id)
-        if not prediction_problems(stored).isEmpty():
+        rows = stage(rows, "predictions")  # checked before anything reaches the ledger
+        if not prediction_problems(rows).isEmpty():
             raise ValueError("a stored probability is outside [0, 1]")
+        self._append("predictions", rows)
 
     def append_params(self, run_id: int, params: DataFrame) -> None:
         self._append("models", params.withColumn("run_id", F.lit(run_id).cast("long")))

@@ -227,4 +227,6 @@ def register_family(name: str, factory: Callable[..., ModelFamily]) -> None:
 def resolve_family(name: str, **options) -> ModelFamily:
     if name not in FAMILIES:
         raise ValueError(f"unknown model family {name!r}")
+    if name == "evidence_v1" and options.get("evidence") is None:
+        raise ValueError("evidence_v1 needs the encoded evidence")
     return FAMILIES[name](**options)

@@ -51,7 +51,8 @@ def validate_results(rows: DataFrame) -> DataFrame:
     """Typed columns and ``problems`` for raw result rows (all text, trimmed here).
 
     Sides may meet again on one day only with distinct bout minutes, which then become part of the
-    scheduled time. That rule looks at the rows that are otherwise fine.
+    scheduled time. That rule looks at the rows of one file that are otherwise fine. Lines with too
+    few or too many fields (``_corrupt``) are problems.
     """
     c = {n: F.coalesce(F.btrim(n, F.lit(text.WHITESPACE)), F.lit("")) for n in vocab.RESULT_COLUMNS}
     clean = rows.select(
@@ -91,6 +92,9 @@ def validate_results(rows: DataFrame) -> DataFrame:
         ),
         (done & ~decided, "completed match requires unequal numeric scores"),
     ]
+    if "_corrupt" in rows.columns:
+        rules.insert(0, (F.col("_corrupt").isNotNull(), "wrong number of columns"))
+    file = ["batch_key"] if "batch_key" in rows.columns else []
     checked = typed.withColumn("problems", collect_problems(rules)).withColumn(
         "_bout", F.coalesce("_bout", F.lit(0))
     )
@@ -98,7 +102,7 @@ def validate_results(rows: DataFrame) -> DataFrame:
     keyed = checked.withColumn(
         "_meeting",
         F.concat_ws(
-            "|", "event_slug", "arm", F.least(first, second), F.greatest(first, second), "event_date"
+            "|", *file, "event_slug", "arm", F.least(first, second), F.greatest(first, second), "event_date"
         ),
     )
     repeated = (

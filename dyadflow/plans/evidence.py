@@ -1121,7 +1121,7 @@ def high_signal(spark, sf):
 
 THEMES = """
 themes AS (
-  SELECT conv_id AS dossier_id, turn AS pos, conv_id || '-' || turn AS theme_id, substr(text, 1, 60) AS label,
+  SELECT conv_id AS dossier_id, turn AS pos, conv_id || '-' || turn AS theme_id, text AS label,
     CASE conv_id % 3 WHEN 0 THEN 'alpha ' WHEN 1 THEN 'Beta ' ELSE '' END AS lead, text, conv_id, turn FROM conversations)
 """.strip()
 
@@ -1132,7 +1132,7 @@ def _themes(spark, sf) -> DataFrame:
     ident = F.concat_ws("-", c.cast("string"), F.col("turn").cast("string"))
     return table(spark, sf, "conversations").select(
         c.alias("dossier_id"), F.col("turn").alias("pos"), ident.alias("theme_id"),
-        F.concat(lead, F.substring("text", 1, 60)).alias("label"),
+        F.concat(lead, "text").alias("label"),
         F.col("text").alias("match_relevance"),
         F.when(F.col("turn") % 2 == 0, F.lit("people assume")).alias("challenged_assumption"),
         F.col("text").alias("why_this_theme_emerged"),
@@ -1183,14 +1183,15 @@ def front_verdict(spark, sf):
     "theme_claims",
     """SELECT theme_id, position, evidence_index, n_chars FROM (
   SELECT theme_id, evidence_index, n_chars, row_number() OVER (PARTITION BY theme_id ORDER BY pos) AS position FROM (
-    SELECT conv_id || '-' || turn AS theme_id, i AS pos, (conv_id * 131 + turn * 17 + i * 290) % 2000 AS evidence_index
+    SELECT conv_id || '-' || turn AS theme_id, i AS pos, (conv_id * 131 + turn * 17 + i * 290) % (SELECT max(doc_id) + 1 FROM documents) AS evidence_index
     FROM conversations, range(0, 6) t(i)) JOIN documents ON doc_id = evidence_index) WHERE position <= 3""",
 )
 def theme_claims(spark, sf):
     base = F.col("conv_id") * 131 + F.col("turn") * 17
+    documents = table(spark, sf, "documents").agg(F.max("doc_id") + 1).first()[0]
     themes = table(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("theme_id"),
-        F.array(*[(base + i * 290) % 2000 for i in range(6)]).alias("evidence_refs"),
+        F.array(*[(base + i * 290) % documents for i in range(6)]).alias("evidence_refs"),
     )
     claims = table(spark, sf, "documents").select(F.col("doc_id").alias("evidence_index"), "n_chars")
     return mech.theme_claims(themes, claims, 3).select(

@@ -659,14 +659,14 @@ def _claims(spark, sf):
 
 @query("logreg_history")
 def logreg_history(spark, sf):
-    matches, _, plan = _plan(spark, sf, 23)
+    matches, _, plan = _plan(spark, sf)
     run = models.logistic_family().run(matches, plan)
     return run.predictions.select("fold_index", "match_id", _r("p_a", 4))
 
 
 @query("logreg_evidence")
 def logreg_evidence(spark, sf):
-    matches, _, plan = _plan(spark, sf, 23)
+    matches, _, plan = _plan(spark, sf)
     claims, subjects = _claims(spark, sf)
     encoded = evidence.encode(matches, claims, subjects)
     run = models.logistic_family(evidence=encoded).run(matches, plan)
@@ -675,7 +675,7 @@ def logreg_evidence(spark, sf):
 
 @query("logreg_coefficients")
 def logreg_coefficients(spark, sf):
-    matches, _, plan = _plan(spark, sf, 23)
+    matches, _, plan = _plan(spark, sf)
     return models.logistic_family().run(matches, plan).params.select(
         "fold_index", "name", _r("value", 4)
     )
@@ -709,11 +709,11 @@ strengths AS (SELECT fold_index, athlete_id, theta FROM fold_climb WHERE i = 60)
 FROM matches m JOIN tested t USING (event_id)
 LEFT JOIN strengths a ON a.fold_index = t.fold_index AND a.athlete_id = m.athlete_a_id
 LEFT JOIN strengths b ON b.fold_index = t.fold_index AND b.athlete_id = m.athlete_b_id""",
-        DYADS, SIDES, FOLDS.replace(">= 8", ">= 23"), _BRADLEY_TERRY_FOLDS,
+        DYADS, SIDES, FOLDS, _BRADLEY_TERRY_FOLDS,
     ),
 )
 def bradley_terry_folds(spark, sf):
-    matches, _, plan = _plan(spark, sf, 23)
+    matches, _, plan = _plan(spark, sf)
     run = models.bradley_terry_family().run(matches, plan)
     return run.predictions.select("fold_index", "match_id", _r("p_a", 4))
 
@@ -988,7 +988,7 @@ def rating_payloads(spark, sf):
 
 
 _PIECES = ", ".join(
-    f"sum(('0x' || substr(payload_sha256, {1 + 15 * i}, 15))::BIGINT) AS p{i}" for i in range(2)
+    f"sum(('0x' || substr(payload_sha256, {1 + 15 * i}, 15))::BIGINT) AS p{i}" for i in range(5)
 )
 
 
@@ -996,7 +996,7 @@ _PIECES = ", ".join(
     "manifest_hash",
     with_ctes(
         f"""SELECT fold_index, feature_rows, train_rows, test_rows,
-  sha256(concat_ws('|', feature_rows, p0, p1)) AS manifest_sha256
+  sha256(concat_ws('|', feature_rows, p0, p1, p2, p3, p4)) AS manifest_sha256
 FROM (SELECT fold_index, count(*) AS feature_rows, count(*) FILTER (WHERE role = 'train') AS train_rows,
     count(*) FILTER (WHERE role = 'test') AS test_rows, {_PIECES} FROM hashed GROUP BY 1)""",
         DYADS, FOLDS, MEMBERS, _PAYLOADS,
