@@ -102,21 +102,32 @@ def bradley_terry_family(alpha: float = vocab.BT_ALPHA) -> ModelFamily:
             matches.join(plan.select("event_id", "position", "fold_index"), "event_id"), "bt-matches"
         )
 
-        def fit(fold: int, position: int) -> FoldRun:
-            train = placed.where(F.col("position") < position).drop("position", "fold_index")
-            strengths = ratings.bradley_terry(train, alpha)
-            test = placed.where(F.col("fold_index") == fold).drop("position", "fold_index")
-            return FoldRun(
-                ratings.bradley_terry_predictions(test, strengths).select(
-                    "match_id", "result_a", "p_a"
-                ),
-                strengths.select(
-                    F.col("athlete_id").cast("string").alias("name"),
-                    F.col("strength").alias("value"),
-                ),
-            )
-
-        return _per_fold(plan, fit)
+        folds = plan.where("fold_index IS NOT NULL").select("fold_index", "position").collect()
+        if not folds:
+            raise ValueError("the protocol has no fold to fit")
+        # games are summed for each event position first, then given to the folds that train on it
+        later = F.array(
+            *[F.struct(F.lit(f["fold_index"]).cast("long").alias("fold"), F.lit(f["position"]).alias("at")) for f in folds]
+        )
+        games = (
+            ratings.pair_results(placed, "position")
+            .select("athlete_id", "opponent_id", "games", "wins", "position", F.explode(later).alias("f"))
+            .where(F.col("position") < F.col("f.at"))
+            .groupBy(F.col("f.fold").alias("fold_index"), "athlete_id", "opponent_id")
+            .agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
+        )
+        strengths = ratings.fit_strengths(games, ["fold_index"], alpha, tolerance=1e-9)
+        test = placed.where("fold_index IS NOT NULL").withColumn(
+            "fold_index", F.col("fold_index").cast("long")
+        )
+        scored = ratings.bradley_terry_predictions(test, strengths, ["fold_index"])
+        return FoldRun(
+            scored.select("fold_index", "match_id", "result_a", "p_a"),
+            strengths.select(
+                "fold_index", F.col("athlete_id").cast("string").alias("name"),
+                F.col("strength").alias("value"),
+            ),
+        )
 
     return ModelFamily("rating", run, {"l2_regularization": alpha})
 

@@ -696,8 +696,8 @@ fold_climb AS (
         - 2.0 * any_value(s.theta)) / (2.0 + sum(r.games) / 2.0) AS raw
     FROM fold_climb s JOIN fold_results r ON r.athlete_id = s.athlete_id AND r.fold_index = s.fold_index
     JOIN fold_climb o ON o.athlete_id = r.opponent_id AND o.fold_index = s.fold_index
-    WHERE s.i < 60 GROUP BY s.i, s.fold_index, s.athlete_id)),
-strengths AS (SELECT fold_index, athlete_id, theta FROM fold_climb WHERE i = 60)
+    WHERE s.i < 240 GROUP BY s.i, s.fold_index, s.athlete_id)),
+strengths AS (SELECT fold_index, athlete_id, theta FROM fold_climb WHERE i = 240)
 """.strip()
 
 
