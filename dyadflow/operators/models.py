@@ -50,17 +50,23 @@ def _eligible(matches: DataFrame, plan: DataFrame) -> DataFrame:
     return matches.join(plan.select("event_id"), "event_id", "left_semi")
 
 
+def _rating_run(eligible: DataFrame, plan: DataFrame, predicted: DataFrame, params: DataFrame, value: str) -> FoldRun:
+    """Predictions of the tested matches and, per fold, the ratings its predictions start from."""
+    tests = _tests(eligible, plan).select(
+        F.col("fold_index").cast("long").alias("fold_index"), "match_id", "result_a"
+    )
+    return FoldRun(
+        tests.join(predicted.select("match_id", "p_a"), "match_id"),
+        params.select("fold_index", F.col("athlete_id").cast("string").alias("name"), F.col(value).alias("value")),
+    )
+
+
 def elo_family(k_factor: float = vocab.ELO_K) -> ModelFamily:
     def run(matches: DataFrame, plan: DataFrame) -> FoldRun:
         eligible = _eligible(matches, plan)
-        predicted = ratings.elo_cutoff_predictions(eligible, k_factor).select("match_id", "p_a")
-        tests = _tests(eligible, plan).select("fold_index", "match_id", "result_a")
-        return FoldRun(
-            tests.join(predicted, "match_id"),
-            ratings.final_ratings(ratings.elo_history(eligible, k_factor)).select(
-                F.col("athlete_id").cast("string").alias("name"), F.col("rating").alias("value")
-            ),
-        )
+        states = ratings.elo_states(eligible, k_factor)
+        predicted = ratings.elo_cutoff_predictions(eligible, states=states)
+        return _rating_run(eligible, plan, predicted, ratings.fold_ratings(eligible, states, plan), "rating")
 
     return ModelFamily("rating", run, {"k_factor": k_factor})
 
@@ -68,15 +74,9 @@ def elo_family(k_factor: float = vocab.ELO_K) -> ModelFamily:
 def glicko_family() -> ModelFamily:
     def run(matches: DataFrame, plan: DataFrame) -> FoldRun:
         eligible = _eligible(matches, plan)
-        predicted = ratings.glicko_cutoff_predictions(eligible).select("match_id", "p_a")
-        tests = _tests(eligible, plan).select("fold_index", "match_id", "result_a")
-        final = ratings.final_ratings(ratings.glicko_history(eligible), ("mu", "phi", "sigma"))
-        return FoldRun(
-            tests.join(predicted, "match_id"),
-            final.select(
-                F.col("athlete_id").cast("string").alias("name"), F.col("mu").alias("value")
-            ),
-        )
+        states = ratings.glicko_states(eligible)
+        predicted = ratings.glicko_cutoff_predictions(eligible, states)
+        return _rating_run(eligible, plan, predicted, ratings.fold_ratings(eligible, states, plan, ["mu"]), "mu")
 
     return ModelFamily("rating", run)
 
@@ -181,9 +181,9 @@ def tabular_inputs(
     matches: DataFrame, evidence: DataFrame | None = None, default_ratings: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Training rows (as of each match) and test rows (as of each event) for the tabular models."""
-    history = ratings.elo_history(matches)
+    history = stage(ratings.elo_history(matches), "ratings")
     train = features.history_features(matches, history, default_ratings)
-    cutoff = ratings.cutoff_ratings(matches, history).select(
+    cutoff = ratings.cutoff_ratings(history).select(
         "match_id",
         F.col("rating_a").alias("prior_rating_a"),
         F.col("rating_b").alias("prior_rating_b"),

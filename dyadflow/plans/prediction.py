@@ -120,27 +120,31 @@ h2h AS (
   FROM matches)
 """.strip()
 
-# one step per match; the state is the list of all ratings
+# one step per event; the state is one row per athlete
 ELO = """
-ordered AS MATERIALIZED (
+elo_games AS MATERIALIZED (
   SELECT match_id, event_id, athlete_a_id AS a, athlete_b_id AS b,
     CASE WHEN result_a = 'win' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS won,
-    row_number() OVER (ORDER BY scheduled_at, match_id) AS step FROM matches),
-walk AS (
-  SELECT 0::BIGINT AS step, list_transform(range(0, (SELECT max(b) + 1 FROM ordered)),
-      lambda x: 1500.0::DOUBLE) AS ratings, NULL::BIGINT AS match_id, NULL::BIGINT AS event_id,
-    NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS prior_a, NULL::DOUBLE AS prior_b
+    dense_rank() OVER (ORDER BY held_on, event_id) AS step FROM matches),
+elo_sides AS MATERIALIZED (
+  SELECT step, a AS athlete_id, b AS opponent_id, won FROM elo_games
+  UNION ALL SELECT step, b, a, 1.0 - won FROM elo_games),
+elo_state AS (
+  SELECT 0::BIGINT AS step, athlete_id, 1500.0::DOUBLE AS prior, 1500.0::DOUBLE AS rating
+  FROM (SELECT DISTINCT athlete_id FROM elo_sides)
   UNION ALL
-  SELECT w.step + 1,
-    list_transform(w.ratings, lambda x, i:
-      CASE WHEN i = m.a + 1 THEN x + 24.0 * (m.won - 1.0 / (1.0 + pow(10.0, (w.ratings[m.b + 1] - w.ratings[m.a + 1]) / 400.0)))
-           WHEN i = m.b + 1 THEN x - 24.0 * (m.won - 1.0 / (1.0 + pow(10.0, (w.ratings[m.b + 1] - w.ratings[m.a + 1]) / 400.0)))
-           ELSE x END),
-    m.match_id, m.event_id, m.a, m.b, w.ratings[m.a + 1], w.ratings[m.b + 1]
-  FROM walk w JOIN ordered m ON m.step = w.step + 1),
+  SELECT s.step + 1, s.athlete_id, s.rating, s.rating + coalesce(g.gain, 0.0)
+  FROM elo_state s LEFT JOIN (
+    SELECT e.athlete_id,
+      sum(24.0 * (e.won - 1.0 / (1.0 + pow(10.0, (o.rating - m.rating) / 400.0)))) AS gain
+    FROM elo_sides e JOIN elo_state m ON m.athlete_id = e.athlete_id AND e.step = m.step + 1
+    JOIN elo_state o ON o.athlete_id = e.opponent_id GROUP BY 1) g USING (athlete_id)
+  WHERE s.step < (SELECT max(step) FROM elo_games)),
 elo AS (
-  SELECT match_id, event_id, a, b, prior_a, prior_b, ratings[a + 1] AS post_a,
-    ratings[b + 1] AS post_b, step FROM walk WHERE match_id IS NOT NULL)
+  SELECT g.match_id, g.event_id, g.a, g.b, x.prior AS prior_a, y.prior AS prior_b,
+    x.rating AS post_a, y.rating AS post_b
+  FROM elo_games g JOIN elo_state x ON x.step = g.step AND x.athlete_id = g.a
+  JOIN elo_state y ON y.step = g.step AND y.athlete_id = g.b)
 """.strip()
 
 
@@ -308,33 +312,23 @@ def elo_ratings(spark, sf):
 @query(
     "elo_final_ratings",
     with_recursive(
-        """SELECT athlete_id, round(arg_max(rating, step), 6) AS rating FROM (
-  SELECT a AS athlete_id, post_a AS rating, step FROM elo
-  UNION ALL SELECT b, post_b, step FROM elo) GROUP BY 1""",
+        """SELECT athlete_id, round(rating, 6) AS rating FROM elo_state
+WHERE step = (SELECT max(step) FROM elo_games)""",
         DYADS, ELO,
     ),
 )
 def elo_final_ratings(spark, sf):
-    return ratings.final_ratings(ratings.elo_history(_completed(spark, sf))).select(
+    return ratings.final_ratings(ratings.elo_states(_completed(spark, sf))).select(
         "athlete_id", _r("rating")
     )
 
 
-# rating of each athlete after their last match of each event, and before the next one
+# predictions from the ratings before the event
 ELO_CUTOFF = """
-event_end AS (
-  SELECT athlete_id, event_id, arg_max(rating, step) AS rating FROM (
-    SELECT a AS athlete_id, event_id, post_a AS rating, step FROM elo
-    UNION ALL SELECT b, event_id, post_b, step FROM elo) GROUP BY 1, 2),
-event_start AS (
-  SELECT athlete_id, event_id, coalesce(lag(rating) OVER (
-    PARTITION BY athlete_id ORDER BY event_id), 1500.0) AS rating FROM event_end),
 predicted AS (
-  SELECT m.match_id, m.event_id, a.rating AS rating_a, b.rating AS rating_b,
-    1.0 / (1.0 + pow(10.0, (b.rating - a.rating) / 400.0)) AS p_a, m.result_a = 'win' AS a_won
-  FROM matches m
-  JOIN event_start a ON a.athlete_id = m.athlete_a_id AND a.event_id = m.event_id
-  JOIN event_start b ON b.athlete_id = m.athlete_b_id AND b.event_id = m.event_id)
+  SELECT m.match_id, m.event_id, e.prior_a AS rating_a, e.prior_b AS rating_b,
+    1.0 / (1.0 + pow(10.0, (e.prior_b - e.prior_a) / 400.0)) AS p_a, m.result_a = 'win' AS a_won
+  FROM matches m JOIN elo e USING (match_id))
 """.strip()
 
 FOLDS = """
@@ -596,8 +590,8 @@ def glicko_period(spark, sf):
     )
 
 
-@query("glicko_sequential")
-def glicko_sequential(spark, sf):
+@query("glicko_events")
+def glicko_events(spark, sf):
     rows = ratings.glicko_history(_completed(spark, sf))
     return rows.select(
         "match_id",
