@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.functions import scoring, vocab
+from dyadflow.session import ship_package
 
 
 def metrics(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -72,7 +73,8 @@ def discordance(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # the resampling hash: modular squaring in 64-bit integers, the same in any SQL engine
 HASH_PRIME = 2_147_483_647
-HASH_ID, HASH_DRAW, HASH_SEED = 48_271, 69_621, 7_919
+HASH_ID, HASH_HIGH, HASH_DRAW, HASH_SEED = 48_271, 40_692, 69_621, 7_919
+BLOCK_ROWS = 512  # rows weighed at a time
 
 
 def poisson_thresholds(limit: int = 12) -> list[int]:
@@ -85,17 +87,20 @@ def poisson_thresholds(limit: int = 12) -> list[int]:
     return steps
 
 
-def resample_weight(row_id: Column, draw: Column, seed: int = 0) -> Column:
-    """How often a row occurs in one resample."""
-    prime = F.lit(HASH_PRIME).cast("long")
-    rid = F.pmod(row_id, prime)
-    x = (rid * HASH_ID + draw * HASH_DRAW + F.lit(seed * HASH_SEED + 12_345)) % prime
-    x = (x * x + draw + 1) % prime
-    x = (x * x + rid) % prime
-    weight = F.lit(0).cast("long")
-    for step in poisson_thresholds():
-        weight = weight + (x >= F.lit(step)).cast("long")
-    return weight
+def resample_weights(ids, draws, seed: int = 0):
+    """Matrix (ids x draws): how often each row occurs in each resample.
+
+    The whole 64-bit id takes part: its remainder and its quotient modulo the prime enter on their own.
+    """
+    import numpy as np
+
+    high, low = np.divmod(np.asarray(ids, dtype=np.int64), HASH_PRIME)
+    low, high = low[:, None], (high % HASH_PRIME)[:, None]
+    draws = np.asarray(draws, dtype=np.int64)[None, :]
+    x = (low * HASH_ID + high * HASH_HIGH + draws * HASH_DRAW + (seed * HASH_SEED + 12_345)) % HASH_PRIME
+    x = (x * x + draws + 1) % HASH_PRIME
+    x = (x * x + low + high) % HASH_PRIME
+    return np.searchsorted(np.array(poisson_thresholds()), x, side="right")
 
 
 def bootstrap_interval(
@@ -108,8 +113,9 @@ def bootstrap_interval(
 
     Drawing n rows out of n by index would need a lookup of every draw in the whole pair set.
     Here each row decides on its own how often it is in each resample (independent Poisson(1)
-    weights, the large-n limit of drawing with replacement), so the rows are read once and only
-    one partial sum per resample leaves a task.
+    weights, the large-n limit of drawing with replacement), so the rows are read once, weighed in
+    blocks, and only one partial sum per resample leaves a task. Rows without an id or a difference
+    take no part.
     """
     diffs = pairs.select(
         F.col("match_id").cast("long").alias("_id"),
@@ -117,12 +123,29 @@ def bootstrap_interval(
             scoring.log_loss("p_run_a", "a_won") - scoring.log_loss("p_run_b", "a_won")
         ).alias("_d"),
     )
-    weighted = diffs.select(
-        "_id", "_d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("_b")
-    ).withColumn("_w", resample_weight(F.col("_id"), F.col("_b"), seed))
+    def partial_sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        draws = np.arange(resamples)
+        counts, totals = np.zeros(resamples, dtype=np.int64), np.zeros(resamples)
+        for batch in batches:
+            ids, values = (column.to_numpy() for column in batch.columns)
+            for at in range(0, len(ids), BLOCK_ROWS):
+                weights = resample_weights(ids[at : at + BLOCK_ROWS], draws, seed)
+                counts += weights.sum(axis=0)
+                totals += values[at : at + BLOCK_ROWS] @ weights
+        if counts.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(draws), pa.array(counts), pa.array(totals)], names=["_b", "_n", "_s"]
+            )
+
+    ship_package(pairs.sparkSession)
     means = (
-        weighted.groupBy("_b")
-        .agg(F.sum("_w").alias("_n"), (F.sum(F.col("_w") * F.col("_d"))).alias("_s"))
+        diffs.where("_id IS NOT NULL AND _d IS NOT NULL")
+        .mapInArrow(partial_sums, "_b bigint, _n bigint, _s double")
+        .groupBy("_b")
+        .agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
         .where("_n > 0")
         .select((F.col("_s") / F.col("_n")).alias("_mean"))
     )

@@ -274,10 +274,15 @@ def evidence_problems(
         cited = part.select("batch_key", "source_key").distinct()
         dangling = cited.join(known_sources, ["batch_key", "source_key"], "left_anti")
         between.append(say(dangling, f"{what} references unknown source: ", "source_key"))
-    known = extractions.groupBy("batch_key", F.col("key").alias("extraction_key")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.max_by("status", "source_key").alias("_status"),
-        F.max("source_key").alias("_source"),
+    # a key listed more than once stands for the last extraction made
+    last = F.max(F.struct("extracted_at", "source_key", "status"))
+    known = (
+        extractions.groupBy("batch_key", F.col("key").alias("extraction_key"))
+        .agg(F.count(F.lit(1)).alias("_n"), last.alias("_last"))
+        .select(
+            "batch_key", "extraction_key", "_n", F.col("_last.status").alias("_status"),
+            F.col("_last.source_key").alias("_source"),
+        )
     )
     used = (
         claims.where(~_blank("extraction_key"))

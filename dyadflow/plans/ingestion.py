@@ -322,9 +322,10 @@ def submission_rules(spark, sf):
 
 @query(
     "evidence_references",
-    """WITH batches AS (SELECT o_orderkey % 500 AS b, o_orderkey AS k, o_orderstatus AS s FROM orders),
+    """WITH batches AS (SELECT o_orderkey % 500 AS b, o_orderkey AS k, o_orderstatus AS s, o_orderdate AS d FROM orders),
 src AS (SELECT b, k % 7 AS key FROM batches WHERE k % 11 <> 0),
-ext AS (SELECT b, k, k % 5 AS key, k % 7 AS source_key, s FROM batches)
+ext AS (SELECT b, k, k % 5 AS key, k % 7 AS source_key, s, d FROM batches),
+last AS (SELECT * FROM ext QUALIFY row_number() OVER (PARTITION BY b, key ORDER BY d DESC, source_key DESC, s DESC) = 1)
 SELECT DISTINCT * FROM (
   SELECT 'b' || b AS batch_key, 'duplicate source key: s' || key AS problem FROM src GROUP BY b, key HAVING count(*) > 1
   UNION ALL SELECT 'b' || b, 'duplicate extraction key: x' || key FROM ext GROUP BY b, key HAVING count(*) > 1
@@ -337,7 +338,10 @@ SELECT DISTINCT * FROM (
     WHERE NOT EXISTS (SELECT 1 FROM src WHERE src.b = c.b AND src.key = c.k % 9)
   UNION ALL SELECT 'b' || b, 'claim requires at least one subject' FROM batches WHERE k % 13 = 0
   UNION ALL SELECT 'b' || b, 'claim references unknown extraction: x' || (k % 6) FROM batches c WHERE k % 3 = 0
-    AND NOT EXISTS (SELECT 1 FROM ext WHERE ext.b = c.b AND ext.key = c.k % 6))""",
+    AND NOT EXISTS (SELECT 1 FROM ext WHERE ext.b = c.b AND ext.key = c.k % 6)
+  UNION ALL SELECT 'b' || c.b, 'claim extraction must be completed and reference the same source'
+    FROM batches c JOIN last l ON l.b = c.b AND l.key = c.k % 6
+    WHERE c.k % 3 = 0 AND (l.s <> 'F' OR l.source_key <> c.k % 9))""",
 )
 def evidence_references(spark, sf):
     k = F.col("o_orderkey")
@@ -370,9 +374,7 @@ def evidence_references(spark, sf):
         F.when(k % 13 == 0, F.array().cast("array<string>")).otherwise(F.array(one)).alias("subject_names"),
         F.when(k % 3 == 0, tag("x", k % 6)).otherwise("").alias("extraction_key"),
     )
-    found = validation.evidence_problems(submissions, sources, extractions, claims)
-    # keys that occur twice have no single extraction to compare a claim with
-    return found.where("problem <> 'claim extraction must be completed and reference the same source'")
+    return validation.evidence_problems(submissions, sources, extractions, claims)
 
 
 @query(

@@ -809,12 +809,13 @@ _WEIGHT = " + ".join(f"(x >= {t})::INT" for t in stats.poisson_thresholds())
 _BOOTSTRAP = f"""
 diffs AS (
   SELECT match_id, -ln(CASE WHEN a_won THEN p_1 ELSE 1 - p_1 END)
-    + ln(CASE WHEN a_won THEN p_2 ELSE 1 - p_2 END) AS d, match_id % {stats.HASH_PRIME} AS rid
-  FROM forecasts),
-mixed1 AS (SELECT d, rid, b, (rid * {stats.HASH_ID} + b * {stats.HASH_DRAW} + 12345) % {stats.HASH_PRIME} AS x
+    + ln(CASE WHEN a_won THEN p_2 ELSE 1 - p_2 END) AS d, match_id % {stats.HASH_PRIME} AS rid,
+    (match_id // {stats.HASH_PRIME}) % {stats.HASH_PRIME} AS hi FROM forecasts),
+mixed1 AS (SELECT d, rid, hi, b, (rid * {stats.HASH_ID} + hi * {stats.HASH_HIGH} + b * {stats.HASH_DRAW} + 12345)
+    % {stats.HASH_PRIME} AS x
   FROM diffs, range(0, 2000) t(b)),
-mixed2 AS (SELECT d, rid, b, (x * x + b + 1) % {stats.HASH_PRIME} AS x FROM mixed1),
-mixed3 AS (SELECT d, b, (x * x + rid) % {stats.HASH_PRIME} AS x FROM mixed2),
+mixed2 AS (SELECT d, rid, hi, b, (x * x + b + 1) % {stats.HASH_PRIME} AS x FROM mixed1),
+mixed3 AS (SELECT d, b, (x * x + rid + hi) % {stats.HASH_PRIME} AS x FROM mixed2),
 weights AS (SELECT d, b, {_WEIGHT} AS w FROM mixed3),
 means AS (SELECT b, sum(w * d) / sum(w) AS m FROM weights GROUP BY b),
 sorted AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS r FROM means)

@@ -52,6 +52,7 @@ def local_session(cores: int | str = "*", app: str = "dyadflow", **conf: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", conf.pop("spark__checkpoint__dir", None) or tempfile.mkdtemp(prefix=f"{app}-"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -215,13 +215,20 @@ def test_interval_agrees_with_index_resampling(spark):
     assert abs(ci["ci_upper"] - means[1950]) < 0.1 * spread
 
 
-def test_resample_weights_look_like_poisson(spark):
-    draws = F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"))
-    df = spark.range(400).select("id", F.explode(draws).alias("b")).select(
-        stats.resample_weight(F.col("id"), F.col("b")).alias("w")
-    )
-    r = df.agg(F.avg("w").alias("m"), F.variance("w").alias("v")).first()
-    assert r["m"] == pytest.approx(1.0, abs=0.02) and r["v"] == pytest.approx(1.0, abs=0.04)
+def test_resample_weights_look_like_poisson():
+    import numpy as np
+
+    ids = np.concatenate([np.arange(400), 2**62 + np.arange(400)])
+    w = stats.resample_weights(ids, np.arange(100))
+    assert w.mean() == pytest.approx(1.0, abs=0.02) and w.var() == pytest.approx(1.0, abs=0.04)
+
+
+def test_ids_that_share_a_remainder_are_weighed_apart():
+    import numpy as np
+
+    prime, draws = stats.HASH_PRIME, np.arange(200)
+    one, two, three = stats.resample_weights([5, 5 + prime, 5 + 7 * prime], draws)
+    assert (one != two).any() and (two != three).any() and (one != three).any()
 
 
 def test_nothing_to_compare(spark):
