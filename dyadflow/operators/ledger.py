@@ -10,7 +10,7 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dyadflow.functions import vocab
@@ -62,8 +62,8 @@ def prediction_problems(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("p_win").isNull() | (F.col("p_win") < 0) | (F.col("p_win") > 1))
 
 
-def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
-    """Input row per (fold, role, match) of a rating model; only training rows carry the outcome."""
+def _hashed_inputs(matches: DataFrame, *keep: str) -> DataFrame:
+    """(keep, match_id, role, payload, payload_sha256): both forms a match takes as a rating model's input."""
     fields = {
         "match_id": F.col("match_id"),
         "scheduled_at": F.date_format("scheduled_at", "yyyy-MM-dd HH:mm:ss"),
@@ -74,7 +74,7 @@ def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
     }
     won = {"train": (F.col("result_a") == "win").cast("string"), "test": F.lit(None).cast("string")}
     per_role = matches.select(
-        "match_id",
+        *keep, "match_id",
         F.explode(
             F.array(*[
                 F.struct(F.lit(role).alias("role"), canonical(fields | {"athlete_a_won": w}).alias("payload"))
@@ -82,11 +82,15 @@ def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
             ])
         ).alias("p"),
     )
-    # a training row reads the same in every fold, so it is built and hashed once per match
-    hashed = per_role.select(
-        "match_id", "p.role", "p.payload", F.sha2("p.payload", 256).alias("payload_sha256")
+    return per_role.select(
+        *keep, "match_id", "p.role", "p.payload", F.sha2("p.payload", 256).alias("payload_sha256")
     )
-    return members.select("fold_index", "role", "match_id").join(hashed, ["match_id", "role"])
+
+
+def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
+    """Input row per (fold, role, match) of a rating model; only training rows carry the outcome."""
+    # a training row reads the same in every fold, so it is built and hashed once per match
+    return members.select("fold_index", "role", "match_id").join(_hashed_inputs(matches), ["match_id", "role"])
 
 
 def history_payloads(rows: DataFrame, role: str) -> DataFrame:
@@ -110,25 +114,61 @@ def history_payloads(rows: DataFrame, role: str) -> DataFrame:
     )
 
 
+#: A digest is added up in pieces of 15 hexadecimal digits; the fifth holds the last four of the 64.
+PIECES = [f"_p{i}" for i in range(5)]
+
+
+def _piece_sums() -> list:
+    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
+    return [F.sum(piece(i)).alias(name) for i, name in enumerate(PIECES)]
+
+
+def _sealed(summed: DataFrame, *by: str) -> DataFrame:
+    text = F.concat_ws("|", "feature_rows", *[F.col(p).cast("string") for p in PIECES])
+    return summed.select(
+        *by, "feature_rows", "train_rows", "test_rows", F.sha2(text, 256).alias("manifest_sha256")
+    )
+
+
 def manifest(payloads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Row counts per role and one digest over all input rows.
 
     Digest pieces are added up, so the result does not depend on row order and every task sends
     one partial sum instead of its list of hashes.
     """
-    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast(
-        "decimal(20,0)"
-    )
     summed = payloads.groupBy(*by).agg(
         F.count(F.lit(1)).alias("feature_rows"),
         F.count_if(F.col("role") == "train").alias("train_rows"),
         F.count_if(F.col("role") == "test").alias("test_rows"),
-        *[F.sum(piece(i)).alias(f"_p{i}") for i in range(5)],
+        *_piece_sums(),
     )
-    text = F.concat_ws("|", "feature_rows", *[F.col(f"_p{i}").cast("string") for i in range(5)])
-    return summed.select(
-        *by, "feature_rows", "train_rows", "test_rows", F.sha2(text, 256).alias("manifest_sha256")
+    return _sealed(summed, *by)
+
+
+def rating_manifests(plan: DataFrame, matches: DataFrame) -> DataFrame:
+    """``manifest`` of every fold of a plan, without listing its members.
+
+    A training set is all events before the tested one, so the sums of each event, added up along the
+    plan, give those of each fold: the matches are hashed once, and what is ordered is one row an event.
+    """
+    sums = _hashed_inputs(matches, "event_id").groupBy("event_id", "role").agg(
+        F.count(F.lit(1)).alias("_n"), *_piece_sums()
     )
+    of_role = lambda role: sums.where(F.col("role") == role).select(
+        "event_id", *[F.col(c).alias(f"{role}{c}") for c in ("_n", *PIECES)]
+    )
+    along = plan.select("event_id", "position", "fold_index").join(of_role("train"), "event_id", "left")
+    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    folds = along.join(of_role("test"), "event_id", "left").select(
+        "fold_index", "test_n", *[f"test{p}" for p in PIECES],
+        *[F.coalesce(F.sum(f"train{c}").over(before), F.lit(0)).alias(f"train{c}") for c in ("_n", *PIECES)],
+    )
+    folds = folds.where("fold_index IS NOT NULL").select(
+        "fold_index", F.col("train_n").alias("train_rows"), F.col("test_n").alias("test_rows"),
+        (F.col("train_n") + F.col("test_n")).alias("feature_rows"),
+        *[(F.col(f"train{p}") + F.col(f"test{p}")).cast("decimal(38,0)").alias(p) for p in PIECES],
+    )
+    return _sealed(folds, "fold_index")
 
 
 def outcomes(predictions: DataFrame, matches: DataFrame) -> DataFrame:
@@ -174,6 +214,17 @@ def fold_cutoffs(members: DataFrame, matches: DataFrame) -> DataFrame:
     return folds.join(last, "fold_index", "left")
 
 
+def plan_cutoffs(plan: DataFrame, matches: DataFrame) -> DataFrame:
+    """``fold_cutoffs`` of a plan from one row per event, without listing the members."""
+    last = matches.groupBy("event_id").agg(F.max("scheduled_at").alias("_last"))
+    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        plan.select("event_id", "position", "fold_index").join(last, "event_id", "left")
+        .withColumn("cutoff", F.max("_last").over(before))
+        .where("fold_index IS NOT NULL").select("fold_index", "cutoff")
+    )
+
+
 def defaulted_features(rows: DataFrame) -> DataFrame:
     """Names of the features that rest on no earlier match, sorted."""
     per_side = [

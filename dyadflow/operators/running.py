@@ -4,7 +4,8 @@ A plain window sorts a whole key in one task. ``running_before`` measures the la
 and keeps the plain window while it fits. Beyond that the rows are range-partitioned by
 (key, order), so a hot key spans many partitions; each partition keeps its own local window, and
 what earlier partitions of the same key contribute is added as a small carry. A partition border
-can split at most one key, so there are fewer carries than partitions and they may be broadcast.
+can split at most one key, so there are fewer carries than partitions; whether they are broadcast is
+left to Spark, which checks their size.
 Every row takes part in both paths and the values are identical.
 """
 
@@ -136,7 +137,7 @@ def _chunked(df, keys, order, sums, maxes, last, limit) -> DataFrame:
         ],
     )
     local = _local(chunks, by, order, sums, maxes, last)
-    joined = _match(local, F.broadcast(carry), by, "left")
+    joined = _match(local, carry, by, "left")
     kept = [c for c in local.columns if c not in {*sums, *maxes, *last}]
     return joined.select(
         *kept,

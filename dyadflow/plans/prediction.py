@@ -166,6 +166,22 @@ def win_rate(spark, sf):
     )
 
 
+@query(
+    "win_rate_ranged",
+    with_ctes(
+        "SELECT match_id, side, athlete_id, round(win_rate, 6) AS win_rate, prior_matches FROM history",
+        DYADS, SIDES, HISTORY,
+    ),
+)
+def win_rate_ranged(spark, sf):
+    # so few rows a task that athletes span several ranges, in about 64 ranges at any size
+    rows = _completed(spark, sf)
+    return features.athlete_history(rows, max_rows_per_task=max(1, rows.count() // 16)).select(
+        "match_id", "side", "athlete_id", _r("win_rate"),
+        F.col("prior_matches").cast("long").alias("prior_matches"),
+    )
+
+
 @query(
     "recent_form",
     with_ctes(
@@ -952,7 +968,7 @@ FROM members JOIN matches USING (match_id) WHERE role = 'train' GROUP BY 1""",
 )
 def fold_cutoffs(spark, sf):
     matches, _, plan = _plan(spark, sf)
-    return ledger.fold_cutoffs(folds.fold_members(plan, matches), matches).select(
+    return ledger.plan_cutoffs(plan, matches).select(
         F.col("fold_index").cast("long").alias("fold_index"), _day("cutoff")
     )
 
@@ -999,10 +1015,7 @@ FROM (SELECT fold_index, count(*) AS feature_rows, count(*) FILTER (WHERE role =
 )
 def manifest_hash(spark, sf):
     matches, _, plan = _plan(spark, sf)
-    payloads = ledger.rating_payloads(folds.fold_members(plan, matches), matches)
-    return ledger.manifest(payloads, ("fold_index",)).withColumn(
-        "fold_index", F.col("fold_index").cast("long")
-    )
+    return ledger.rating_manifests(plan, matches).withColumn("fold_index", F.col("fold_index").cast("long"))
 
 
 @query(

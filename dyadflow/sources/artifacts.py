@@ -9,13 +9,9 @@ from pyspark.sql import functions as F
 
 from dyadflow.operators.discovery import Seeds
 
-CLAIM_SCHEMA = (
-    "array<struct<timestamp:string,claim:string,speaker_or_source:string,relevance:string,"
-    "confidence:string>>"
-)
+CLAIM = "struct<timestamp:string,claim:string,speaker_or_source:string,relevance:string,confidence:string>"
 ANALYSIS_SCHEMA = (
-    f"struct<summary:string,popular_take:string,counter_case:string,key_question:string,"
-    f"claims:{CLAIM_SCHEMA}>"
+    "struct<summary:string,popular_take:string,counter_case:string,key_question:string,claims:array<string>>"
 )
 USAGE_SCHEMA = (
     "struct<promptTokenCount:bigint,candidatesTokenCount:bigint,totalTokenCount:bigint,"
@@ -73,24 +69,43 @@ def with_fallback(rows: DataFrame, document: str, schema: str) -> DataFrame:
     )
 
 
+def _claim_elements(documents: DataFrame, document: str) -> DataFrame:
+    """Elements of the claim lists as JSON text, with their position in the answer."""
+    analysis = F.get_json_object(document, "$.analysis")
+    is_list = F.startswith(F.ltrim(analysis), F.lit("["))
+    listed = F.when(is_list, analysis).otherwise(F.get_json_object(document, "$.analysis.claims"))
+    keep = [c for c in documents.columns if c != document]
+    return documents.select(*keep, F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "_element"))
+
+
+def _is_object(element: str) -> Column:
+    return F.startswith(F.ltrim(element), F.lit("{"))
+
+
 def analysis_claims(documents: DataFrame, document: str = "document") -> DataFrame:
     """Claims of model answers whose ``analysis`` is an object with claims or a bare list.
 
-    Anything else has no claims. Output rows carry the position of the claim in its answer.
+    Elements are read one by one, so one that is no object costs only itself (``claim_element_problems``
+    names it). Anything else has no claims. Output rows carry the position of the claim in its answer.
     """
-    analysis = F.get_json_object(document, "$.analysis")
-    is_list = F.startswith(F.ltrim(analysis), F.lit("["))
-    from_list = F.from_json(analysis, CLAIM_SCHEMA)
-    from_object = F.from_json(analysis, ANALYSIS_SCHEMA)["claims"]
     keep = [c for c in documents.columns if c != document]
     return (
-        documents.select(*keep, F.when(is_list, from_list).otherwise(from_object).alias("_claims"))
-        .select(*keep, F.posexplode("_claims").alias("pos", "c"))
-        .where("c IS NOT NULL")
+        _claim_elements(documents, document).where(_is_object("_element"))
+        .select(*keep, "pos", F.from_json("_element", CLAIM).alias("c"))
         .select(*keep, "pos", "c.*")
     )
 
 
+def claim_element_problems(documents: DataFrame, document: str = "document") -> DataFrame:
+    """Elements of claim lists that are no objects, nulls included, with their position."""
+    keep = [c for c in documents.columns if c != document]
+    element = F.col("_element").alias("element")
+    return (
+        _claim_elements(documents, document).where(~F.coalesce(_is_object("_element"), F.lit(False)))
+        .select(*keep, "pos", element, F.lit("claim is no object").alias("problem"))
+    )
+
+
 def analysis_summary(document: Column | str = "document") -> Column:
     """Struct of the summary texts; null fields where the analysis is a list."""
     return F.from_json(F.get_json_object(document, "$.analysis"), ANALYSIS_SCHEMA)
