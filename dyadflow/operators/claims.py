@@ -220,6 +220,112 @@ def with_text_values(rows: DataFrame, text_column: str = "_text") -> DataFrame:
     ).withColumn("text_lifts", lifts)
 
 
+#: Fixed values of nested dimensions: the fields of each, their defaults, and what a value that is no
+#: object becomes (``None``: the value itself).
+UNSTRUCTURED = "Converted from unstructured model output."
+NESTED = {
+    "measurements": (
+        {"metric": "unknown", "value": "", "unit": "", "setup_or_context": "", "confidence": "medium", "caveat": ""},
+        {"metric": None, "confidence": "low", "caveat": UNSTRUCTURED},
+    ),
+    "lifts": (
+        {"lift_name": "", "value": "", "unit": "", "setup_details_visible": False, "maps_to_table_action": "",
+         "comparability_caveat": "", "confidence": "medium"},
+        {"lift_name": None, "confidence": "low", "comparability_caveat": UNSTRUCTURED},
+    ),
+    "transferable_lessons": (
+        {"referenced_opponent_or_match": "", "tested_property": "", "transfers_how": "",
+         "transfer_strength": "medium", "caveat": ""},
+        {"referenced_opponent_or_match": None, "transfer_strength": "low", "caveat": UNSTRUCTURED},
+    ),
+}
+BODY_WEIGHT_CAVEAT = (
+    "Source claim may be self-report or commentary; verify against official weigh-in where possible."
+)
+LIFT_CAVEAT = "Extracted from claim text only; setup/handle/body position not standardized."
+
+
+def _kind_of(value: object) -> str:
+    return "boolean" if isinstance(value, bool) else "string"
+
+
+def nested(name: str, elements: Column | str) -> Column:
+    """JSON elements to structs of one dimension: objects get defaults, anything else is converted."""
+    defaults, loose = NESTED[name]
+    other_names = {"metric": ("type", "name")} if name == "measurements" else {}
+    fields = {**{f: _kind_of(v) for f, v in defaults.items()}, **{o: "string" for n in other_names.values() for o in n}}
+    schema = "struct<" + ",".join(f"{f}:{k}" for f, k in fields.items()) + ">"
+    names = [n for n in defaults]
+
+    def one(element: Column) -> Column:
+        parsed = F.from_json(element, schema)
+        whole = F.struct(*[
+            F.coalesce(parsed[f], *[parsed[o] for o in other_names.get(f, ())], F.lit(defaults[f])).alias(f)
+            for f in names
+        ])
+        converted = F.struct(*[
+            (element if f in loose and loose[f] is None else F.lit(loose.get(f, False if _kind_of(defaults[f]) == "boolean" else ""))).alias(f)
+            for f in names
+        ])
+        is_object = F.startswith(F.ltrim(element), F.lit("{")) & F.try_parse_json(element).isNotNull()
+        return F.when(is_object, whole).otherwise(converted)
+
+    shape = "array<struct<" + ",".join(f"{f}:{_kind_of(v)}" for f, v in defaults.items()) + ">>"
+    made = F.transform(F.filter(text.col(elements), lambda e: e.isNotNull()), one)
+    return F.coalesce(made, F.array()).cast(shape)
+
+
+def nested_dimensions(items: DataFrame, claims: DataFrame) -> DataFrame:
+    """Measurements, lifts and lessons of claims as arrays of structs, with what the claim's text states.
+
+    ``items`` holds them as arrays of JSON elements; null elements are dropped, missing lists are empty.
+    A weight of the text is added unless the item has that metric or lift with that value already.
+    """
+    facts = claims.select(
+        "evidence_index",
+        F.lower(F.concat_ws(" ", F.coalesce("claim", F.lit("")), F.coalesce("relevance", F.lit("")))).alias("_text"),
+    )
+    rows = items.select("evidence_index", "evidence_kind", *NESTED).join(facts, "evidence_index")
+    rows = rows.withColumns({n: nested(n, n) for n in NESTED}).withColumn("_kg", F.array_distinct(text.kg_values("_text")))
+    lower = F.col("_text")
+    weighs, some = text.contains_any(lower, vocab.BODY_WEIGHT_PHRASES), F.size("_kg") > 0
+
+    def absent(have: str, name: str, what: str, value: Column) -> Column:
+        return ~F.exists(have, lambda h: (h[name] == F.lit(what)) & (h["value"] == value))
+
+    def measured(v: Column) -> Column:
+        own = {"metric": F.lit("body_weight"), "value": v, "unit": F.lit("kg"),
+               "setup_or_context": F.lit("Extracted from claim text."), "confidence": F.lit("medium"),
+               "caveat": F.lit(BODY_WEIGHT_CAVEAT)}
+        return F.struct(*[c.alias(f) for f, c in own.items()])
+
+    new = F.filter("_kg", lambda v: absent("measurements", "metric", "body_weight", v))
+    measurements = F.when(weighs, F.concat("measurements", F.transform(new, measured))).otherwise(F.col("measurements"))
+    # two keywords may stand for one lift; the first that occurs states it
+    first: dict[str, list[str]] = {}
+    for keyword, lift in vocab.LIFT_KEYWORDS.items():
+        first.setdefault(lift, []).append(keyword)
+    def stated(lift: str, keywords: list[str]) -> Column:
+        action = F.coalesce(*[F.when(F.contains(lower, F.lit(k)), F.lit(k)) for k in keywords])
+        fresh = F.filter("_kg", lambda v: absent("lifts", "lift_name", lift, v))
+        lifted = F.transform(fresh, lambda v: F.struct(
+            F.lit(lift).alias("lift_name"), v.alias("value"), F.lit("kg").alias("unit"),
+            F.lit(False).alias("setup_details_visible"), action.alias("maps_to_table_action"),
+            F.lit(LIFT_CAVEAT).alias("comparability_caveat"), F.lit("low").alias("confidence"),
+        ))
+        return F.when(action.isNotNull(), lifted).otherwise(F.slice("lifts", 1, 0))
+
+    added = [stated(lift, keywords) for lift, keywords in first.items()]
+    lifted_any = text.contains_any(lower, list(vocab.LIFT_KEYWORDS))
+    kind = F.coalesce(text.alias("evidence_kind", vocab.EVIDENCE_KIND_ALIASES), F.lit("unclear"))
+    unclear = (kind == "unclear") & some
+    return rows.select(
+        "evidence_index",
+        F.when(unclear & weighs, "measurement").when(unclear & lifted_any, "gym_lift_proxy").otherwise(kind).alias("evidence_kind"),
+        measurements.alias("measurements"), F.concat("lifts", *added).alias("lifts"), "transferable_lessons",
+    )
+
+
 def promoted_kind(kind: Column | str) -> Column:
     """An unclear kind becomes what the text values show, weights before lifts."""
     unclear = text.col(kind) == "unclear"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadflow.operators import claims as cl
 from dyadflow.plans.fixtures import table
 from dyadflow.sources import artifacts
 
@@ -133,3 +134,42 @@ def landed_fallback(spark, sf):
     return artifacts.with_fallback(rows, "document", "struct<chars:bigint,text:string>").select(
         "doc_id", F.col("decoded.chars").alias("decoded_chars"), F.sha2("raw_text", 256).alias("raw_sha256")
     )
+
+
+@query(
+    "nested_dimensions",
+    """WITH k AS (SELECT o_orderkey AS k, 60 + o_orderkey % 90 AS kg FROM orders)
+SELECT k AS evidence_index, CASE k % 3 WHEN 0 THEN 'measurement' WHEN 1 THEN 'gym_lift_proxy' ELSE 'unclear' END AS evidence_kind,
+  concat_ws(';', CASE k % 4 WHEN 0 THEN 'reach=70::medium' WHEN 1 THEN 'tall=::low' WHEN 2 THEN 'body_weight=' || kg || '::medium' END,
+    CASE WHEN k % 3 = 0 AND k % 4 <> 2 THEN 'body_weight=' || kg || ':kg:medium' END) AS measurements,
+  concat_ws(';', CASE k % 5 WHEN 0 THEN 'curl=::medium' WHEN 1 THEN 'row=::low' END,
+    CASE WHEN k % 3 = 1 THEN 'back_pressure=' || (20 + k % 50) || '-' || (70 + k % 30) || ':kg:low' END) AS lifts,
+  CASE k % 7 WHEN 0 THEN 'old bout=::low' WHEN 1 THEN 'm=p::medium' ELSE '' END AS lessons
+FROM k""",
+)
+def nested_dimensions(spark, sf):
+    k = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*[p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts])
+    orders = table(spark, sf, "orders")
+    claim = F.when(k % 3 == 0, say("Body weight ", 60 + k % 90, " kg")).when(
+        k % 3 == 1, say("back pressure at ", 20 + k % 50, "-", 70 + k % 30, " kg")
+    ).otherwise("no numbers")
+    claims = orders.select(k.alias("evidence_index"), claim.alias("claim"), F.lit(None).cast("string").alias("relevance"))
+    items = orders.select(
+        k.alias("evidence_index"), F.lit(None).cast("string").alias("evidence_kind"),
+        F.when(k % 4 == 0, F.array(F.lit('{"type":"reach","value":"70"}'))).when(k % 4 == 1, F.array(F.lit("tall")))
+        .when(k % 4 == 2, F.array(say('{"metric":"body_weight","value":', 60 + k % 90, "}"))).alias("measurements"),
+        F.when(k % 5 == 0, F.array(F.lit('{"lift_name":"curl"}'))).when(k % 5 == 1, F.array(F.lit("row"))).alias("lifts"),
+        F.when(k % 7 == 0, F.array(F.lit("old bout"))).when(
+            k % 7 == 1, F.array(F.lit('{"referenced_opponent_or_match":"m","tested_property":"p"}'))
+        ).alias("transferable_lessons"),
+    )
+    flat = lambda c, a, b, u, q: F.array_join(F.transform(c, lambda x: F.concat(
+        x[a], F.lit("="), x[b], F.lit(":"), x[u], F.lit(":"), x[q])), ";")
+    return cl.nested_dimensions(items, claims).select(
+        "evidence_index", "evidence_kind",
+        flat("measurements", "metric", "value", "unit", "confidence").alias("measurements"),
+        flat("lifts", "lift_name", "value", "unit", "confidence").alias("lifts"),
+        flat("transferable_lessons", "referenced_opponent_or_match", "tested_property", "transfers_how", "transfer_strength")
+        .alias("lessons"),
+    )

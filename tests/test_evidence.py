@@ -130,7 +130,7 @@ def test_recency_edges(spark):
 def test_weights_and_lifts_in_text(spark):
     cases = {
         "around 105 kg and 80-85kg": ["105", "80-85"], "1234kg": [], "lifts 60 KG, ~ 70 - 75 kg": ["60", "70-75"],
-        "5 kg": [], "100kgs": [], "nearly100kg": [],
+        "5 kg": [], "100kgs": [], "nearly100kg": ["100"], "really100kg": [],
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.kg_values("t").alias("v"))
     assert {r["t"]: r["v"] for r in df.collect()} == cases
@@ -164,6 +164,28 @@ def test_dimensions_are_filled_and_kept_within_recency(spark):
     assert bare[0]["measurements"] == ["body_weight=100"]
 
 
+def test_nested_dimensions_convert_default_and_add_text_values(spark):
+    claims = spark.createDataFrame(
+        [(0, "Body weight 100 kg, 90 kg and 100 kg", None, False), (1, "pronation", "with 60 kg", True), (2, None, None, True)],
+        "evidence_index long, claim string, relevance string, current_form_allowed boolean",
+    )
+    items = spark.createDataFrame(
+        [(0, None, ['{"name": "body_weight", "value": 100}', "long arms", None, "[1]"], None, ['{"tested_property": "grip"}']),
+         (1, "measurement", ["{broken"], ['{"lift_name": "pronation", "value": "60", "setup_details_visible": true}', "7"], None),
+         (2, None, [], None, None), (9, None, ["lost"], None, None)],
+        "evidence_index long, evidence_kind string, measurements array<string>, lifts array<string>, transferable_lessons array<string>",
+    )
+    got = {r["evidence_index"]: r for r in cl.nested_dimensions(items, claims).collect()}
+    assert set(got) == {0, 1, 2}
+    m = [(x["metric"], x["value"], x["unit"], x["confidence"]) for x in got[0]["measurements"]]
+    assert m == [("body_weight", "100", "", "medium"), ("long arms", "", "", "low"), ("[1]", "", "", "low"), ("body_weight", "90", "kg", "medium")]
+    assert got[0]["evidence_kind"] == "measurement" and got[0]["lifts"] == []
+    assert got[0]["transferable_lessons"][0]["tested_property"] == "grip" and got[0]["transferable_lessons"][0]["referenced_opponent_or_match"] == ""
+    assert [(x["lift_name"], x["value"], x["setup_details_visible"]) for x in got[1]["lifts"]] == [("pronation", "60", True), ("7", "", False)]
+    assert got[1]["measurements"][0]["metric"] == "{broken"
+    assert got[2]["measurements"] == [] and got[2]["evidence_kind"] == "unclear"
+
+
 def test_atoms_get_ids_from_claim_and_position(spark):
     claims = spark.createDataFrame([(0, True, ["durable_style"]), (31, False, [])], "evidence_index long, current_form_allowed boolean, allowed_evidence_roles array<string>")
     atom = "struct<evidence_index:long,actor:string,action:string,lane:string,position_state:string,enables:array<string>,denies:array<string>,source_basis:string,confidence:string,current_form_usable:boolean,durable_style_usable:boolean,historical_context_usable:boolean>"
