@@ -1,24 +1,25 @@
-"""Idempotent writes without a row-level table format.
-
-A table is a folder of versions plus a small pointer file; a write produces a new version from the
-old one and then moves the pointer, so readers never see half a write and no path is overwritten
-while it is read.
-"""
+"""Idempotent writes: pure upserts, and a Parquet folder that takes them bucket by bucket."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dyadflow.staging import stage
+
+
+def _first_per_key(rows: DataFrame, keys: Sequence[str], *order) -> DataFrame:
+    """First row of each key in ``order``, ties by content; the top-1 is applied before the shuffle too."""
+    line = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*rows.columns))
+    return rows.withColumn("_r", F.row_number().over(line)).where("_r = 1").drop("_r")
+
 
 def latest(updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """Last row of each key; the top-1 is applied before the shuffle too."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc(seq))
-    return updates.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    """Last row of each key; rows that tie in ``seq`` are told apart by a hash of their content."""
+    return _first_per_key(updates, keys, F.desc(seq))
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
@@ -30,7 +31,7 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], seq: str) -
 
 def insert_ignore(base: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add rows whose key is not there yet, once each."""
-    fresh = rows.join(base.select(*keys), list(keys), "left_anti").dropDuplicates(list(keys))
+    fresh = _first_per_key(rows.join(base.select(*keys), list(keys), "left_anti"), keys)
     return base.unionByName(fresh).select(*base.columns)
 
 
@@ -47,45 +48,44 @@ def claim_keys(claims: DataFrame) -> DataFrame:
     return claims.withColumn("timestamp_key", F.coalesce("timestamp_seconds", F.lit(-1)))
 
 
-class VersionedTable:
-    """A Parquet table whose current version a pointer names."""
+class KeyedTable:
+    """A Parquet folder partitioned by a hash of the key.
+
+    A write reads, merges and replaces only the buckets its rows fall into (dynamic partition
+    overwrite, committed by Spark at the end of the job); the others are not touched. It takes one writer
+    at a time: where several write, use a catalog table and ``MERGE``. ``buckets`` must not change.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
-    def _pointers(self) -> DataFrame | None:
+    def _stored(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("n long, folder string").json(f"{self.root}/versions")
+            return self.spark.read.parquet(self.path)
         except AnalysisException:  # nothing was written yet
             return None
 
-    def current(self) -> tuple[int, str] | None:
-        pointers = self._pointers()
-        row = None if pointers is None else pointers.agg(F.max(F.struct("n", "folder")).alias("p")).first()
-        return None if row is None or row[0] is None else (row[0]["n"], row[0]["folder"])
-
     def read(self) -> DataFrame:
-        found = self.current()
+        found = self._stored()
         if found is None:
-            raise FileNotFoundError(self.root)
-        return self.spark.read.parquet(f"{self.root}/{found[1]}")
-
-    def replace(self, rows: DataFrame) -> None:
-        found = self.current()
-        n, folder = (found[0] + 1 if found else 0), f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{folder}")
-        self.spark.createDataFrame([(n, folder)], "n long, folder string").coalesce(1).write.mode(
-            "append"
-        ).json(f"{self.root}/versions")
-
-    def upsert(self, updates: DataFrame, keys: Sequence[str], seq: str) -> None:
-        if self.current() is None:
-            self.replace(latest(updates, keys, seq).drop(seq))
-        else:
-            self.replace(upsert(self.read(), updates, keys, seq))
-
-    def insert_ignore(self, rows: DataFrame, keys: Sequence[str]) -> None:
-        if self.current() is None:
-            self.replace(rows.dropDuplicates(list(keys)))
-        else:
-            self.replace(insert_ignore(self.read(), rows, keys))
+            raise FileNotFoundError(self.path)
+        return found.drop("_bucket")
+
+    def _merge(self, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], drop: Sequence[str]) -> None:
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        changes = stage(rows.withColumn("_bucket", bucket), "changes")
+        # as many numbers as there are buckets, at most
+        touched = [r["_bucket"] for r in changes.select("_bucket").distinct().collect()]
+        found = self._stored()
+        base = changes.drop(*drop).limit(0) if found is None else found.where(F.col("_bucket").isin(touched))
+        merged = stage(merge(base, changes), "merged")  # what is overwritten may not be read meanwhile
+        (
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("_bucket").parquet(self.path)
+        )
+
+    def upsert(self, updates: DataFrame, seq: str) -> None:
+        self._merge(updates, lambda base, new: upsert(base, new, self.keys, seq), [seq])
+
+    def insert_ignore(self, rows: DataFrame) -> None:
+        self._merge(rows, lambda base, new: insert_ignore(base, new, self.keys), [])
