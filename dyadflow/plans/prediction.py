@@ -1018,26 +1018,35 @@ def manifest_hash(spark, sf):
     return ledger.rating_manifests(plan, matches).withColumn("fold_index", F.col("fold_index").cast("long"))
 
 
+def _payload_sql(role: str, mid: str, late: str, form: str, pair: str) -> str:
+    both = lambda name, c: ", ".join(
+        f"'{name}_{t}=' || printf('%.6f', round({c.format(t=t)}, 6))" for t in "ab"
+    )
+    return f"""SELECT m.match_id, '{role}' AS role, sha256(concat_ws('|', 'arm=' || m.arm,
+    {both('days_since_last_match', '{t}.days_since_last_match')},
+    'head_to_head_diff=' || printf('%.6f', h.head_to_head_diff){mid},
+    {both('prior_rating', 'e.prior_{t}')}, {both('recent_form', '{t}.recent_form')}{late},
+    'weight_class=' || m.weight_class, {both('win_rate', '{t}.win_rate')})) AS payload_sha256
+FROM matches m JOIN elo e USING (match_id) JOIN {pair} h USING (match_id)
+JOIN {form} a ON a.match_id = m.match_id AND a.side = 'a'
+JOIN {form} b ON b.match_id = m.match_id AND b.side = 'b'"""
+
+
 @query(
     "history_payloads",
-    with_ctes(
-        """SELECT m.match_id, 'train' AS role, sha256(concat_ws('|', 'arm=' || m.arm,
-    'days_since_last_match_a=' || printf('%.6f', round(a.days_since_last_match, 6)),
-    'days_since_last_match_b=' || printf('%.6f', round(b.days_since_last_match, 6)),
-    'head_to_head_diff=' || printf('%.6f', h.head_to_head_diff),
-    'label=' || CASE WHEN m.result_a = 'win' THEN '1.0' ELSE '0.0' END,
-    'recent_form_a=' || printf('%.6f', round(a.recent_form, 6)), 'recent_form_b=' || printf('%.6f', round(b.recent_form, 6)),
-    'weight_class=' || m.weight_class,
-    'win_rate_a=' || printf('%.6f', round(a.win_rate, 6)), 'win_rate_b=' || printf('%.6f', round(b.win_rate, 6)))) AS payload_sha256
-FROM matches m JOIN h2h h USING (match_id)
-JOIN history a ON a.match_id = m.match_id AND a.side = 'a'
-JOIN history b ON b.match_id = m.match_id AND b.side = 'b'""",
-        DYADS, SIDES, HISTORY, HEAD_TO_HEAD,
+    with_recursive(
+        _payload_sql("train", ",\n    'label=' || CASE WHEN m.result_a = 'win' THEN '1.0' ELSE '0.0' END", "", "history", "h2h")
+        + "\nUNION ALL\n"
+        + _payload_sql(
+            "test", "", ",\n    'scheduled_at=' || strftime(m.scheduled_at, '%Y-%m-%d %H:%M:%S')", "at_event_form", "at_event_h2h"
+        ),
+        DYADS, SIDES, HISTORY, HEAD_TO_HEAD, ASOF, ELO,
     ),
 )
 def history_payloads(spark, sf):
-    rows = features.history_features(_completed(spark, sf))
-    return ledger.history_payloads(rows, "train").select("match_id", "role", "payload_sha256")
+    train, test = models.tabular_inputs(_completed(spark, sf))
+    rows = ledger.history_payloads(train, "train").unionByName(ledger.history_payloads(test, "test"))
+    return rows.select("match_id", "role", "payload_sha256")
 
 
 @query(
