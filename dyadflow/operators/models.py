@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.functions import vocab
 from dyadflow.operators import features, ratings
+from dyadflow.session import ship_package
 from dyadflow.staging import stage
 
 NUMERIC = [
@@ -81,19 +78,20 @@ def glicko_family() -> ModelFamily:
     return ModelFamily("rating", run)
 
 
-def _per_fold(plan: DataFrame, fit: Callable[[int, int], FoldRun]) -> FoldRun:
-    """Fit one model per fold; only fold numbers and positions are held on the driver."""
-    folds = plan.where("fold_index IS NOT NULL").select("fold_index", "position").orderBy("fold_index")
-    predictions, params = None, None
-    for row in folds.toLocalIterator():
-        one = fit(row["fold_index"], row["position"])
-        tag = F.lit(row["fold_index"]).cast("long").alias("fold_index")
-        p, q = one.predictions.select(tag, "*"), one.params.select(tag, "*")
-        predictions = p if predictions is None else predictions.unionByName(p)
-        params = q if params is None else params.unionByName(q)
-    if predictions is None:
+def _folds(plan: DataFrame) -> list[tuple[int, int]]:
+    """(fold, position of its tested event), one row per fold on the driver."""
+    rows = plan.where("fold_index IS NOT NULL").select("fold_index", "position").orderBy("fold_index").collect()
+    if not rows:
         raise ValueError("the protocol has no fold to fit")
-    return FoldRun(predictions, params)
+    return [(int(r["fold_index"]), int(r["position"])) for r in rows]
+
+
+def _trained_by(folds: Sequence[tuple[int, int]]) -> Column:
+    """The folds that train on a row at ``position``: those whose tested event comes later."""
+    every = F.array(*[
+        F.struct(F.lit(fold).cast("long").alias("fold_index"), F.lit(at).alias("at")) for fold, at in folds
+    ])
+    return F.transform(F.filter(every, lambda f: f["at"] > F.col("position")), lambda f: f["fold_index"])
 
 
 def bradley_terry_family(alpha: float = vocab.BT_ALPHA) -> ModelFamily:
@@ -102,18 +100,11 @@ def bradley_terry_family(alpha: float = vocab.BT_ALPHA) -> ModelFamily:
             matches.join(plan.select("event_id", "position", "fold_index"), "event_id"), "bt-matches"
         )
 
-        folds = plan.where("fold_index IS NOT NULL").select("fold_index", "position").collect()
-        if not folds:
-            raise ValueError("the protocol has no fold to fit")
         # games are summed for each event position first, then given to the folds that train on it
-        later = F.array(
-            *[F.struct(F.lit(f["fold_index"]).cast("long").alias("fold"), F.lit(f["position"]).alias("at")) for f in folds]
-        )
         games = (
             ratings.pair_results(placed, "position")
-            .select("athlete_id", "opponent_id", "games", "wins", "position", F.explode(later).alias("f"))
-            .where(F.col("position") < F.col("f.at"))
-            .groupBy(F.col("f.fold").alias("fold_index"), "athlete_id", "opponent_id")
+            .withColumn("fold_index", F.explode(_trained_by(_folds(plan))))
+            .groupBy("fold_index", "athlete_id", "opponent_id")
             .agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
         )
         strengths = ratings.fit_strengths(games, ["fold_index"], alpha, tolerance=1e-9)
@@ -132,49 +123,202 @@ def bradley_terry_family(alpha: float = vocab.BT_ALPHA) -> ModelFamily:
     return ModelFamily("rating", run, {"l2_regularization": alpha})
 
 
-def fit_logistic(
+DEGENERATE = "degenerate_single_class_fold"
+MAX_STEPS = 200  # of the climb; beyond it fitting fails rather than returning what it has
+
+
+def _slopes(rows: DataFrame, numeric: Sequence[str], levels: Sequence[tuple[str, str]], at: dict) -> dict:
+    """Loss, gradient and curvature of every fold's weights in one pass over its training rows.
+
+    ``at`` maps a fold to (position, weights). Tasks add up their own rows; what reaches the driver is
+    a square of the number of coefficients for each fold, whatever the rows.
+    """
+    import numpy as np
+
+    size = len(numeric) + len(levels) + 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        sums = {fold: np.zeros(1 + size + size * size) for fold in at}
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            x = np.ones((batch.num_rows, size))
+            for i, name in enumerate(numeric):
+                x[:, i] = column(name).to_numpy(zero_copy_only=False)
+            values = {c: np.array(column(c).to_pylist(), dtype=object) for c in {c for c, _ in levels}}
+            for i, (name, level) in enumerate(levels, len(numeric)):
+                x[:, i] = values[name] == level
+            label = column("label").to_numpy(zero_copy_only=False)
+            position = column("position").to_numpy(zero_copy_only=False)
+            for fold, (until, weights) in at.items():
+                mine = position < until
+                if not mine.any():
+                    continue
+                own, sign = x[mine], 1.0 - 2.0 * label[mine]
+                z = own @ weights
+                p = 0.5 * (1.0 + np.tanh(0.5 * z))
+                curved = own.T @ (own * (p * (1.0 - p))[:, None])
+                sums[fold] += np.concatenate(
+                    [[np.logaddexp(0.0, sign * z).sum()], own.T @ (p - label[mine]), curved.ravel()]
+                )
+        yield pa.RecordBatch.from_pydict({
+            "fold": pa.array(list(sums), pa.int64()),
+            "sums": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64())),
+        })
+
+    parts = rows.mapInArrow(run, "fold bigint, sums array<double>")
+    cells = parts.select("fold", F.posexplode("sums").alias("cell", "value"))
+    total = cells.groupBy("fold", "cell").agg(F.sum("value").alias("value"))
+    out = {fold: np.zeros(1 + size + size * size) for fold in at}
+    for row in total.collect():
+        out[row["fold"]][row["cell"]] = row["value"]
+    return {
+        fold: (v[0], v[1 : 1 + size], v[1 + size :].reshape(size, size)) for fold, v in out.items()
+    }
+
+
+def _climb(rows: DataFrame, numeric: Sequence[str], levels: Sequence[tuple[str, str]], until: dict[int, int]) -> dict:
+    """Newton's method on sum(loss) + |weights|^2 / 2 for all folds together, the intercept free.
+
+    Every pass over the rows serves all folds still climbing; a step that does not descend is halved.
+    """
+    import numpy as np
+
+    size = len(numeric) + len(levels) + 1
+    ridge = np.ones(size)
+    ridge[-1] = 0.0
+    best: dict[int, tuple] = {}  # fold: (objective, weights, step)
+    trial = {fold: np.zeros(size) for fold in until}
+    done: dict[int, np.ndarray] = {}
+    for _ in range(MAX_STEPS):
+        found = _slopes(rows, numeric, levels, {f: (until[f], w) for f, w in trial.items()})
+        for fold, (loss, gradient, curved) in found.items():
+            weights = trial[fold]
+            objective = loss + 0.5 * (ridge * weights**2).sum()
+            if not np.isfinite(objective) and fold not in best:
+                raise ValueError("a training feature is null or not finite")
+            if fold in best and not objective <= best[fold][0] + 1e-9 * (1.0 + abs(best[fold][0])):
+                low, start, step = best[fold]
+                best[fold] = (low, start, step / 2.0)
+                trial[fold] = start + step / 2.0
+                continue
+            slope, bend = gradient + ridge * weights, curved + np.diag(ridge)
+            scale = 1.0 / np.sqrt(np.maximum(np.diag(bend), 1e-300))
+            step = -scale * np.linalg.solve(bend * scale[:, None] * scale, slope * scale)
+            best[fold] = (objective, weights, step)
+            trial[fold] = weights + step
+            if -slope @ step < 1e-9:  # the last step squares what is left
+                done[fold] = trial.pop(fold)
+        if not trial:
+            return done
+    raise RuntimeError(f"no convergence after {MAX_STEPS} steps for folds {sorted(trial)}")
+
+
+def _weighed(rows: DataFrame, params: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """``rows`` with their fold's weights as the map ``_w`` and the linear score ``_z``.
+
+    Names a fold has no weight for count as zero: unseen categories, and all of a degenerate fold.
+    """
+    per_fold = params.groupBy("fold_index").agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_w")
+    )
+    weight = lambda name: F.coalesce(F.try_element_at("_w", name), F.lit(0.0))
+    score = weight(F.lit("intercept"))
+    for name in numeric:
+        score = score + F.col(name) * weight(F.lit(name))
+    for name in categorical:
+        score = score + weight(F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit(""))))
+    return rows.join(per_fold, "fold_index").withColumn("_z", score)
+
+
+def fit_logistic_folds(
     train: DataFrame,
     test: DataFrame,
+    folds: Sequence[tuple[int, int]],
     numeric: Sequence[str] = tuple(NUMERIC),
     categorical: Sequence[str] = tuple(CATEGORICAL),
 ) -> FoldRun:
-    """Penalised logistic regression, vocabulary taken from the training rows.
+    """Penalised logistic regression of every fold, in one climb.
 
-    A category that training never saw becomes all zeros. Training rows with a single outcome
-    cannot place a boundary; the prediction is then 0.5 throughout.
+    ``train`` rows carry ``position``; a fold trains on those before its own. ``test`` rows carry
+    ``fold_index``. A fold's vocabulary is what its training rows hold: a category they never show
+    has no weight and counts as zero. Where they hold a single outcome, no boundary can be placed
+    and the prediction is 0.5 throughout. The number of categories must suit a square matrix.
     """
-    n, low, high = train.agg(F.count(F.lit(1)), F.min("label"), F.max("label")).first()
-    if n == 0 or low == high:
-        params = train.sparkSession.createDataFrame(
-            [("degenerate_single_class_fold", 1.0)], "name string, value double"
-        )
-        return FoldRun(test.select("match_id", "result_a", F.lit(0.5).alias("p_a")), params)
-    indexed = [f"_{c}_index" for c in categorical]
-    hot = [f"_{c}_hot" for c in categorical]
-    indexer = StringIndexer(
-        inputCols=list(categorical), outputCols=indexed, handleInvalid="keep",
-        stringOrderType="alphabetAsc",
-    )
-    # the slot for unseen values is the last one, and the encoder drops it
-    encoder = OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True)
-    assembler = VectorAssembler(inputCols=[*numeric, *hot], outputCol="_features")
-    regression = LogisticRegression(
-        featuresCol="_features", labelCol="label", probabilityCol="_probability",
-        regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-7,
+    spark = train.sparkSession
+    ship_package(spark)
+    seen: dict[tuple[str, str], int] = {}
+    for name in categorical:
+        for row in train.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("position").alias("at")).collect():
+            seen[(name, row[name])] = row["at"]
+    levels = sorted(seen)
+    wins = train.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("won")).collect()
+    until = {}
+    for fold, at in folds:
+        n = sum(r["n"] for r in wins if r["position"] < at)
+        won = sum(r["won"] for r in wins if r["position"] < at)
+        if 0 < won < n:
+            until[fold] = at
+    fitted = _climb(train.select(*numeric, *categorical, "label", "position"), numeric, levels, until) if until else {}
+    values = []
+    for fold, at in folds:
+        if fold not in fitted:
+            values.append((fold, DEGENERATE, 1.0))
+            continue
+        named = [*numeric, *[f"{c}={v}" for c, v in levels], "intercept"]
+        unseen = {f"{c}={v}" for (c, v), first in seen.items() if first >= at}
+        values += [
+            (fold, n, float(w)) for n, w in zip(named, fitted[fold], strict=True) if n not in unseen
+        ]
+    params = spark.createDataFrame(values, "fold_index long, name string, value double")
+    scored = _weighed(test.withColumn("fold_index", F.col("fold_index").cast("long")), params, numeric, categorical)
+    p_a = (1.0 / (1.0 + F.exp(-F.col("_z")))).alias("p_a")
+    return FoldRun(scored.select("fold_index", "match_id", "result_a", p_a), params)
+
+
+def fit_logistic(
+    train: DataFrame,
+    test: DataFrame,
+    numeric: Sequence[str] = tuple(NUMERIC),
+    categorical: Sequence[str] = tuple(CATEGORICAL),
+) -> FoldRun:
+    """``fit_logistic_folds`` with all of ``train`` and ``test`` as one fold."""
+    run = fit_logistic_folds(
+        train.withColumn("position", F.lit(0)), test.withColumn("fold_index", F.lit(0)), [(0, 1)],
+        numeric, categorical,
     )
-    fitted = Pipeline(stages=[indexer, encoder, assembler, regression]).fit(train)
-    names = list(numeric)
-    for column, labels in zip(categorical, fitted.stages[0].labelsArray):
-        names += [f"{column}={label}" for label in labels]
-    model = fitted.stages[-1]
-    weights = [(n_, float(w)) for n_, w in zip(names, model.coefficients.toArray())]
-    params = train.sparkSession.createDataFrame(
-        [*weights, ("intercept", float(model.intercept))], "name string, value double"
+    return FoldRun(run.predictions.drop("fold_index"), run.params.drop("fold_index"))
+
+
+def logistic_gradient(
+    train: DataFrame,
+    params: DataFrame,
+    folds: Sequence[tuple[int, int]],
+    numeric: Sequence[str] = tuple(NUMERIC),
+    categorical: Sequence[str] = tuple(CATEGORICAL),
+) -> DataFrame:
+    """(fold_index, name, gradient) of the penalised loss at ``params``: all zero at the optimum.
+
+    Relative to the total magnitude of the feature's values, so that one rounding suits all features.
+    """
+    rows = train.withColumn("fold_index", F.explode(_trained_by(folds)))
+    miss = 1.0 / (1.0 + F.exp(-F.col("_z"))) - F.col("label")
+    one = lambda name, value: F.struct(name.alias("name"), value.cast("double").alias("x"))
+    inputs = [
+        *[one(F.lit(n), F.col(n)) for n in numeric],
+        *[one(F.concat(F.lit(f"{n}="), F.col(n)), F.lit(1)) for n in categorical],
+        one(F.lit("intercept"), F.lit(1)),
+    ]
+    listed = _weighed(rows, params, numeric, categorical).select(
+        "fold_index", miss.alias("miss"), F.explode(F.array(*inputs)).alias("i")
     )
-    scored = fitted.transform(test).select(
-        "match_id", "result_a", vector_to_array("_probability")[1].alias("p_a")
+    sums = listed.groupBy("fold_index", F.col("i.name").alias("name")).agg(
+        F.sum(F.col("miss") * F.col("i.x")).alias("slope"), F.sum(F.abs("i.x")).alias("size")
     )
-    return FoldRun(scored, params)
+    penalty = F.when(F.col("name") == "intercept", 0.0).otherwise(F.col("value"))
+    gradient = (F.col("slope") + penalty) / F.greatest("size", F.lit(1.0))
+    return sums.join(params, ["fold_index", "name"]).select("fold_index", "name", gradient.alias("gradient"))
 
 
 def tabular_inputs(
@@ -207,16 +351,8 @@ def logistic_family(
         train, test = tabular_inputs(_eligible(matches, plan), evidence, default_ratings)
         place = plan.select("event_id", "position", "fold_index")
         train = stage(train.join(place, "event_id"), "train-rows")
-        test = stage(test.join(place, "event_id"), "test-rows")
-
-        def fit(fold: int, position: int) -> FoldRun:
-            return fit_logistic(
-                train.where(F.col("position") < position),
-                test.where(F.col("fold_index") == fold),
-                numeric,
-            )
-
-        return _per_fold(plan, fit)
+        test = stage(test.join(place, "event_id").where("fold_index IS NOT NULL"), "test-rows")
+        return fit_logistic_folds(train, test, _folds(plan), numeric)
 
     return ModelFamily("tabular", run)
 

@@ -691,6 +691,26 @@ def logreg_coefficients(spark, sf):
     )
 
 
+@query(
+    "logreg_gradient",
+    with_ctes(
+        f"""SELECT DISTINCT CAST(t.fold_index AS BIGINT) AS fold_index, n.name, 0.0::DOUBLE AS gradient
+FROM matches m JOIN eligible e USING (event_id) JOIN tested t ON e.position < t.position,
+  LATERAL (SELECT unnest([{", ".join(f"'{n}'" for n in models.NUMERIC)}, 'intercept',
+    'arm=' || m.arm, 'weight_class=' || m.weight_class]) AS name) n""",
+        DYADS, SIDES, FOLDS,
+    ),
+)
+def logreg_gradient(spark, sf):
+    """What a fitted fold's weights leave of the penalised gradient, and which names it has learned."""
+    matches, _, plan = _plan(spark, sf)
+    run = models.logistic_family().run(matches, plan)
+    place = plan.select("event_id", "position")
+    train = models.tabular_inputs(matches)[0].join(place, "event_id")
+    slopes = models.logistic_gradient(train, run.params, models._folds(plan))
+    return slopes.select("fold_index", "name", (F.round("gradient", 6) + 0.0).alias("gradient"))
+
+
 # the climb of every fold at once, over the results of its training events
 _BRADLEY_TERRY_FOLDS = """
 fold_results AS MATERIALIZED (
