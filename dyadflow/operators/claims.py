@@ -514,6 +514,14 @@ def extraction_submissions(extractions: DataFrame) -> DataFrame:
     )
 
 
+def ingestion_summary(claims: DataFrame, by: Sequence[str] = ("batch_key",)) -> DataFrame:
+    """Sources and claims that each batch brought; a source counts once however many claims it has."""
+    per_source = claims.groupBy(*by, "source_id").agg(F.count(F.lit(1)).alias("_n"))
+    return per_source.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sources"), F.sum("_n").alias("claims")
+    )
+
+
 def not_yet_extracted(candidates: DataFrame, extractions: DataFrame) -> DataFrame:
     """Candidates without a completed extraction for the same match, source, provider, model and
     prompt version."""

@@ -168,26 +168,28 @@ def cutoff_features(matches: DataFrame, max_rows_per_task: int | None = None) ->
     keep = ("arm", "weight_class", "result_a")
     n_events = event_count(matches)
     pair_events = running_before(
-        matches.groupBy(*PAIR, *EVENT_ORDER).agg(F.sum(_sign()).alias("_diff")),
+        matches.groupBy(*PAIR, *EVENT_ORDER).agg(
+            F.sum(_sign()).alias("_diff"), F.count(F.lit(1)).alias("_met")
+        ),
         PAIR, EVENT_ORDER,
-        sums={"head_to_head_diff": "_diff"},
+        sums={"head_to_head_diff": "_diff", "prior_meetings": "_met"},
         max_rows_per_task=max_rows_per_task,
         group_bound=n_events,
-    ).drop("_diff")
+    ).drop("_diff", "_met")
     with_pair = matches.join(pair_events, [*PAIR, *EVENT_ORDER])
-    long = sides(with_pair, *keep, "head_to_head_diff").join(
+    long = sides(with_pair, *keep, "head_to_head_diff", "prior_meetings").join(
         _event_state(matches, max_rows_per_task, n_events), ["athlete_id", *EVENT_ORDER]
     )
     last = F.col("_last")
     valued = long.select(
-        *MATCH_ORDER, *keep, "head_to_head_diff", "side", "athlete_id",
+        *MATCH_ORDER, *keep, "head_to_head_diff", "prior_meetings", "side", "athlete_id",
         F.col("_before").alias("prior_matches"),
         _win_rate("_before_wins", "_before").alias("win_rate"),
         _recent_form(last).alias("recent_form"),
         _days_since(last).alias("days_since_last_match"),
     )
     return valued.groupBy("match_id").agg(
-        *[F.first(c).alias(c) for c in (*MATCH_ORDER[:3], *keep, "head_to_head_diff")],
+        *[F.first(c).alias(c) for c in (*MATCH_ORDER[:3], *keep, "head_to_head_diff", "prior_meetings")],
         *[
             per_side(c, s)
             for c in (

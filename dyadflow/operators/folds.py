@@ -71,11 +71,16 @@ def fold_members(plan: DataFrame, matches: DataFrame) -> DataFrame:
     return train.unionByName(test)
 
 
+def missing_slugs(events: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Requested slugs that no event has, each once."""
+    return wanted.select("slug").distinct().join(events.select("slug"), "slug", "left_anti")
+
+
 def resolve_events(events: DataFrame, slugs: list[str]) -> DataFrame:
     """Event rows for the given slugs; unknown slugs are an error."""
     spark = events.sparkSession
     wanted = spark.createDataFrame([(s,) for s in slugs], "slug string").distinct()
-    missing = [r[0] for r in wanted.join(events, "slug", "left_anti").collect()]
+    missing = [r[0] for r in missing_slugs(events, wanted).collect()]
     if missing:
         raise ValueError(f"unknown event slugs: {sorted(missing)}")
     return events.join(wanted, "slug", "left_semi")

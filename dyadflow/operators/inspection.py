@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from dyadflow.operators import evidence, ledger as lg
 from dyadflow.operators import features, stats
-from dyadflow.operators.dyads import MATCH_ORDER
 from dyadflow.operators.folds import fold_members
 from dyadflow.operators.ledger import Ledger
 from dyadflow.operators.protocols import ProtocolStore
-from dyadflow.operators.running import running_before
 
 
 def _run(ledger: Ledger, run_id: int):
@@ -54,6 +52,26 @@ def run_report(
     }
 
 
+def known_at_cutoff(rows: DataFrame, matches: DataFrame, target: DataFrame) -> DataFrame:
+    """Matches of the target's two athletes that its fold was trained on, by the stored input rows."""
+    folds = rows.where(F.col("role") == "test").join(target.select("match_id"), "match_id", "left_semi")
+    trained = rows.where(F.col("role") == "train").join(folds.select("fold_index"), "fold_index", "left_semi")
+    both = target.select(F.explode(F.array("athlete_a_id", "athlete_b_id")).alias("_who")).distinct()
+    ids = [r["_who"] for r in both.collect()]  # of one match
+    theirs = F.col("athlete_a_id").isin(ids) | F.col("athlete_b_id").isin(ids)
+    return matches.where(theirs).join(trained.select("match_id"), "match_id", "left_semi")
+
+
+def history_counts(known: DataFrame, target: DataFrame) -> DataFrame:
+    """(match_id, prior_matches_a, prior_matches_b, prior_meetings) of the target over known matches."""
+    sources = features.full_provenance(known, target)
+    count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
+    return target.select("match_id").join(sources, "match_id", "left").groupBy("match_id").agg(
+        *[count(F.col("side") == s).alias(f"prior_matches_{s}") for s in "ab"],
+        count((F.col("side") == "a") & F.col("in_head_to_head")).alias("prior_meetings"),
+    )
+
+
 def explain_prediction(
     ledger: Ledger,
     run_id: int,
@@ -71,14 +89,11 @@ def explain_prediction(
         raise ValueError(f"run {run_id} has no persisted test input for match {match_id}")
     cutoffs = lg.fold_cutoffs(rows.select("fold_index", "role", "match_id"), matches)
     target = matches.where(F.col("match_id") == match_id)
-    meetings = running_before(matches, features.PAIR, MATCH_ORDER, sums={"prior_meetings": F.lit(1)})
-    history = features.history_features(matches).join(
-        meetings.select("match_id", "prior_meetings"), "match_id"
-    )
+    known = known_at_cutoff(rows, matches, target)
     sections = {
         "inputs": inputs.join(cutoffs, "fold_index", "left"),
-        "defaulted": lg.defaulted_features(history).where(F.col("match_id") == match_id),
-        "sources": features.full_provenance(matches, target),
+        "defaulted": lg.defaulted_features(history_counts(known, target)),
+        "sources": features.full_provenance(known, target),
         "predictions": lg.outcomes(
             _of(ledger, "predictions", run_id).where(F.col("match_id") == match_id), matches
         ),

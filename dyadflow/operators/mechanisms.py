@@ -256,6 +256,48 @@ def attach(claims: DataFrame, dimensions: DataFrame, atoms: DataFrame) -> DataFr
     return claims.join(dimensions, "evidence_index", "left").join(atoms, "evidence_index", "left")
 
 
+def attach_nested(claims: DataFrame, dimensions: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Claims with their dimension and their atoms as one array, empty where there are none.
+
+    The atoms of a claim come from a single model response, which bounds the array. They are sorted.
+    """
+    fields = [c for c in atoms.columns if c != "evidence_index"]
+    first = ["atom_id", *[f for f in fields if f != "atom_id"]]
+    lists = atoms.groupBy("evidence_index").agg(F.sort_array(F.collect_list(F.struct(*first))).alias("atoms"))
+    joined = claims.join(dimensions, "evidence_index", "left").join(lists, "evidence_index", "left")
+    shape = lists.schema["atoms"].dataType
+    return joined.withColumn("atoms", F.coalesce("atoms", F.array().cast(shape)))
+
+
+def dossier_summary(claims: DataFrame, atoms: DataFrame, themes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``evidence_summary`` of each dossier with how many atoms and themes it has."""
+    counted = evidence_summary(claims, by)
+    for rows, name in ((atoms, "atom_count"), (themes, "theme_count")):
+        counted = counted.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias(name)), list(by), "left")
+    return counted.fillna(0, ["atom_count", "theme_count"])
+
+
+def dossier_documents(
+    sections: Mapping[str, DataFrame], by: Sequence[str], order: Mapping[str, str], max_rows: int = 100_000
+) -> DataFrame:
+    """One row per dossier: each section as an array, sorted by its ``order`` column, empty where it has none.
+
+    For dossiers that fit a document: one that has more than ``max_rows`` rows in a section is an
+    error, raised before any list is built; ``write_bundle`` keeps such dossiers as rows.
+    """
+    whole = None
+    for name, rows in sections.items():
+        largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if largest > max_rows:
+            raise ValueError(f"section {name!r} has a dossier of {largest} rows; write it as rows instead")
+        fields = [order[name], *[c for c in rows.columns if c not in (*by, order[name])]]
+        lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+        whole = lists if whole is None else whole.join(lists, list(by), "full")
+    for name in sections:
+        whole = whole.withColumn(name, F.coalesce(name, F.array().cast(whole.schema[name].dataType)))
+    return whole
+
+
 def theme_claims(themes: DataFrame, claims: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` existing claims of each theme, in the order the theme cites them.
 

@@ -34,9 +34,17 @@ def accepted_files(rows: DataFrame, file_key: str) -> DataFrame:
     return rows.join(bad, file_key, "left_anti").drop("problems")
 
 
-def outcome_counts(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Selected, completed and failed rows of a batch."""
+def outcome_counts(rows: DataFrame, by: Sequence[str] = (), skipped: Column | None = None) -> DataFrame:
+    """Selected, completed and failed rows of a batch; with ``skipped``, rows that were not tried as well."""
     failed = F.size("problems") > 0
+    if skipped is not None:
+        tried = ~F.coalesce(skipped, F.lit(False))
+        return rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("selected"),
+            F.count_if(tried & ~failed).alias("completed"),
+            F.count_if(tried & failed).alias("failed"),
+            F.count_if(~tried).alias("skipped"),
+        )
     return rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("selected"),
         F.count_if(~failed).alias("completed"),
