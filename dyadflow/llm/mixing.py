@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.llm.ranges import prefix_sum, range_sorted
+from dyadflow.llm.rows import boxed, named
 from dyadflow.staging import stage
 
 WEIGHTS = (3, 1, 2)
@@ -111,14 +112,14 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Rows that agree in every column are told apart by nothing, so they share the sum of their copies.
     """
-    hashed = df.withColumn("_row", F.xxhash64(*df.columns))
+    row_hash = F.xxhash64(*map(named, df.columns))
+    hashed = df.select(key, text, "source", row_hash.alias("_row"))
     copies = (
         mix(hashed, key, text, keep=["_row"]).groupBy(F.col(key).alias("_key"), "_row")
         .agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
     )
-    rows = hashed.groupBy(F.col(key).alias("_own"), F.col("_row").alias("_hash")).agg(
-        F.first(F.struct(*df.columns)).alias("_whole")
-    )
+    rows = df.select(F.col(key).alias("_own"), row_hash.alias("_hash"), boxed(df).alias("_whole"))
+    rows = rows.groupBy("_own", "_hash").agg(F.first("_whole").alias("_whole"))
     matched = rows.join(
         copies, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_row"))
     )

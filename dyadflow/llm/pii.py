@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadflow.llm import spans as sp
+from dyadflow.llm.rows import boxed
 
 CONTEXT_CHARS = 48
 THRESHOLD = 0.5
@@ -170,10 +171,10 @@ def find_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
 def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Replace every span by ``<KIND>``; spans that overlap become one, named by the first.
 
-    Texts without a span, nulls included, stay as they are.
+    Texts without a span, nulls included, stay as they are; so do all other columns, whatever their names.
     """
-    marked = find_pii(df, text, threshold)
-    source = F.col(text)
+    marked = find_pii(df.select(boxed(df).alias("_row"), F.col(text).alias("_text")), "_text", threshold)
+    source = F.col("_text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def add(state: Column, span: Column) -> Column:
@@ -192,12 +193,13 @@ def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
         return F.concat(state["out"], rest)
 
     rebuilt = F.aggregate(F.col("pii"), start, add, close)
-    return marked.withColumn(text, F.when(F.size("pii") > 0, rebuilt).otherwise(source)).drop("pii")
+    clean = F.when(F.size("pii") > 0, rebuilt).otherwise(source)
+    return marked.select(F.col("_row").withField(f"`{text}`", clean).alias("_row")).select("_row.*")
 
 
 def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: counts and digest of the base spans, and all spans as a string."""
-    marked = find_pii(df, text).select(key, "pii")
+    marked = find_pii(df.select(key, text), text).select(key, "pii")
     base = F.filter("pii", lambda s: s["rank"] < len(BASE))
     count = lambda rank: F.size(F.filter("pii", lambda s: s["rank"] == rank)).cast("bigint")
     return marked.select(

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadflow.llm.components import components
+from dyadflow.llm.rows import boxed
 from dyadflow.session import ship_package
 from dyadflow.staging import stage
 
@@ -290,7 +291,7 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
     """
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     prints = stage(
-        fingerprints(df.withColumn("_content", content), [key, "_content"], text, shingle, WIDE_WORDS),
+        fingerprints(df.select(key, text, content.alias("_content")), [key, "_content"], text, shingle, WIDE_WORDS),
         "wide",
     )
     nulls_last = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias(c))
@@ -345,12 +346,8 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
         ),
         "kept",
     )
-    columns = df.columns
-    rows = (
-        df.withColumn("_content", content)
-        .groupBy(F.col(key).alias("_key"), "_content")
-        .agg(F.first(F.struct(*columns)).alias("_row"))
-    )
+    rows = df.select(F.col(key).alias("_key"), content.alias("_content"), boxed(df).alias("_row"))
+    rows = rows.groupBy("_key", "_content").agg(F.first("_row").alias("_row"))
     matched = rows.join(
         kept, rows["_key"].eqNullSafe(kept["_key"]) & (rows["_content"] == kept["_content"]), "left_semi"
     )
