@@ -11,10 +11,12 @@ blocks, and two members that name the same point differ in two bits at most (and
 in two or one name a common point), so members of a point are linked in a line to its smallest.
 That part is for k = 2.
 
-``distinct_documents`` is for similarities where k would be a tenth of all bits: 512-bit fingerprints,
-many blocks of sampled bits, neighbours within a block kept by their Hamming distance, and in a band
-around the threshold by their shingles. It may miss a link with a probability that falls with the
-similarity (``BLOCKS``); it makes no wrong one but where shingles agree in 0.75 and more.
+``distinct_documents`` is for similarities where k would be a tenth of all bits, and is exact: a prefix
+join on the rarest shingles names every pair whose shingle sets can agree to ``SIMILARITY``, and whole
+sets are compared for each pair that links, whatever its fingerprints. Before that, fingerprints of
+512 bits connect what is close (neighbours within blocks of sampled bits, compared like the others),
+so that the join need not list the pairs of a large group: only pairs across what is connected already
+are named. Shingles count by their 64-bit hashes, equal sets by a 64-bit hash of the set.
 
 Null and empty texts have fingerprint zero and are linked like any other. Empty tables give none.
 Repeated rows are rows of the same class. Other columns play no part.
@@ -41,13 +43,14 @@ HOT_KEY = 48  # members of a key from which points are named instead of pairs
 WIDE_WORDS = 8  # 64-bit words of a wide fingerprint
 BLOCK_BITS = 24
 KEY_BITS = 57  # a block's bits and those that sort its members
-FIRST_BLOCKS = 16  # of the blocks; what these connect is not compared again
-BLOCKS = 128  # finds 93 of 100 pairs of similarity 0.8, 99 of 0.85, all but one in 10,000 of 0.9
-#: Of 512 bits, similarity 0.8 differs in 78 on average, with a deviation of 8: up to SURE pairs are
-#: taken as they are (0.87 and more on average), up to WIDE_DISTANCE their shingles are compared.
-SURE = 60
+FIRST_BLOCKS = 4  # of the blocks; what these connect is not compared again
+BLOCKS = 16  # to connect large groups early; what they miss is found by the prefix join
+#: Of 512 bits, similarity 0.8 differs in 78 on average, with a deviation of 8: neighbours above are
+#: left to the prefix join.
 WIDE_DISTANCE = 110
-SIMILARITY = 0.8
+SIMILARITY = (4, 5)  # a fraction, so that sizes are compared as whole numbers
+COUNTERS = 1 << 20  # of shingles by hash; they order shingles by frequency, any order is right
+COUNTER_SLICE = 4_096
 
 
 def _counts(hashes, words: int):
@@ -225,25 +228,210 @@ def _block_keys(classes: DataFrame, numbers: range) -> DataFrame:
 
 
 def candidates(classes: DataFrame, numbers: range) -> DataFrame:
-    """(id, root, wide fp) → pairs (a, b) with their ``distance``, up to ``WIDE_DISTANCE``.
+    """(id, root, wide fp) → pairs (a, b) up to ``WIDE_DISTANCE``, to connect large groups early.
 
     Members of a block are sorted by further bits, so that the closest stand side by side, and every
-    member is compared with the one before it, unless both have one root. A block of any size gives
-    at most one candidate a member.
+    member is compared with the one before it, unless both have one root. Rows are range-sorted, so a
+    block of any size spreads over tasks; a neighbour across a border is not compared here.
     """
-    keyed = _block_keys(classes, numbers)
-    block = F.shiftright("key", KEY_BITS - BLOCK_BITS)
-    line = Window.partitionBy(block).orderBy("key", "id")
-    met = keyed.select("id", "root", F.lag("id").over(line).alias("_id"), F.lag("root").over(line).alias("_root"))
-    pairs = (
-        met.where("_id IS NOT NULL AND root <> _root")
-        .select(F.least("id", "_id").alias("a"), F.greatest("id", "_id").alias("b")).distinct()
-    )
+    keyed = _block_keys(classes, numbers).repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, roots, keys = (batch.column(i).to_numpy() for i in range(3))
+            blocks = keys >> np.int64(KEY_BITS - BLOCK_BITS)
+            if last is not None:
+                ids, roots, blocks = (np.concatenate([[x], y]) for x, y in zip(last, (ids, roots, blocks), strict=True))
+            last = ids[-1], roots[-1], blocks[-1]
+            met = (blocks[1:] == blocks[:-1]) & (roots[1:] != roots[:-1])
+            a, b = ids[1:][met], ids[:-1][met]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+            )
+
+    pairs = keyed.mapInArrow(run, "a bigint, b bigint").distinct()
     left = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
     right = classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
     apart = F.aggregate(F.zip_with("fa", "fb", _distance), F.lit(0), lambda total, d: total + d)
-    measured = pairs.join(left, "a").join(right, "b").select("a", "b", apart.alias("distance"))
-    return measured.where(F.col("distance") <= WIDE_DISTANCE)
+    return pairs.join(left, "a").join(right, "b").where(apart <= WIDE_DISTANCE).select("a", "b")
+
+
+def _shingle_set(text: bytes | None, shingle: int):
+    import numpy as np
+
+    return np.unique(np.concatenate([*shingle_hashes(text, shingle), np.zeros(0, np.uint64)]))
+
+
+def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, _content, id, fp) of each row: a hash and the wide fingerprint of its set of shingles;
+    no id without words. Rows with a ``slice`` hold each task's counts of shingles by ``COUNTERS``.
+    """
+    ship_package(df.sparkSession)
+    content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    source = df.select(F.col(key).alias("_key"), content.alias("_content"), F.encode(text, "UTF-8").alias("_text"))
+    kind = source.schema["_key"].dataType.simpleString()
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+        import xxhash
+
+        counts, none = np.zeros(COUNTERS, dtype=np.uint32), None
+        for batch in batches:
+            none = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids, prints, places = [], [], []
+                for t in part.column(2):
+                    own = _shingle_set(t.as_py(), shingle)
+                    bits = _counts(own, WIDE_WORDS) * 2 > len(own)
+                    prints.append(np.packbits(bits, bitorder="little").tobytes())
+                    ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else None)
+                    places.append(own % np.uint64(COUNTERS))
+                counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                ends = np.arange(len(prints) + 1, dtype=np.int32) * WIDE_WORDS
+                fp = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(prints), dtype="<i8")))
+                signed = [i if i is None or i < 1 << 63 else i - (1 << 64) for i in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(signed, pa.int64()), fp,
+                     pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
+                    names=["_key", "_content", "id", "fp", "slice", "counts"],
+                )
+        slices = [n for n, part in enumerate(counts.reshape(-1, COUNTER_SLICE)) if part.any()]
+        if not slices:
+            return
+        packed = [zlib.compress(counts.reshape(-1, COUNTER_SLICE)[n].astype("<u4").tobytes(), 1) for n in slices]
+        size = len(slices)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(size, none), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()),
+             pa.nulls(size, pa.list_(pa.int64())), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())],
+            names=["_key", "_content", "id", "fp", "slice", "counts"],
+        )
+
+    return source.mapInArrow(
+        run, f"_key {kind}, _content string, id bigint, fp array<bigint>, slice int, counts binary"
+    )
+
+
+def _levels(counted: DataFrame) -> bytes:
+    """Each counter's frequency as one byte on a log scale, packed: one megabyte for any input."""
+    import zlib
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums = {}
+        for batch in batches:
+            for n, packed in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                own = np.frombuffer(zlib.decompress(packed), dtype="<u4").astype(np.int64)
+                sums[n] = sums.get(n, 0) + own
+        if sums:
+            levels = [np.minimum(6 * np.log2(s + 1), 255).astype(np.uint8).tobytes() for s in sums.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["slice", "levels"]
+            )
+
+    dealt = counted.select("slice", "counts").repartition("slice")
+    out = bytearray(COUNTERS)
+    for row in dealt.mapInArrow(run, "slice int, levels binary").collect():
+        out[row["slice"] * COUNTER_SLICE : (row["slice"] + 1) * COUNTER_SLICE] = row["levels"]
+    return zlib.compress(bytes(out))
+
+
+def _prefixes(texts: DataFrame, levels: bytes, shingle: int) -> DataFrame:
+    """(id, text) → (shingle, id, size, place): of each set of ``size`` shingles, rarest first, as many
+    as a set that agrees with it to ``SIMILARITY`` cannot miss altogether.
+    """
+    part, whole = SIMILARITY
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        level = np.frombuffer(zlib.decompress(levels), dtype=np.uint8)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                firsts, sizes = [], []
+                for t in rows.column(1):
+                    own = _shingle_set(t.as_py(), shingle)
+                    size = len(own)
+                    order = np.lexsort((own, level[own % np.uint64(COUNTERS)]))
+                    firsts.append(own[order[: size + (-part * size // whole) + 1]])  # size - ceil(0.8 size) + 1
+                    sizes.append(size)
+                counts = [len(f) for f in firsts]
+                places = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(firsts).view(np.int64)),
+                        pa.array(np.repeat(rows.column(0).to_numpy(), counts)),
+                        pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
+                        pa.array(places),
+                    ],
+                    names=["shingle", "id", "size", "place"],
+                )
+
+    coded = texts.select("id", F.encode("text", "UTF-8").alias("text"))
+    return coded.mapInArrow(run, "shingle bigint, id bigint, size int, place int")
+
+
+def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``_prefixes`` and (id, root) → every pair (a, b) of different roots that can reach ``SIMILARITY``.
+
+    Of two similar sets, the first shingle they share is in the prefix of the larger one and in a
+    shorter prefix of the smaller one, and as many shingles follow it in both as must be shared. Pairs
+    of roots are found before their members, so rows of one root never meet each other.
+    """
+    part, whole = SIMILARITY
+    both = part + whole  # shared >= part / both * (size of one + size of the other)
+    held = stage(prefixes, "prefixes")
+    met = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    shared = stage(
+        held.join(met.select("shingle"), "shingle").distinct().join(roots.select("id", "root"), "id"), "shared"
+    )
+    across = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows = stage(
+        shared.join(across.where("low < high").select("shingle"), "shingle")
+        .withColumn("tail", F.col("size") - F.col("place")),
+        "across",
+    )
+    # the smaller of two sets shares 2 part / both of its own shingles at least
+    small = rows.where(F.col("tail") * both >= F.col("size") * 2 * part)
+
+    def grouped(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("shingle", F.col("root").alias(f"r{name}")).agg(
+            F.max("tail").alias(f"t{name}"), F.min("size").alias(f"l{name}"), F.max("size").alias(f"h{name}")
+        )
+
+    def reach(a: str, b: str, size_a: str, size_b: str) -> Column:
+        return F.least(a, b) * both >= (F.col(size_a) + F.col(size_b)) * part
+
+    root_pairs = (
+        grouped(small, "a").join(grouped(rows, "b"), "shingle")
+        .where((F.col("ra") != F.col("rb")) & (F.col("la") <= F.col("hb")) & reach("ta", "tb", "la", "lb"))
+        .select("shingle", "ra", "rb")
+    )
+    side = lambda frame, n: frame.select(
+        "shingle", F.col("root").alias(f"r{n}"), F.col("id").alias(n),
+        F.col("size").alias(f"s{n}"), F.col("tail").alias(f"t{n}"),
+    )
+    ordered = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    return (
+        root_pairs.join(side(small, "a"), ["shingle", "ra"]).join(side(rows, "b"), ["shingle", "rb"])
+        .where(ordered & reach("ta", "tb", "sa", "sb"))
+        .select("a", "b").distinct()
+    )
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -256,10 +444,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [
-                    np.unique(np.concatenate([*shingle_hashes(t.as_py(), shingle), np.zeros(0, np.uint64)]))
-                    for t in part.column(1)
-                ]
+                sets = [_shingle_set(t.as_py(), shingle) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = pa.array(np.concatenate(sets).astype(np.uint64).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(ends), values)
@@ -269,14 +454,16 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return coded.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``least`` and more."""
-    sets = stage(_shingle_sets(texts, shingle).dropDuplicates(["id"]), "shingles")
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` and more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = stage(_shingle_sets(texts.join(asked, "id"), shingle).dropDuplicates(["id"]), "shingles")
+    part, whole = SIMILARITY
     shared = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        .where(shared >= least * (F.size("sa") + F.size("sb") - shared))
+        .where(shared * (part + whole) >= (F.size("sa") + F.size("sb")) * part)
         .select("a", "b")
     )
 
@@ -284,65 +471,47 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, least: float = SIM
 def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``df`` without near-copies: of each component the row with the smallest key stays.
 
-    Copies are texts whose shingles agree to about 0.8 and more. Equal texts are one class by their
-    hash before any comparison, then classes of equal fingerprints are one; a component is what the
-    verified links connect. Rows whose texts hold no word are kept apart by the text itself only.
+    Copies are texts whose sets of shingles agree to 0.8 and more. Texts of equal sets are one class
+    before any comparison; a component is what links between classes connect, and every link is
+    verified by whole sets. Rows whose texts hold no word are kept apart by the text itself only.
     Rows that repeat key and text are one document. A null key counts as the largest.
     """
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    prints = stage(
-        fingerprints(df.select(key, text, content.alias("_content")), [key, "_content"], text, shingle, WIDE_WORDS),
-        "wide",
-    )
-    nulls_last = lambda c: F.struct(F.col(c).isNull().alias("none"), F.col(c).alias(c))
+    wide = stage(_prints(df, key, text, shingle), "wide")
+    prints = wide.where("slice IS NULL")
+    order = F.struct(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key")).alias("k"), "_content")
     classes = stage(
-        prints.groupBy("fp").agg(F.min(F.struct(nulls_last(key).alias("k"), "_content")).alias("low"))
-        .withColumn("id", F.xxhash64("fp", "low")),
+        prints.where("id IS NOT NULL").groupBy("id").agg(F.min(order).alias("low"), F.first("fp").alias("fp")),
         "wide_classes",
     )
-    blank = F.forall("fp", lambda word: word == 0)
-    close = lambda pairs: pairs.where(F.col("distance") <= SURE).select("a", "b")
-    worded = classes.where(~blank)
-    first = stage(candidates(worded.withColumn("root", F.col("id")), range(FIRST_BLOCKS)), "first")
-    joined = stage(
-        worded.join(components(close(first)), "id", "left").withColumn("root", F.coalesce("root", "id")),
-        "joined",
-    )
-    later = stage(candidates(joined, range(FIRST_BLOCKS, BLOCKS)), "later")
-    near = first.unionByName(later)
-    sure = components(close(near))
-    root_of = lambda side: sure.select(F.col("id").alias(side), F.col("root").alias(f"r{side}"))
-    open_pairs = stage(
-        near.where(F.col("distance") > SURE)
-        .join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        .select("a", "b"),
-        "open_pairs",
-    )
-    asked = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked = stage(
-        asked.join(classes, "id").select(
-            "id", F.col(f"low.k.{key}").alias("_key"), F.col("low._content").alias("_content")
-        ),
-        "asked",
-    )
-    told_of = df.select(F.col(key).alias("_own"), F.col(text).alias("text"), content.alias("_sha"))
-    texts = told_of.join(
-        asked, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_content"))
+    lows = classes.select("id", F.col("low.k.key").alias("_low"), F.col("low._content").alias("_sha"))
+    told_of = df.select(F.col(key).alias("_own"), F.col(text).alias("text"), content.alias("_content"))
+    texts = stage(
+        told_of.join(lows, F.col("_own").eqNullSafe(F.col("_low")) & (F.col("_content") == F.col("_sha")))
+        .select("id", "text"),
+        "texts",
     )
-    told = similar(open_pairs, texts.select("id", "text"), shingle)
-    roots = components(close(near).unionByName(told))
-    rooted = classes.join(roots, "id", "left").select(
-        "fp", "low", F.coalesce("root", "id").alias("root"), blank.alias("blank")
+
+    def rooted(linked: DataFrame) -> DataFrame:
+        return stage(
+            classes.join(components(linked), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted"
+        )
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return stage(similar(stage(pairs, f"{name}_pairs"), texts, shingle), name)
+
+    linked = verified(candidates(classes.withColumn("root", F.col("id")), range(FIRST_BLOCKS)), "first")
+    linked = linked.unionByName(
+        verified(candidates(rooted(linked), range(FIRST_BLOCKS, BLOCKS)), "later")
     )
-    # texts without words share a fingerprint but not a similarity; each keeps its own class
-    stay = rooted.where("not blank").groupBy("root").agg(F.min("low").alias("low")).select("low")
-    empty = prints.where(blank).groupBy("_content").agg(
-        F.min(F.struct(nulls_last(key).alias("k"), "_content")).alias("low")
-    ).select("low")
+    prefixes = _prefixes(texts, _levels(wide.where("slice IS NOT NULL")), shingle)
+    linked = linked.unionByName(verified(prefix_pairs(prefixes, rooted(linked)), "exact"))
+    # texts without words have no set; each keeps its own class
+    stay = rooted(linked).groupBy("root").agg(F.min("low").alias("low")).select("low")
+    empty = prints.where("id IS NULL").groupBy("_content").agg(F.min(order).alias("low")).select("low")
     kept = stage(
         stay.unionByName(empty).select(
-            F.col(f"low.k.{key}").alias("_key"), F.col("low._content").alias("_content")
+            F.col("low.k.key").alias("_key"), F.col("low._content").alias("_content")
         ),
         "kept",
     )

@@ -95,6 +95,36 @@ def test_distinct_documents(spark):
     assert simhash.distinct_documents(df.limit(0)).count() == 0
 
 
+def test_distinct_documents_in_families(spark):
+    """Related texts that share a common part: all pairs at 0.8 and more, and no others, are copies."""
+    rng = random.Random(11)
+    rows, word = [], lambda: f"w{rng.randrange(10**9)}"
+    for family, own in ((0, 40), (1, 30)):
+        common = [word() for _ in range(200 - own)]
+        for n in range(150):
+            text = common + [word() for _ in range(own)]
+            rows.append((1000 * family + n, " ".join(text)))
+            if n < 20:  # a copy with words added, in the whole between 0.8 and 0.87
+                more = [word() for _ in range(30 + n % 20)]
+                rows.append((1000 * family + 500 + n, " ".join(text + more)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+
+    def copies(a, b):
+        shared = len(sets[a] & sets[b])
+        return 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared)
+
+    want = set(roots(sorted(sets), copies).values())
+    assert 300 <= len(want) < 340
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.distinct_documents(df).collect()} == want
+
+
+def test_prefix_join_needs_no_early_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "candidates", lambda classes, numbers: classes.selectExpr("id a", "id b").limit(0))
+    test_distinct_documents_in_families(spark)
+    test_distinct_documents(spark)
+
+
 def brute_top(rows, every, k):
     rows = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     q = [np.floor(np.asarray(v, float) * 256).astype(np.int64) for _, v in rows]
