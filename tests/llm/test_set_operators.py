@@ -125,6 +125,17 @@ def test_prefix_join_needs_no_early_links(spark, monkeypatch):
     test_distinct_documents(spark)
 
 
+def test_repeated_lines_do_not_outweigh_texts(spark):
+    rng = random.Random(13)
+    line = " ".join(f"junk{n}" for n in range(12))
+    rows = []
+    for n in range(12):
+        body = " ".join(f"w{rng.randrange(10**9)}" for _ in range(600))
+        rows.append((n, f"{body} " + " ".join([line] * 60)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.distinct_documents(df).collect()) == list(range(12))
+
+
 def brute_top(rows, every, k):
     rows = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     q = [np.floor(np.asarray(v, float) * 256).astype(np.int64) for _, v in rows]
