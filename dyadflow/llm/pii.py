@@ -11,7 +11,9 @@ kinds are kept when their score reaches ``threshold``:
 * ``local_phone``: 3-3-4 digits without a country code, likewise.
 
 Patterns take maximal runs: what precedes a run is looked at only behind a first character that fits,
-and runs are possessive, so that the time is linear in the text.
+and runs are possessive, so that the time is linear in the text. An account number may be followed by
+capitals or digits: every start is looked at over 68 characters, and its end is where the country's
+length and the remainder say.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]){11,30}+",
+        r"[A-Z](?<![A-Za-z0-9][A-Z])(?=[A-Z][0-9]{2}(?: ?[A-Z0-9]){11})",  # starts; _accounts() finds the end
         "", 0.3, r"iban|account|konto|bank|cuenta|compte",
     ),
     Kind(
@@ -77,6 +79,20 @@ KINDS = (
     ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
+_ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+"
+_ACCOUNT_CHARS = 68  # 34 letters and digits with a space before each
+#: Letters and digits of an account number by country.
+ACCOUNT_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+        32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 
 def _digits(hit: Column) -> Column:
@@ -108,6 +124,48 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
+def _account_end(run: Column) -> Column:
+    """How many characters of a run, from its start, are an account number; null if none are.
+
+    The country's length if its remainder is right, else the whole run; for countries without a known
+    length the longest that ends with a group or the run.
+    """
+    at = lambda i: F.substring(run, i, F.lit(1))
+    ends = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: at(i) != " ")
+    lengths = F.create_map(*[F.lit(x) for pair in ACCOUNT_LENGTHS.items() for x in pair])
+    known = lengths[F.substring(run, 1, 2)]
+    groups = F.filter(
+        F.slice(ends, 15, 34), lambda i: (i == F.length(run)) | (at(i + 1) == " ")
+    )
+    tried = F.when(known.isNull(), F.reverse(groups)).otherwise(F.array(F.get(ends, known - 1), F.length(run)))
+    return F.get(F.filter(tried, lambda i: i.isNotNull() & mod97(F.substring(run, F.lit(1), i))), 0)
+
+
+def _accounts(whole: Column, starts: Column) -> Column:
+    """Account numbers at the given starts; one that begins within another before it is dropped."""
+    runs = F.transform(
+        starts,
+        lambda s: F.struct(
+            s["start"].alias("start"),
+            F.regexp_extract(
+                F.substring(whole, (s["start"] + 1).cast("int"), F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0
+            ).alias("run"),
+        ),
+    )
+    ended = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["run"].alias("run"), _account_end(r["run"]).alias("size")))
+    found = F.transform(
+        F.filter(ended, lambda r: r["size"].isNotNull()),
+        lambda r: F.struct(
+            r["start"].alias("start"), (r["start"] + r["size"]).alias("end"),
+            F.substring(r["run"], F.lit(1), r["size"]).alias("hit"),
+        ),
+    )
+    apart = lambda kept, r: F.when(
+        (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= r["start"]), F.concat(kept, F.array(r))
+    ).otherwise(kept)
+    return F.aggregate(found, F.array().cast(sp.SPAN), apart)
+
+
 def _confirmed(kind: str, hit: Column) -> Column:
     """The test a match must pass; a match that fails is dropped."""
     if kind == "ip":
@@ -117,8 +175,6 @@ def _confirmed(kind: str, hit: Column) -> Column:
         return luhn(_digits(hit))
     if kind == "phone":
         return F.length(_digits(hit)).between(10, 15)
-    if kind == "iban":
-        return mod97(hit)
     return F.lit(True)
 
 
@@ -133,10 +189,10 @@ def _score(kind: Kind, text: Column, span: Column) -> Column:
 
 
 def _spans(rank: int, kind: Kind, whole: Column, threshold: float) -> Column:
-    placed = F.filter(
-        sp.located(whole, F.col(f"_hits_{kind.name}"), kind.pattern),
-        lambda s: _confirmed(kind.name, s["hit"]),
-    )
+    placed = sp.located(whole, F.col(f"_hits_{kind.name}"), kind.pattern)
+    if kind.name == "iban":
+        placed = _accounts(whole, placed)
+    placed = F.filter(placed, lambda s: _confirmed(kind.name, s["hit"]))
     scored = F.transform(
         placed,
         lambda s: F.struct(

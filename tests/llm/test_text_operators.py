@@ -83,6 +83,27 @@ def test_redaction_keeps_everything_else(docs):
     assert pii.redact(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("IBAN DE89370400440532013000 Bitte zahlen", ["DE89370400440532013000"]),
+        ("to GB82 WEST 1234 5698 7654 32 BIC ABCD", ["GB82 WEST 1234 5698 7654 32"]),
+        ("DE89 3704 0044 0532 0130 00 2024-01-02", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000EUR", ["DE89370400440532013000"]),
+        ("DE89370400440532013000 GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+        ("REF AB12 34567890123 DE89370400440532013000", ["DE89370400440532013000"]),
+        ("MT84MALT011000012345MTLCAST001S IBAN", ["MT84MALT011000012345MTLCAST001S"]),
+        ("DE89370400440532013001 Bitte zahlen", []),
+    ],
+)
+def test_account_numbers_before_capitals_and_digits(spark, text, found):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [s for s in pii.find_pii(df).head().pii if s.kind == "iban"]
+    assert [text[s.start : s.end] for s in spans] == found
+    if found:
+        assert pii.redact(df).head().text.count("<IBAN>") == len(found)
+
+
 def test_checksums(spark):
     one = spark.range(1)
     assert one.select(pii.mod97(F.lit("GB82 WEST 1234 5698 7654 32"))).first()[0]
