@@ -51,6 +51,7 @@ WIDE_DISTANCE = 110
 SIMILARITY = (4, 5)  # a fraction, so that sizes are compared as whole numbers
 COUNTERS = 1 << 20  # of shingles by hash; they order shingles by frequency, any order is right
 COUNTER_SLICE = 4_096
+ASKED_BITS = 1 << 20  # by id; texts without their bit are not shuffled when sets are compared
 
 
 def _counts(hashes, words: int):
@@ -454,10 +455,32 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return coded.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, text) with an id of ``ids``, and perhaps some others: a filter before a join."""
+    place = F.expr(f"pmod(id, {ASKED_BITS})")
+    found = ids.select(place.alias("place")).groupBy((F.col("place") / 8).cast("int").alias("byte")).agg(
+        F.bit_or(F.expr("shiftleft(1, CAST(place % 8 AS INT))")).alias("bits")
+    )
+    bitmap = bytearray(ASKED_BITS // 8)
+    for row in found.collect():
+        bitmap[row["byte"]] = row["bits"]
+    bitmap = bytes(bitmap)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known = np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(0).to_numpy() % ASKED_BITS]))
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, text string")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` and more."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(_shingle_sets(texts.join(asked, "id"), shingle).dropDuplicates(["id"]), "shingles")
+    sets = stage(_shingle_sets(_maybe(texts, asked).join(asked, "id"), shingle).dropDuplicates(["id"]), "shingles")
     part, whole = SIMILARITY
     shared = F.size(F.array_intersect("sa", "sb"))
     return (
