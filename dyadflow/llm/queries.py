@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadflow.llm import avi, language, mixing, packing, pii, quality, secrets, simhash, topk, warc
+from dyadflow.llm import avi, bpe, language, mixing, packing, pii, quality, secrets, simhash, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,11 +55,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_read(spark, sf_dir, "pages"), turn == 13, turn == 57)
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality, op3_topk, op4_mixing, op5_secrets, op6_media, op7_simhash, op8_packing,
-        op9_language, op10_warc,
+        op9_language, op10_warc, op13_bpe,
     )
 }
 
