@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadflow.llm import avi, bpe, language, mixing, packing, pii, quality, secrets, simhash, topk, warc
+from dyadflow.llm import avi, bpe, divergence, language, mixing, packing, pii, quality, secrets, simhash, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(_read(spark, sf_dir, "pages"), turn == 13, turn == 57)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(_read(spark, sf_dir, "documents"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_read(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality, op3_topk, op4_mixing, op5_secrets, op6_media, op7_simhash, op8_packing,
-        op9_language, op10_warc, op13_bpe,
+        op9_language, op10_warc, op11_divergence, op13_bpe,
     )
 }
 
@@ -106,4 +110,45 @@ SELECT page_id, archive, CAST(start - min(start) OVER (PARTITION BY archive) AS
   length, sha256,
   CASE WHEN page_id % 97 = 13 THEN 'changed' WHEN page_id % 97 = 57 THEN 'missing' ELSE 'intact' END AS status
 FROM placed""",
+    "op11_divergence": """WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS found
+  FROM documents
+), words AS (
+  SELECT d, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM docs
+), whole AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN whole USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT g.lang, g.source, coalesce(any_value(w.v), 0) AS v, coalesce(any_value(w.n), 0) AS n_lang,
+    coalesce(sum(c.n), 0) AS n_group
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(total) AS n FROM whole GROUP BY lang) w ON w.lang = g.lang
+  LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source
+  GROUP BY g.lang, g.source
+), laid AS (
+  SELECT s.lang, s.source, w.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (s.n_group + 2 * s.v) AS HUGEINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (w.total + 2)) // (s.n_lang + 2 * s.v) AS HUGEINT) AS q
+  FROM sizes s JOIN whole w ON w.lang = s.lang
+  LEFT JOIN counted c ON c.lang = s.lang AND c.source = s.source AND c.term = w.term
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+  FROM laid WHERE n > 0 AND p > q
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM laid a JOIN laid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
