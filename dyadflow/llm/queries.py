@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadflow.llm import avi, bpe, divergence, language, mixing, packing, pii, quality, secrets, simhash, topk, warc
+from dyadflow.llm import avi, bpe, divergence, language, mixing, packing, pii, quality, secrets, simhash, topk, trie, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.report(_read(spark, sf_dir, "documents"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(_read(spark, sf_dir, "conversations"))
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_read(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_quality, op3_topk, op4_mixing, op5_secrets, op6_media, op7_simhash, op8_packing,
-        op9_language, op10_warc, op11_divergence, op13_bpe,
+        op9_language, op10_warc, op11_divergence, op12_trie, op13_bpe,
     )
 }
 
@@ -151,4 +155,49 @@ FROM placed""",
   FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs)
 )
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
+    "op12_trie": """WITH hashed AS (
+  SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+    sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL
+), placed AS (
+  SELECT conv_id, id, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS place
+  FROM hashed
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS origin, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed)
+), turns AS (
+  SELECT c.conv_id, 0 AS own, p.place, p.id, p.words FROM convs c JOIN placed p ON p.conv_id = c.origin AND p.place < c.h
+  UNION ALL
+  SELECT c.conv_id, 1 AS own, p.place, p.id, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place >= c.h
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth,
+    string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY own, place) AS path
+  FROM turns
+), prefixes AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS words FROM convs
+  UNION ALL SELECT conv_id, depth, path, words FROM numbered
+), nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words
+  FROM prefixes GROUP BY path
+), ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (
+    SELECT conv_id, arg_max(path, depth) AS path FROM prefixes GROUP BY conv_id) GROUP BY path
+), linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, p.path AS above
+  FROM nodes n LEFT JOIN nodes p ON n.depth > 0 AND p.path = left(n.path, length(n.path) - 64)
+), below AS (
+  SELECT above AS path, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY above
+), sums AS (
+  SELECT left(l.path, 64 * d.level) AS path, sum((l.n_convs - 1) * l.words) AS saved_tokens,
+    sum(CASE WHEN b.n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves
+  FROM linked l LEFT JOIN below b ON b.path = l.path, LATERAL (SELECT unnest(range(l.depth + 1)) AS level) d
+  GROUP BY 1
+)
+SELECT l.conv_id, CAST(l.depth AS BIGINT) AS depth, l.parent_conv_id, l.n_convs,
+  coalesce(b.n_children, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM linked l JOIN sums s ON s.path = l.path LEFT JOIN below b ON b.path = l.path LEFT JOIN ends e ON e.path = l.path""",
 }
