@@ -18,6 +18,8 @@ length and the remainder say.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -141,14 +143,14 @@ def _account_end(run: Column) -> Column:
     return F.get(F.filter(tried, lambda i: i.isNotNull() & mod97(F.substring(run, F.lit(1), i))), 0)
 
 
-def _accounts(whole: Column, starts: Column) -> Column:
+def _accounts(chars: Column, starts: Column) -> Column:
     """Account numbers at the given starts; one that begins within another before it is dropped."""
     runs = F.transform(
         starts,
         lambda s: F.struct(
             s["start"].alias("start"),
             F.regexp_extract(
-                F.substring(whole, (s["start"] + 1).cast("int"), F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0
+                sp.cut(chars, s["start"], F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0
             ).alias("run"),
         ),
     )
@@ -160,10 +162,14 @@ def _accounts(whole: Column, starts: Column) -> Column:
             F.substring(r["run"], F.lit(1), r["size"]).alias("hit"),
         ),
     )
-    apart = lambda kept, r: F.when(
-        (F.size(kept) == 0) | (F.get(kept, F.size(kept) - 1)["end"] <= r["start"]), F.concat(kept, F.array(r))
-    ).otherwise(kept)
-    return F.aggregate(found, F.array().cast(sp.SPAN), apart)
+
+    def apart(end: Column, r: Column) -> tuple[Column, Column]:
+        stays = r["start"] >= end
+        return F.when(stays, r["end"]).otherwise(end), F.when(stays, r)
+
+    kind = sp.SPAN.removeprefix("array<").removesuffix(">")
+    kept = sp.carried(found, F.lit(0).cast("bigint"), apart, kind)
+    return F.filter(kept, lambda r: r.isNotNull())
 
 
 def _confirmed(kind: str, hit: Column) -> Column:
@@ -178,11 +184,10 @@ def _confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: Kind, text: Column, span: Column) -> Column:
+def _score(kind: Kind, chars: Column, span: Column) -> Column:
     """Prior, raised by a checksum that holds and by a supporting word within ``CONTEXT_CHARS``."""
     begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    size = (span["end"] - begin + CONTEXT_CHARS).cast("int")
-    near = F.lower(F.substring(text, (begin + 1).cast("int"), size))
+    near = F.lower(sp.cut(chars, begin, span["end"] - begin + CONTEXT_CHARS))
     checked = 0.4 if kind.name in ("card", "iban") else 0.0
     score = F.lit(kind.prior + checked) + F.when(near.rlike(kind.context), 0.35).otherwise(0.0)
     return F.least(score, F.lit(1.0))
@@ -191,13 +196,13 @@ def _score(kind: Kind, text: Column, span: Column) -> Column:
 def _spans(rank: int, kind: Kind, whole: Column, threshold: float) -> Column:
     placed = sp.located(whole, F.col(f"_hits_{kind.name}"), kind.pattern)
     if kind.name == "iban":
-        placed = _accounts(whole, placed)
+        placed = _accounts(F.col("_chars"), placed)
     placed = F.filter(placed, lambda s: _confirmed(kind.name, s["hit"]))
     scored = F.transform(
         placed,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"),
-            F.lit(kind.name).alias("kind"), _score(kind, whole, s).alias("score"),
+            F.lit(kind.name).alias("kind"), _score(kind, F.col("_chars"), s).alias("score"),
         ),
     )
     return scored if kind.base else F.filter(scored, lambda s: s["score"] >= threshold)
@@ -218,9 +223,11 @@ def find_pii(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
             for k in KINDS
         }
     )
-    parts = [_spans(rank, kind, whole, threshold) for rank, kind in enumerate(KINDS)]
-    return hits.withColumn("pii", F.array_sort(F.concat(*parts))).drop(
-        *[f"_hits_{k.name}" for k in KINDS]
+    some = functools.reduce(operator.or_, [F.size(f"_hits_{k.name}") > 0 for k in KINDS])
+    hits = hits.withColumn("_chars", F.when(some, sp.parts(whole)).otherwise(none))
+    spans = [_spans(rank, kind, whole, threshold) for rank, kind in enumerate(KINDS)]
+    return hits.withColumn("pii", F.array_sort(F.concat(*spans))).drop(
+        "_chars", *[f"_hits_{k.name}" for k in KINDS]
     )
 
 
@@ -231,24 +238,22 @@ def redact(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     """
     marked = find_pii(df.select(boxed(df).alias("_row"), F.col(text).alias("_text")), "_text", threshold)
     source = F.col("_text")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    def add(state: Column, span: Column) -> Column:
-        between = F.substring(
-            source, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")
-        )
-        tag = F.concat(F.lit("<"), F.upper(span["kind"]), F.lit(">"))
-        fresh = F.struct(span["end"].alias("at"), F.concat(state["out"], between, tag).alias("out"))
-        inside = F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"), state["out"].alias("out")
-        )
-        return F.when((state["at"] > span["start"]) & (state["at"] > 0), inside).otherwise(fresh)
+    def open_at(end: Column, span: Column) -> tuple[Column, Column]:
+        """What is left open before a span; null for a span that begins within those before it."""
+        fresh = F.struct(end.alias("at"), span["start"].alias("start"), span["kind"].alias("kind"))
+        return F.greatest(end, span["end"]), F.when(span["start"] >= end, fresh)
 
-    def close(state: Column) -> Column:
-        rest = F.substring(source, (state["at"] + 1).cast("int"), F.length(source))
-        return F.concat(state["out"], rest)
+    def rebuild(chars: Column) -> Column:
+        gaps = sp.carried(F.col("pii"), F.lit(0).cast("bigint"), open_at, "struct<at:bigint,start:bigint,kind:string>")
+        told = F.transform(
+            F.filter(gaps, lambda g: g.isNotNull()),
+            lambda g: F.concat(sp.cut(chars, g["at"], g["start"] - g["at"]), F.lit("<"), F.upper(g["kind"]), F.lit(">")),
+        )
+        end = F.array_max(F.transform(F.col("pii"), lambda s: s["end"]))
+        return F.concat(F.array_join(told, ""), F.substring(source, (end + 1).cast("int"), F.length(source)))
 
-    rebuilt = F.aggregate(F.col("pii"), start, add, close)
+    rebuilt = sp.let(sp.parts(source), rebuild)
     clean = F.when(F.size("pii") > 0, rebuilt).otherwise(source)
     return marked.select(F.col("_row").withField(f"`{text}`", clean).alias("_row")).select("_row.*")
 

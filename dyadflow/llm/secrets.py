@@ -122,6 +122,34 @@ def _span(rank: int, kind: str, s: Column, score: Column) -> Column:
     )
 
 
+def _apart(spans: Column, threshold: float) -> Column:
+    """Sorted spans without the ``random`` ones below ``threshold`` or over a base span.
+
+    A random span is over one if a base span before it ends behind its start, or one after it starts
+    before its end.
+    """
+    is_base = lambda s: s["rank"] < len(BASE)
+    far = F.lit((1 << 62)).cast("bigint")
+    ended = lambda end, s: (F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end), end)
+    begins = lambda at, s: (F.when(is_base(s), s["start"]).otherwise(at), at)
+
+    def kept(own: Column) -> Column:
+        before = sp.carried(own, F.lit(0).cast("bigint"), ended, "bigint")
+        after = F.reverse(sp.carried(F.reverse(own), far, begins, "bigint"))
+        placed = F.arrays_zip(own.alias("span"), before.alias("before"), after.alias("after"))
+        free = F.filter(
+            placed,
+            lambda p: is_base(p["span"])
+            | (
+                (p["span"]["score"] >= threshold)
+                & (p["before"] <= p["span"]["start"]) & (p["after"] >= p["span"]["end"])
+            ),
+        )
+        return F.transform(free, lambda p: p["span"])
+
+    return sp.let(spans, kept)
+
+
 def find_secrets(
     df: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -160,12 +188,7 @@ def find_secrets(
     tokens = F.filter(tokens, lambda s: s["hit"].rlike("[0-9]") & s["hit"].rlike("[A-Za-z]"))
     scored = F.transform(tokens, lambda s: _span(3, "random", s, ratio(s["hit"], model)))
     based = hits.withColumns({"_base": base, "_scored": scored})
-    fresh = F.filter(
-        "_scored",
-        lambda t: (t["score"] >= threshold)
-        & ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])),
-    )
-    return based.withColumn("secrets", F.array_sort(F.concat("_base", fresh))).drop(
+    return based.withColumn("secrets", _apart(F.array_sort(F.concat("_base", "_scored")), threshold)).drop(
         "_assign", "_access", "_hex", "_token", "_base", "_scored"
     )
 

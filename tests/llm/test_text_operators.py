@@ -1,7 +1,10 @@
 """Personal data, secrets, mixing and language ID against brute force on odd and ordinary rows."""
 
 import hashlib
+import random
 import re
+import string
+import time
 from collections import defaultdict
 
 import pytest
@@ -104,6 +107,42 @@ def test_account_numbers_before_capitals_and_digits(spark, text, found):
         assert pii.redact(df).head().text.count("<IBAN>") == len(found)
 
 
+def test_very_many_spans_in_one_text(spark):
+    """200,000 addresses in one text, found and redacted in time that grows with the text, not its square."""
+    parts = [f"u{i}@x.de 10.0.{i % 256}.7 " for i in range(100_000)]
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = pii.report(df).head()
+    assert (row.n_email, row.n_ip) == (100_000, 100_000)
+    held_against([row], {1: text}, PII)
+    assert time.monotonic() - start < 120
+    short = spark.createDataFrame([(1, "".join(parts[:10_000]))], "doc_id long, text string")
+    assert pii.redact(short).head().text == "<EMAIL> <IP> " * 10_000
+
+
+def test_very_many_secrets_in_one_text(spark, docs):
+    model = secrets.train(secrets.labelled_tokens(docs))
+    draw = random.Random(4)
+    letters = string.ascii_letters + string.digits
+    tokens = ["".join(draw.choice(letters) for _ in range(24)) for _ in range(40_000)]
+    text = " ".join(f"token={t}" if i % 2 else f"{t} {'0123456789abcdef' * 2}" for i, t in enumerate(tokens))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    row = secrets.report(df, model).head()
+    assert time.monotonic() - start < 120
+    held_against([row], {1: text}, SECRETS)
+    assert (row.n_assign, row.n_hex) == (20_000, 20_000)
+    assert row.spans.count("random") > 19_000
+    base = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if not s.startswith("random")]
+    ends = {b for _, b in base}
+    starts = {a for a, _ in base}
+    for span in row.spans.split(","):
+        kind, a, b = span.split(":")
+        if kind == "random":  # none lies in a base span
+            assert not {int(a), int(b)} & (starts | ends)
+
+
 def test_checksums(spark):
     one = spark.range(1)
     assert one.select(pii.mod97(F.lit("GB82 WEST 1234 5698 7654 32"))).first()[0]
@@ -116,7 +155,7 @@ def test_secrets(docs):
     rows = secrets.report(docs, model).collect()
     held_against(rows, texts, SECRETS)
     spans = next(r.spans for r in rows if r.doc_id == -8)
-    assert "random:42:66" in spans and spans.count("random") == 1
+    assert "random:41:65" in spans and spans.count("random") == 1
     empty = secrets.train(secrets.labelled_tokens(docs.limit(0)))
     assert set(empty) == {0.0}
 
