@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,4 +44,23 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     path = stage_path(spark, name)
     writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    _PATHS[staged] = path
+    return staged
+
+
+def narrowed(staged: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a staged table, which ``release`` still removes."""
+    out = staged.select(*columns)
+    _PATHS[out] = _PATHS[staged]
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables once all that was made from them is written itself."""
+    for df in staged:
+        path = _PATHS.pop(df, None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
