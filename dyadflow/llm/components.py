@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadflow.staging import stage
+from dyadflow.staging import narrowed, release, stage
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(pairs: DataFrame) -> DataFrame:
             edges.join(labels.select(F.col("id").alias("b"), F.col("root").alias("near")), "b")
             .groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
         )
-        met = labels.join(near, "id").select("id", "root", F.least("root", "near").alias("low"))
+        met = labels.drop("old").join(near, "id").select("id", "root", F.least("root", "near").alias("low"))
         # an id brings what it met to its root as well
         hooked = met.groupBy(F.col("root").alias("id")).agg(F.min("low").alias("hook"))
         lowered = stage(
@@ -38,13 +38,14 @@ def components(pairs: DataFrame) -> DataFrame:
             "lowered",
         )
         jump = lowered.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        earlier = labels
         labels = stage(
             lowered.join(jump, "root", "left").select(
                 "id", "old", F.coalesce("next", "root").alias("root")
             ),
             "labels",
         )
-        changed = labels.where("old <> root").limit(1).count()
-        labels = labels.drop("old")
-        if not changed:
-            return labels
+        release(earlier, lowered)
+        if not labels.where("old <> root").limit(1).count():
+            release(edges)
+            return narrowed(labels, "id", "root")

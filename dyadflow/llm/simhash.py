@@ -16,7 +16,7 @@ join on the rarest shingles names every pair whose shingle sets can agree to ``S
 sets are compared for each pair that links, whatever its fingerprints. Before that, fingerprints of
 512 bits connect what is close (neighbours within blocks of sampled bits, compared like the others),
 so that the join need not list the pairs of a large group: only pairs across what is connected already
-are named. Shingles count by their 64-bit hashes, equal sets by a 64-bit hash of the set.
+are named. Shingles count by their 64-bit hashes, equal sets by a 128-bit hash of the set.
 
 Null and empty texts have fingerprint zero and are linked like any other. Empty tables give none.
 Repeated rows are rows of the same class. Other columns play no part.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from dyadflow.llm.components import components
 from dyadflow.llm.rows import boxed
 from dyadflow.session import ship_package
-from dyadflow.staging import stage
+from dyadflow.staging import release, stage
 
 SEED = 42
 DISTANCE = 2
@@ -49,9 +49,9 @@ BLOCKS = 16  # to connect large groups early; what they miss is found by the pre
 #: left to the prefix join.
 WIDE_DISTANCE = 110
 SIMILARITY = (4, 5)  # a fraction, so that sizes are compared as whole numbers
-COUNTERS = 1 << 20  # of shingles by hash; they order shingles by frequency, any order is right
+COUNTERS = (1 << 20, 1 << 24)  # of shingles by hash: as many as rows, within these; any number is right
 COUNTER_SLICE = 4_096
-ASKED_BITS = 1 << 20  # by id; texts without their bit are not shuffled when sets are compared
+SEEN = 1 << 18  # sets a task remembers, to name the prefix of repeated ones once
 
 
 def _counts(hashes, words: int):
@@ -269,23 +269,32 @@ def _shingle_set(text: bytes | None, shingle: int):
     return np.unique(np.concatenate([*shingle_hashes(text, shingle), np.zeros(0, np.uint64)]))
 
 
-def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """(key, _content, id, fp) of each row: a hash and the wide fingerprint of its set of shingles;
-    no id without words. Rows with a ``slice`` hold each task's counts of shingles by ``COUNTERS``.
+def _set_hash(shingles) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    import xxhash
+
+    whole = xxhash.xxh3_128_intdigest(shingles.tobytes(), SEED)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(whole >> 64), signed(whole & ((1 << 64) - 1))
+
+
+def _prints(df: DataFrame, key: str, text: str, shingle: int, counters: int) -> DataFrame:
+    """(key, _content, h1, h2, fp) of each row: a hash and the wide fingerprint of its set of shingles;
+    no hash without words. Rows with a ``slice`` hold each task's counts of shingles by ``counters``.
     """
     ship_package(df.sparkSession)
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     source = df.select(F.col(key).alias("_key"), content.alias("_content"), F.encode(text, "UTF-8").alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
+    names = ["_key", "_content", "h1", "h2", "fp", "slice", "counts"]
 
     def run(batches):
         import zlib
 
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        counts, none = np.zeros(COUNTERS, dtype=np.uint32), None
+        counts, none = np.zeros(counters, dtype=np.uint32), None
         for batch in batches:
             none = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
@@ -295,16 +304,16 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                     own = _shingle_set(t.as_py(), shingle)
                     bits = _counts(own, WIDE_WORDS) * 2 > len(own)
                     prints.append(np.packbits(bits, bitorder="little").tobytes())
-                    ids.append(xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else None)
-                    places.append(own % np.uint64(COUNTERS))
-                counts += np.bincount(np.concatenate(places).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                    ids.append(_set_hash(own) if len(own) else (None, None))
+                    places.append(own % np.uint64(counters))
+                np.add.at(counts, np.concatenate(places).astype(np.int64), 1)
                 ends = np.arange(len(prints) + 1, dtype=np.int32) * WIDE_WORDS
                 fp = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(prints), dtype="<i8")))
-                signed = [i if i is None or i < 1 << 63 else i - (1 << 64) for i in ids]
+                h1, h2 = zip(*ids, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(signed, pa.int64()), fp,
+                    [part.column(0), part.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), fp,
                      pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
-                    names=["_key", "_content", "id", "fp", "slice", "counts"],
+                    names=names,
                 )
         slices = [n for n, part in enumerate(counts.reshape(-1, COUNTER_SLICE)) if part.any()]
         if not slices:
@@ -312,18 +321,18 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
         packed = [zlib.compress(counts.reshape(-1, COUNTER_SLICE)[n].astype("<u4").tobytes(), 1) for n in slices]
         size = len(slices)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(size, none), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()),
+            [pa.nulls(size, none), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
              pa.nulls(size, pa.list_(pa.int64())), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())],
-            names=["_key", "_content", "id", "fp", "slice", "counts"],
+            names=names,
         )
 
     return source.mapInArrow(
-        run, f"_key {kind}, _content string, id bigint, fp array<bigint>, slice int, counts binary"
+        run, f"_key {kind}, _content string, h1 bigint, h2 bigint, fp array<bigint>, slice int, counts binary"
     )
 
 
-def _levels(counted: DataFrame) -> bytes:
-    """Each counter's frequency as one byte on a log scale, packed: one megabyte for any input."""
+def _levels(counted: DataFrame, counters: int) -> bytes:
+    """Each counter's frequency as one byte on a log scale, packed: 16 megabytes at most for any input."""
     import zlib
 
     def run(batches):
@@ -342,17 +351,18 @@ def _levels(counted: DataFrame) -> bytes:
             )
 
     dealt = counted.select("slice", "counts").repartition("slice")
-    out = bytearray(COUNTERS)
+    out = bytearray(counters)
     for row in dealt.mapInArrow(run, "slice int, levels binary").collect():
         out[row["slice"] * COUNTER_SLICE : (row["slice"] + 1) * COUNTER_SLICE] = row["levels"]
     return zlib.compress(bytes(out))
 
 
-def _prefixes(texts: DataFrame, levels: bytes, shingle: int) -> DataFrame:
-    """(id, text) → (shingle, id, size, place): of each set of ``size`` shingles, rarest first, as many
-    as a set that agrees with it to ``SIMILARITY`` cannot miss altogether.
+def _prefixes(df: DataFrame, text: str, levels: bytes, counters: int, shingle: int) -> DataFrame:
+    """Rows → (shingle, h1, h2, size, place): of each set of ``size`` shingles, rarest first, as many as a
+    set that agrees with it to ``SIMILARITY`` cannot miss altogether. Repeated sets may come repeated.
     """
     part, whole = SIMILARITY
+    ship_package(df.sparkSession)
 
     def run(batches):
         import zlib
@@ -361,57 +371,109 @@ def _prefixes(texts: DataFrame, levels: bytes, shingle: int) -> DataFrame:
         import pyarrow as pa
 
         level = np.frombuffer(zlib.decompress(levels), dtype=np.uint8)
+        seen = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                firsts, sizes = [], []
-                for t in rows.column(1):
+                firsts, sizes, ids = [], [], []
+                for t in batch.slice(at, 256).column(0):
                     own = _shingle_set(t.as_py(), shingle)
                     size = len(own)
-                    order = np.lexsort((own, level[own % np.uint64(COUNTERS)]))
+                    if not size or (known := _set_hash(own)) in seen:
+                        continue
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(known)
+                    order = np.lexsort((own, level[own % np.uint64(counters)]))
                     firsts.append(own[order[: size + (-part * size // whole) + 1]])  # size - ceil(0.8 size) + 1
                     sizes.append(size)
+                    ids.append(known)
+                if not ids:
+                    continue
                 counts = [len(f) for f in firsts]
-                places = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(firsts).view(np.int64)),
-                        pa.array(np.repeat(rows.column(0).to_numpy(), counts)),
+                        *(pa.array(np.repeat(np.array(h, dtype=np.int64), counts)) for h in zip(*ids, strict=True)),
                         pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)),
-                        pa.array(places),
+                        pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in counts])),
                     ],
-                    names=["shingle", "id", "size", "place"],
+                    names=["shingle", "h1", "h2", "size", "place"],
                 )
 
-    coded = texts.select("id", F.encode("text", "UTF-8").alias("text"))
-    return coded.mapInArrow(run, "shingle bigint, id bigint, size int, place int")
+    coded = df.select(F.encode(text, "UTF-8").alias("text"))
+    return coded.mapInArrow(run, "shingle bigint, h1 bigint, h2 bigint, size int, place int")
+
+
+def _repeated(prefixes: DataFrame) -> DataFrame:
+    """``_prefixes`` without repeated rows, and without shingles that only one set has.
+
+    One shuffle, sorted, and a pass that holds one row: what goes is never written.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, matched, names = None, False, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
+            shingle, h1, h2 = columns[:3]
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            columns = [c[new] for c in columns]
+            same = columns[0][1:] == columns[0][:-1]
+            keep = np.concatenate([[matched], same]) | np.concatenate([same, [False]])
+            held, matched = [c[-1] for c in columns], bool(keep[-1])
+            keep[-1] = False
+            if keep.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[keep]).cast(f.type) for c, f in zip(columns, batch.schema, strict=True)], names=names
+                )
+            kinds = [f.type for f in batch.schema]
+        if matched:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h.item()], k) for h, k in zip(held, kinds, strict=True)], names=names
+            )
+
+    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle", "h1", "h2")
+    return dealt.mapInArrow(run, "shingle bigint, h1 bigint, h2 bigint, size int, place int")
 
 
 def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``_prefixes`` and (id, root) → every pair (a, b) of different roots that can reach ``SIMILARITY``.
+    """``_prefixes`` and (h1, h2, id, root) → every pair (a, b) of different roots that can reach ``SIMILARITY``.
 
     Of two similar sets, the first shingle they share is in the prefix of the larger one and in a
     shorter prefix of the smaller one, and as many shingles follow it in both as must be shared. Pairs
-    of roots are found before their members, so rows of one root never meet each other.
+    of roots are found before their members, so rows of one root never meet each other. Sets meet by
+    shingle and band of sizes: similar ones are in one band or in neighbouring ones.
     """
     part, whole = SIMILARITY
     both = part + whole  # shared >= part / both * (size of one + size of the other)
-    held = stage(prefixes, "prefixes")
-    met = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    repeated = stage(_repeated(prefixes), "repeated")
     shared = stage(
-        held.join(met.select("shingle"), "shingle").distinct().join(roots.select("id", "root"), "id"), "shared"
+        repeated.join(roots.select("h1", "h2", "id", "root"), ["h1", "h2"]).drop("h1", "h2"), "shared"
     )
+    release(repeated)
     across = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    # a band is as wide as the sizes of similar sets may differ, with a margin for rounding
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(whole / part + 1e-6))).cast("int")
     rows = stage(
         shared.join(across.where("low < high").select("shingle"), "shingle")
-        .withColumn("tail", F.col("size") - F.col("place")),
+        .withColumn("tail", F.col("size") - F.col("place")).withColumn("band", band),
         "across",
     )
-    # the smaller of two sets shares 2 part / both of its own shingles at least
-    small = rows.where(F.col("tail") * both >= F.col("size") * 2 * part)
+    release(shared)
+    # the smaller of two sets shares 2 part / both of its own shingles at least; the larger is in its band or the next
+    small = rows.where(F.col("tail") * both >= F.col("size") * 2 * part).withColumn(
+        "band", F.explode(F.array("band", F.col("band") + 1))
+    )
 
     def grouped(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("shingle", F.col("root").alias(f"r{name}")).agg(
+        return side.groupBy("shingle", "band", F.col("root").alias(f"r{name}")).agg(
             F.max("tail").alias(f"t{name}"), F.min("size").alias(f"l{name}"), F.max("size").alias(f"h{name}")
         )
 
@@ -419,20 +481,23 @@ def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
         return F.least(a, b) * both >= (F.col(size_a) + F.col(size_b)) * part
 
     root_pairs = (
-        grouped(small, "a").join(grouped(rows, "b"), "shingle")
+        grouped(small, "a").join(grouped(rows, "b"), ["shingle", "band"])
         .where((F.col("ra") != F.col("rb")) & (F.col("la") <= F.col("hb")) & reach("ta", "tb", "la", "lb"))
-        .select("shingle", "ra", "rb")
+        .select("shingle", "band", "ra", "rb")
     )
     side = lambda frame, n: frame.select(
-        "shingle", F.col("root").alias(f"r{n}"), F.col("id").alias(n),
+        "shingle", "band", F.col("root").alias(f"r{n}"), F.col("id").alias(n),
         F.col("size").alias(f"s{n}"), F.col("tail").alias(f"t{n}"),
     )
     ordered = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
-    return (
-        root_pairs.join(side(small, "a"), ["shingle", "ra"]).join(side(rows, "b"), ["shingle", "rb"])
+    found = stage(
+        root_pairs.join(side(small, "a"), ["shingle", "band", "ra"]).join(side(rows, "b"), ["shingle", "band", "rb"])
         .where(ordered & reach("ta", "tb", "sa", "sb"))
-        .select("a", "b").distinct()
+        .select("a", "b").distinct(),
+        "exact_pairs",
     )
+    release(rows)
+    return found
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -455,40 +520,23 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return coded.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def _maybe(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (id, text) with an id of ``ids``, and perhaps some others: a filter before a join."""
-    place = F.expr(f"pmod(id, {ASKED_BITS})")
-    found = ids.select(place.alias("place")).groupBy((F.col("place") / 8).cast("int").alias("byte")).agg(
-        F.bit_or(F.expr("shiftleft(1, CAST(place % 8 AS INT))")).alias("bits")
-    )
-    bitmap = bytearray(ASKED_BITS // 8)
-    for row in found.collect():
-        bitmap[row["byte"]] = row["bits"]
-    bitmap = bytes(bitmap)
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        known = np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), bitorder="little").astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(0).to_numpy() % ASKED_BITS]))
-
-    return texts.select("id", "text").mapInArrow(run, "id bigint, text string")
-
-
 def similar(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` and more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(_shingle_sets(_maybe(texts, asked).join(asked, "id"), shingle).dropDuplicates(["id"]), "shingles")
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``SIMILARITY`` and more.
+
+    ``texts`` has (id, text) of every id that the pairs name. Written; what it was made from can go.
+    """
+    sets = stage(_shingle_sets(texts, shingle).dropDuplicates(["id"]), "shingles")
     part, whole = SIMILARITY
     shared = F.size(F.array_intersect("sa", "sb"))
-    return (
+    found = stage(
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         .where(shared * (part + whole) >= (F.size("sa") + F.size("sb")) * part)
-        .select("a", "b")
+        .select("a", "b"),
+        "similar",
     )
+    release(sets)
+    return found
 
 
 def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -498,49 +546,66 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
     before any comparison; a component is what links between classes connect, and every link is
     verified by whole sets. Rows whose texts hold no word are kept apart by the text itself only.
     Rows that repeat key and text are one document. A null key counts as the largest.
+
+    Texts are read from ``df`` again where they are compared, and no copy of them is written; what is
+    written on the way is removed as soon as its successor is there.
     """
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    wide = stage(_prints(df, key, text, shingle), "wide")
+    least, most = COUNTERS
+    counters = min(max(least, 1 << max(df.count() - 1, 1).bit_length()), most)
+    wide = stage(_prints(df, key, text, shingle, counters), "wide")
     prints = wide.where("slice IS NULL")
     order = F.struct(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key")).alias("k"), "_content")
     classes = stage(
-        prints.where("id IS NOT NULL").groupBy("id").agg(F.min(order).alias("low"), F.first("fp").alias("fp")),
+        prints.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(order).alias("low"), F.first("fp").alias("fp"))
+        .withColumn("id", F.monotonically_increasing_id()),  # as written; two sets never share one
         "wide_classes",
     )
-    lows = classes.select("id", F.col("low.k.key").alias("_low"), F.col("low._content").alias("_sha"))
-    told_of = df.select(F.col(key).alias("_own"), F.col(text).alias("text"), content.alias("_content"))
-    texts = stage(
-        told_of.join(lows, F.col("_own").eqNullSafe(F.col("_low")) & (F.col("_content") == F.col("_sha")))
-        .select("id", "text"),
-        "texts",
+    empty = stage(
+        prints.where("h1 IS NULL").groupBy("_content").agg(F.min(order).alias("low")).select("low"), "empty"
     )
+    levels = _levels(wide.where("slice IS NOT NULL"), counters)
+    release(wide)
+    told_of = df.select(F.col(key).alias("_own"), F.col(text).alias("text"), content.alias("_content"))
 
     def rooted(linked: DataFrame) -> DataFrame:
-        return stage(
-            classes.join(components(linked), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted"
+        labels = components(linked)
+        out = stage(classes.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        release(labels)
+        return out
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        lows = classes.join(asked, "id").select(
+            "id", F.col("low.k.key").alias("_low"), F.col("low._content").alias("_sha")
         )
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return stage(similar(stage(pairs, f"{name}_pairs"), texts, shingle), name)
-
-    linked = verified(candidates(classes.withColumn("root", F.col("id")), range(FIRST_BLOCKS)), "first")
-    linked = linked.unionByName(
-        verified(candidates(rooted(linked), range(FIRST_BLOCKS, BLOCKS)), "later")
-    )
-    prefixes = _prefixes(texts, _levels(wide.where("slice IS NOT NULL")), shingle)
-    linked = linked.unionByName(verified(prefix_pairs(prefixes, rooted(linked)), "exact"))
+        texts = told_of.join(lows, F.col("_own").eqNullSafe(F.col("_low")) & (F.col("_content") == F.col("_sha")))
+        out = similar(pairs, texts.select("id", "text"), shingle)
+        release(pairs)
+        return out
+
+    first = stage(candidates(classes.withColumn("root", F.col("id")), range(FIRST_BLOCKS)), "first")
+    linked = verified(first)
+    early = rooted(linked)
+    later = stage(candidates(early, range(FIRST_BLOCKS, BLOCKS)), "later")
+    release(early)
+    linked = linked.unionByName(verified(later))
+    known = rooted(linked)
+    exact = prefix_pairs(_prefixes(df, text, levels, counters, shingle), known)
+    release(known)
+    last = rooted(linked.unionByName(verified(exact)))
     # texts without words have no set; each keeps its own class
-    stay = rooted(linked).groupBy("root").agg(F.min("low").alias("low")).select("low")
-    empty = prints.where("id IS NULL").groupBy("_content").agg(F.min(order).alias("low")).select("low")
+    stay = last.groupBy("root").agg(F.min("low").alias("low")).select("low")
     kept = stage(
         stay.unionByName(empty).select(
             F.col("low.k.key").alias("_key"), F.col("low._content").alias("_content")
         ),
         "kept",
     )
+    release(last, classes, empty)
     rows = df.select(F.col(key).alias("_key"), content.alias("_content"), boxed(df).alias("_row"))
-    rows = rows.groupBy("_key", "_content").agg(F.first("_row").alias("_row"))
     matched = rows.join(
         kept, rows["_key"].eqNullSafe(kept["_key"]) & (rows["_content"] == kept["_content"]), "left_semi"
     )
-    return matched.select("_row.*")
+    # rows that repeat key and text are one
+    return matched.groupBy("_key", "_content").agg(F.first("_row").alias("_row")).select("_row.*")
