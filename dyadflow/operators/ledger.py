@@ -1,7 +1,8 @@
 """Append-only experiment ledger: inputs, predictions, status, reports.
 
-Tables are Parquet folders partitioned by run. A run's status is the latest of its status rows, so
-nothing is updated in place; inputs of a completed run can no longer be written.
+Tables are Parquet folders partitioned by run and attempt. A run's status is the latest of its status
+rows, so nothing is updated in place. What an attempt wrote is visible once its completion is a status
+row, which is one small write: before that, and for good if the attempt fails, readers do not see it.
 """
 
 from __future__ import annotations
@@ -10,15 +11,17 @@ import hashlib
 import json
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dyadflow.functions import vocab
 from dyadflow.functions.text import canonical
-from dyadflow.staging import stage
+from dyadflow.staging import release, stage
 
 STATUS_SCHEMA = (
-    "run_id long, status string, seq long, at timestamp, git_sha string, git_dirty boolean, "
+    "run_id long, attempt long, status string, seq long, at timestamp, git_sha string, git_dirty boolean, "
     "protocol_id long, feature_schema string, model_family string, hyperparams string, seed long, "
     "metrics string, error_message string"
 )
@@ -265,78 +268,150 @@ def consultations(runs: DataFrame, protocols: DataFrame, members: DataFrame) ->
 
 
 class Ledger:
-    """The ledger's tables under one folder."""
+    """The ledger's tables under one folder.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    A step of an attempt replaces what an earlier try of the same step left, so it can be repeated. An id
+    is handed out or claimed once, by a marker file that only one caller can create (on a file system
+    with exclusive creation); a failed run may be started again as its next attempt, any other may not.
+    """
 
-    def _append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{name}")
+    TABLES = ("feature_rows", "manifests", "predictions", "models")
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-    def _status(self, run_id: int, status: str, seq: int, **values) -> None:
-        row = {"run_id": run_id, "status": status, "seq": seq, **values}
+    def _claim(self, run_id: int, attempt: int) -> bool:
+        """Whether this caller, and no other, owns the attempt."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/claims/{run_id}-{attempt}")
+        try:
+            return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in str(error.java_exception):
+                return False
+            raise
+
+    def _statuses(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(STATUS_SCHEMA).parquet(f"{self.root}/status")
+        except AnalysisException:  # no run yet
+            return self.spark.createDataFrame([], STATUS_SCHEMA)
+
+    def _state(self, run_id: int):
+        """Newest status row of a run, or None."""
+        return self._statuses().where(F.col("run_id") == run_id).orderBy(F.desc("seq")).first()
+
+    def _status(self, run_id: int, attempt: int, status: str, seq: int, **values) -> None:
+        row = {"run_id": run_id, "attempt": attempt, "status": status, "seq": seq, **values}
         names = [f.split()[0] for f in STATUS_SCHEMA.split(", ")]
         frame = self.spark.createDataFrame([tuple(row.get(n) for n in names)], STATUS_SCHEMA)
-        self._append("status", frame.withColumn("at", F.current_timestamp()))
+        stamped = frame.withColumn("at", F.current_timestamp())
+        stamped.write.mode("append").partitionBy("run_id").parquet(f"{self.root}/status")
 
     def runs(self) -> DataFrame:
-        """Current state of every run: later status rows fill in over earlier ones."""
+        """Current state of every run: what its newest attempt was started with, and how it went."""
         first = [
             "git_sha", "git_dirty", "protocol_id", "feature_schema", "model_family",
             "hyperparams", "seed",
         ]
-        return self.read("status").groupBy("run_id").agg(
+        started = F.when(F.col("status") == "running", F.col("seq"))
+        return self.read_statuses().groupBy("run_id").agg(
             F.max_by("status", "seq").alias("status"),
-            *[F.min_by(c, "seq").alias(c) for c in first],
+            F.max("attempt").alias("attempts"),
+            *[F.max_by(c, started).alias(c) for c in first],
             *[F.max_by(c, "seq").alias(c) for c in ("metrics", "error_message")],
         )
 
+    def read_statuses(self) -> DataFrame:
+        return self.spark.read.schema(STATUS_SCHEMA).parquet(f"{self.root}/status")
+
+    def read(self, name: str) -> DataFrame:
+        """Rows of completed runs."""
+        done = self.read_statuses().where("status = 'completed'").select("run_id", "attempt")
+        return self.every_attempt(name).join(done, ["run_id", "attempt"], "left_semi").drop("attempt")
+
+    def every_attempt(self, name: str) -> DataFrame:
+        """Rows of all attempts, running and failed ones included."""
+        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        return rows.withColumns({c: F.col(c).cast("long") for c in ("run_id", "attempt")})
+
+    def own_rows(self, name: str, run_id: int) -> DataFrame:
+        """What the run's newest attempt wrote so far."""
+        own = (F.col("run_id") == run_id) & (F.col("attempt") == self._state(run_id)["attempt"])
+        return self.every_attempt(name).where(own).drop("attempt")
+
     def start(
-        self, run_id: int, *, git_sha: str, git_dirty: bool, protocol_id: int, feature_schema: str,
-        kind: str, model_family: str, hyperparams: Mapping[str, object], seed: int = 0,
-    ) -> None:
+        self, run_id: int | None = None, *, git_sha: str, git_dirty: bool, protocol_id: int,
+        feature_schema: str, kind: str, model_family: str, hyperparams: Mapping[str, object], seed: int = 0,
+    ) -> int:
+        """Open a new run, or the next attempt of a failed one; the id is handed out where none is given."""
         require_compatible(feature_schema, kind)
+        state, attempt = None, 1
+        if run_id is None:
+            run_id = (self._statuses().agg(F.max("run_id")).first()[0] or 0) + 1
+            while not self._claim(run_id, attempt):
+                run_id += 1
+        else:
+            state = self._state(run_id)
+            if state is not None:
+                if state["status"] != "failed":
+                    raise PermissionError(f"run {run_id} is {state['status']}; its id cannot be used again")
+                attempt = state["attempt"] + 1
+            if not self._claim(run_id, attempt):
+                raise PermissionError(f"attempt {attempt} of run {run_id} belongs to another caller")
         self._status(
-            run_id, "running", 0, git_sha=git_sha, git_dirty=git_dirty, protocol_id=protocol_id,
-            feature_schema=feature_schema, model_family=model_family,
-            hyperparams=json.dumps(dict(hyperparams), sort_keys=True), seed=seed,
+            run_id, attempt, "running", 0 if state is None else state["seq"] + 1, git_sha=git_sha,
+            git_dirty=git_dirty, protocol_id=protocol_id, feature_schema=feature_schema,
+            model_family=model_family, hyperparams=json.dumps(dict(hyperparams), sort_keys=True), seed=seed,
         )
+        return run_id
 
     def _require_open(self, run_id: int) -> None:
-        row = self.runs().where(F.col("run_id") == run_id).select("status").first()
-        if row is not None and row[0] == "completed":
+        state = self._state(run_id)
+        if state is not None and state["status"] == "completed":
             raise PermissionError("completed run inputs are immutable")
 
-    def append_inputs(self, run_id: int, payloads: DataFrame) -> None:
+    def _running(self, run_id: int):
+        """The status row of a running attempt; any other run takes no more rows."""
         self._require_open(run_id)
-        rows = payloads.withColumn("run_id", F.lit(run_id).cast("long"))
-        self._append("feature_rows", rows)
-        written = self.read("feature_rows").where(F.col("run_id") == run_id)
-        self._append("manifests", manifest(written, ("run_id",)))
+        state = self._state(run_id)
+        if state is None or state["status"] != "running":
+            raise PermissionError(f"run {run_id} is not running")
+        return state
+
+    def _put(self, name: str, run_id: int, rows: DataFrame) -> None:
+        attempt = self._running(run_id)["attempt"]
+        plain = rows.drop("run_id", "attempt")
+        plain.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}/attempt={attempt}")
+
+    def append_inputs(self, run_id: int, payloads: DataFrame) -> None:
+        self._put("feature_rows", run_id, payloads)
+        self._put("manifests", run_id, manifest(self.own_rows("feature_rows", run_id), ("run_id",)))
 
     def append_predictions(self, run_id: int, predictions: DataFrame) -> None:
-        rows = prediction_rows(predictions).withColumn("run_id", F.lit(run_id).cast("long"))
-        rows = stage(rows, "predictions")  # checked before anything reaches the ledger
+        self._running(run_id)
+        rows = stage(prediction_rows(predictions), "predictions")  # checked before anything reaches the ledger
         if not prediction_problems(rows).isEmpty():
             raise ValueError("a stored probability is outside [0, 1]")
-        self._append("predictions", rows)
+        self._put("predictions", run_id, rows)
+        release(rows)
 
     def append_params(self, run_id: int, params: DataFrame) -> None:
-        self._append("models", params.withColumn("run_id", F.lit(run_id).cast("long")))
+        self._put("models", run_id, params)
 
     def complete(self, run_id: int, metrics_row: Mapping[str, object]) -> None:
-        self._status(run_id, "completed", 1, metrics=json.dumps(dict(metrics_row), sort_keys=True))
+        """Make all that the attempt wrote visible at once."""
+        state = self._running(run_id)
+        text = json.dumps(dict(metrics_row), sort_keys=True)
+        self._status(run_id, state["attempt"], "completed", state["seq"] + 1, metrics=text)
 
     def fail(self, run_id: int, message: str) -> None:
-        self._status(run_id, "failed", 1, error_message=message)
+        state = self._running(run_id)
+        self._status(run_id, state["attempt"], "failed", state["seq"] + 1, error_message=message)
 
 
 def run_experiment(
     ledger: Ledger,
-    run_id: int,
+    run_id: int | None,
     family_name: str,
     family,
     matches: DataFrame,
@@ -351,11 +426,12 @@ def run_experiment(
 ) -> DataFrame:
     """Store inputs, fit and predict every fold, store predictions and metrics.
 
-    A failure leaves a failed run behind and is raised again.
+    A failure leaves a failed run behind, none of whose rows are visible, and is raised again; the same id
+    may then be run as the next attempt. Without an id the ledger hands one out.
     """
     from dyadflow.operators import stats
 
-    ledger.start(
+    run_id = ledger.start(
         run_id, git_sha=git_sha, git_dirty=git_dirty, protocol_id=protocol_id,
         feature_schema=feature_schema, kind=family.representation_kind, model_family=family_name,
         hyperparams=family.hyperparams, seed=seed,
@@ -368,7 +444,7 @@ def run_experiment(
         )
         ledger.append_predictions(run_id, named)
         ledger.append_params(run_id, result.params)
-        stored = ledger.read("predictions").where(F.col("run_id") == run_id)
+        stored = ledger.own_rows("predictions", run_id)
         scored = stored.join(
             matches.select(
                 "match_id", F.col("athlete_a_id").alias("athlete_id"),
@@ -380,7 +456,7 @@ def run_experiment(
         ledger.complete(run_id, summary.first().asDict())
         return summary
     except Exception as error:
-        ledger.fail(run_id, str(error)[:2000])
+        ledger.fail(run_id, str(error))
         raise
 
 

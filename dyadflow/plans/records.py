@@ -74,7 +74,7 @@ def ledger_runs(spark, sf):
         except PermissionError:
             closed.append(run_id)
     stored = book.read("predictions").groupBy("run_id").agg(F.count(F.lit(1)).alias("predictions"))
-    sizes = book.read("manifests").select(F.col("run_id").cast("long").alias("run_id"), "feature_rows")
+    sizes = book.every_attempt("manifests").select(F.col("run_id").cast("long").alias("run_id"), "feature_rows")
     return (
         book.runs().join(sizes, "run_id").join(stored, "run_id", "left")
         .select(
@@ -86,6 +86,76 @@ def ledger_runs(spark, sf):
     )
 
 
+@query(
+    "ledger_retries",
+    with_ctes(
+        """SELECT 1::BIGINT AS run_id, 'completed' AS status, 2::BIGINT AS attempts, trains + tests AS visible_inputs,
+  2 * (trains + tests) AS stored_inputs, 1::BIGINT AS manifests, 2 * tests AS visible_predictions,
+  tests AS visible_models, tests AS scored, 4::BIGINT AS refused_writes, true AS id_refused FROM n, trained
+UNION ALL SELECT 2, 'failed', 1, 0, trains + tests, 0, 0, 0, 0, 4, false FROM n, trained
+UNION ALL SELECT 3, 'completed', 1, trains + tests, trains + tests, 1, 2 * tests, tests, tests, 4, true FROM n, trained""",
+        DYADS, SIDES, FOLDS, _SIZES,
+    ),
+)
+def ledger_retries(spark, sf):
+    """A run that fails after its predictions and is run again, one that stays failed, one with an id handed
+    out; then every table is written to and every id started once more."""
+    matches, _, plan = _plan(spark, sf)
+    members = stage(folds.fold_members(plan, matches), "members")
+    payloads = stage(ledger.rating_payloads(members, matches), "payloads")
+    book = ledger.Ledger(spark, stage_path(spark, "ledger"))
+    even = members.where("role = 'test'").select("fold_index", "match_id", F.lit(0.5).alias("p_a"))
+    params = even.select("fold_index", "match_id", F.lit("p").alias("name"), F.col("p_a").alias("value"))
+
+    def started(run_id):
+        return book.start(
+            run_id, git_sha="0" * 40, git_dirty=False, protocol_id=1, feature_schema="outcomes_elo_v1", kind="rating",
+            model_family="even", hyperparams={},
+        )
+
+    def attempt(run_id, *, fails):
+        run_id = started(run_id)
+        book.append_inputs(run_id, payloads)
+        named = even.join(matches.select("match_id", "athlete_a_id", "athlete_b_id"), "match_id")
+        book.append_predictions(run_id, named)
+        book.append_params(run_id, params)
+        if fails:
+            book.fail(run_id, "lost on the way")
+            return
+        book.complete(run_id, {"n": book.own_rows("predictions", run_id).count() // 2})
+
+    attempt(1, fails=True)
+    attempt(2, fails=True)
+    attempt(1, fails=False)
+    attempt(None, fails=False)
+    after = []
+    for run_id in (1, 2, 3):
+        refused, reused = 0, False
+        for name in book.TABLES:
+            try:
+                book._put(name, run_id, params.limit(1))
+            except PermissionError:
+                refused += 1
+        if run_id != 2:  # a failed run may be started again
+            try:
+                started(run_id)
+            except PermissionError:
+                reused = True
+        after.append((run_id, refused, reused))
+    told = spark.createDataFrame(after, "run_id long, refused_writes long, id_refused boolean")
+    counted = lambda rows, name: rows.groupBy("run_id").agg(F.count(F.lit(1)).alias(name))
+    out = book.runs().select(
+        "run_id", "status", "attempts", F.get_json_object("metrics", "$.n").cast("long").alias("scored")
+    )
+    for name, rows in (
+        ("visible_inputs", book.read("feature_rows")), ("stored_inputs", book.every_attempt("feature_rows")),
+        ("manifests", book.read("manifests")), ("visible_predictions", book.read("predictions")),
+        ("visible_models", book.read("models")),
+    ):
+        out = out.join(counted(rows, name), "run_id", "left")
+    return out.fillna(0).join(told, "run_id")
+
+
 _BOXED = """
 boxed AS (SELECT max(event_id) AS event_id FROM dyads),
 start AS (SELECT min(held_on) AS held_on FROM dyads WHERE event_id = (SELECT event_id FROM boxed)),

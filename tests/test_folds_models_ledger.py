@@ -155,6 +155,55 @@ def test_a_failing_run_is_recorded_and_raised(spark, tmp_path):
     assert book.runs().where("run_id = 2").isEmpty()
 
 
+def test_attempts_of_a_run(spark, tmp_path):
+    """A failed attempt leaves nothing to see, its id goes on; completed runs are closed, ids are not reused."""
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    how = dict(
+        git_sha="abc", git_dirty=False, protocol_id=1, feature_schema="outcomes_elo_v1", kind="rating",
+        model_family="x", hyperparams={},
+    )
+    params = spark.createDataFrame([(0, "a", 1.0), (0, "b", 2.0)], "fold_index long, name string, value double")
+    named = spark.createDataFrame([(0, 5, 1, 2, 0.25)], "fold_index long, match_id long, athlete_a_id long, athlete_b_id long, p_a double")
+    with pytest.raises(PermissionError):  # nothing was started
+        book.append_params(1, params)
+    assert book.start(**how) == 1 and book.start(9, **how) == 9 and book.start(**how) == 10
+    with pytest.raises(PermissionError):
+        book.start(1, **how)
+    book.append_params(1, params)
+    book.append_params(1, params.limit(1))  # a step that is repeated replaces itself
+    assert book.own_rows("models", 1).count() == 1 and book.read("models").isEmpty()
+    book.fail(1, "x" * 5_000)
+    assert book.runs().where("run_id = 1").first()["error_message"] == "x" * 5_000
+    with pytest.raises(PermissionError):
+        book.fail(1, "twice")
+    with pytest.raises(PermissionError):
+        book.complete(1, {})
+    how["git_sha"] = "def"
+    assert book.start(1, **how) == 1
+    book.append_params(1, params)
+    book.append_predictions(1, named)
+    assert book.read("models").isEmpty()
+    book.complete(1, {"n": 1})
+    assert book.read("models").count() == 2 and book.read("predictions").count() == 2
+    assert book.every_attempt("models").count() == 3
+    row = book.runs().where("run_id = 1").first()
+    assert (row["status"], row["attempts"], row["git_sha"]) == ("completed", 2, "def")
+    for write in (
+        lambda: book.append_params(1, params), lambda: book.append_predictions(1, named),
+        lambda: book.append_inputs(1, params), lambda: book.complete(1, {}), lambda: book.fail(1, "late"),
+        lambda: book.start(1, **how),
+    ):
+        with pytest.raises(PermissionError):
+            write()
+    assert book.runs().where("run_id = 1").first()["status"] == "completed"
+    assert book.read_statuses().where("run_id = 1").count() == 4
+
+
+def test_one_caller_owns_an_attempt(spark, tmp_path):
+    book = ledger.Ledger(spark, str(tmp_path / "ledger"))
+    assert book._claim(4, 1) and not book._claim(4, 1) and book._claim(4, 2)
+
+
 def test_gates():
     with pytest.raises(RuntimeError):
         ledger.evaluate_lockbox_gate("lockbox_prospective", True)
