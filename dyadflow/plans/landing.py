@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dyadflow.functions import vocab
 from dyadflow.operators import claims as cl
+from dyadflow.operators import validation
 from dyadflow.plans.fixtures import table
-from dyadflow.sources import artifacts
+from dyadflow.sources import artifacts, results_csv
+from dyadflow.staging import stage_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -173,3 +176,36 @@ def nested_dimensions(spark, sf):
         flat("transferable_lessons", "referenced_opponent_or_match", "tested_property", "transfers_how", "transfer_strength")
         .alias("lessons"),
     )
+
+
+@query(
+    "landed_results",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS event_slug, CAST(o_orderkey % 2 AS INTEGER) AS folder,
+  CAST(o_orderkey // 2 % 16 AS INTEGER) AS bucket, row_number() OVER (
+    PARTITION BY o_orderkey % 2, o_orderkey // 2 % 16 ORDER BY o_orderkey) + 1 AS row_number,
+  CAST(CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS BIGINT) AS n_problems
+FROM orders""",
+)
+def landed_results(spark, sf):
+    """Orders as result files, equal file names in two folders, read back with their line numbers; an open
+    order has scores, which is right for completed matches only."""
+    key = F.col("o_orderkey")
+    values = {
+        "event_slug": key.cast("string"), "event_name": F.lit('Cup, "open"'), "promoter": F.lit("C"),
+        "event_date": F.date_format("o_orderdate", "yyyy-MM-dd"), "arm": F.lit("right"), "weight_class": F.lit("105 kg"),
+        "athlete_a": F.concat(F.lit("c"), F.col("o_custkey").cast("string")), "athlete_b": F.lit("other"),
+        "score_a": F.lit("3"), "score_b": F.lit("1"),
+        "status": F.when(F.col("o_orderstatus") == "O", "completed").otherwise("dq"), "video_id": F.lit(""), "bout": F.lit(""),
+    }
+    rows = table(spark, sf, "orders").select(
+        *[values[c].alias(c) for c in vocab.RESULT_COLUMNS], key.alias("_key"),
+        (key % 2).cast("int").alias("folder"), F.expr("CAST(o_orderkey div 2 % 16 AS INT)").alias("bucket"),
+    )
+    # a task that holds a bucket writes a file of the same name into both folders
+    path = stage_path(spark, "results")
+    ordered = rows.repartition("bucket").sortWithinPartitions("folder", "bucket", "_key").drop("_key")
+    ordered.write.partitionBy("folder", "bucket").option("header", True).option("escape", '"').csv(path)
+    numbered = results_csv.with_row_numbers(results_csv.read_results(spark, path))
+    return validation.validate_results(numbered).select(
+        "event_slug", "folder", "bucket", "row_number", F.size("problems").cast("long").alias("n_problems")
+    )

@@ -30,7 +30,7 @@ def test_a_good_row_is_typed(spark, tmp_path):
     assert row["problems"] == [] and row["row_number"] == 2
     assert row["event_name"] == "Event, 25" and row["athlete_a"] == "Adam" and row["athlete_b"] == "Nür"
     assert row["scheduled_at"] == dt.datetime(2026, 8, 1) and row["score_a"] == 3
-    assert row["batch_key"] == "manual-results:fixture.csv"
+    assert row["batch_key"] == f"manual-results:file:{path}"
 
 
 def test_all_problems_of_all_rows_are_reported(spark, tmp_path):
@@ -69,6 +69,33 @@ def test_same_day_rematches_need_distinct_bouts(spark, tmp_path, bouts, ok):
         assert [r["scheduled_at"].minute for r in rows] == [1, 2, 0]
 
 
+def test_equal_names_in_two_folders_are_two_files(spark, tmp_path):
+    line = "e,E,C,2026-08-01,right,1,A,B,3,2,completed,,"
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        _csv(tmp_path / folder, line, line.replace("A,B", f"C,{folder}"))
+    rows = _load(spark, f"{tmp_path}/*/*.csv").collect()
+    assert sorted((r["batch_key"][-13:], r["row_number"]) for r in rows) == [
+        ("x/fixture.csv", 2), ("x/fixture.csv", 3), ("y/fixture.csv", 2), ("y/fixture.csv", 3)
+    ]
+    # the same match in two files is no rematch within either
+    assert all(r["problems"] == [] for r in rows)
+
+
+def test_rows_of_one_file_in_several_parts(spark, tmp_path):
+    lines = [f"e{i},E,C,2026-08-01,right,1,A,B,3,2,completed,," for i in range(4_000)]
+    path = _csv(tmp_path, *lines)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        read = results_csv.read_results(spark, path)
+        assert read.select("file_block").distinct().count() > 5
+        rows = results_csv.with_row_numbers(read).select("event_slug", "row_number").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["event_slug"]: r["row_number"] for r in rows} == {f"e{i}": i + 2 for i in range(4_000)}
+
+
 def test_whole_file_mode_rejects_the_file(spark, tmp_path):
     good = "e,E,C,2026-08-01,right,1,A,B,3,2,completed,,"
     _csv(tmp_path, good, name="a.csv")
@@ -76,7 +103,7 @@ def test_whole_file_mode_rejects_the_file(spark, tmp_path):
     checked = _load(spark, str(tmp_path))
     assert validation.accepted(checked).count() == 2
     kept = validation.accepted_files(checked, "batch_key").collect()
-    assert [r["batch_key"] for r in kept] == ["manual-results:a.csv"]
+    assert [r["batch_key"] for r in kept] == [f"manual-results:file:{tmp_path}/a.csv"]
     counts = validation.outcome_counts(checked).first()
     assert (counts["selected"], counts["completed"], counts["failed"]) == (3, 2, 1)
 
