@@ -1,6 +1,6 @@
 """Language ID by compression: the language whose dictionary makes a text smallest.
 
-Per language, excerpts of sampled labelled documents form a raw-content zstandard dictionary. A text is
+Per language, windows at hashed places of sampled labelled documents form a raw-content zstandard dictionary. A text is
 folded to lower case without digits and punctuation, cut into blocks (so that a text's own repeats
 cannot replace the dictionary), and every block of the whole text is compressed with every dictionary.
 The smallest total wins; a narrow margin rejects. Equal totals go to the language with more documents.
@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from dyadflow.session import ship_package
 
-DICTIONARY = 65_536  # bytes of a dictionary
 SAMPLE_DOCS = 80  # documents sampled for a language, about
-EXCERPT = 2_000  # characters of each that go into the dictionary
+WINDOW = 800  # characters of each that go into the dictionary, from anywhere in its text
 BLOCK = 1_000  # bytes compressed at a time
 LEVEL = 6
 MARGIN = 0.001  # of the second smallest total; below, the text is rejected
@@ -40,7 +39,9 @@ def dictionaries(
     """(language, dictionary), most frequent language first; ``df`` holds the labelled rows.
 
     Rows are drawn by a hash of the text at a rate set by the language's row count; about
-    ``sample_docs`` excerpts of ``EXCERPT`` characters a language come to the driver.
+    ``sample_docs`` different texts a language, and of each a window of ``WINDOW`` characters at a place
+    that the text's hash gives, come to the driver: 64 kB a language for texts in one-byte letters. All of
+    them count.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text")
@@ -56,16 +57,19 @@ def dictionaries(
             for x in (name, int(min(1.0, sample_docs / n) * (1 << 40)))
         ]
     )
+    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    begin = (F.pmod(F.xxhash64(F.lit("window"), "text"), room) + 1).cast("int")
     drawn = (
         known.where(place < F.element_at(rate, F.col("lang")))
-        .select("lang", place.alias("place"), F.substring("text", 1, EXCERPT).alias("text"))
+        .select("lang", place.alias("place"), F.substring("text", begin, F.lit(WINDOW)).alias("text"))
+        .dropDuplicates(["lang", "place"])  # copies of a drawn text come once
         .collect()
     )
     parts: dict[str, dict[int, bytes]] = {}
     for row in drawn:
         parts.setdefault(row["lang"], {})[row["place"]] = folded(row["text"])
     order = sorted(parts, key=lambda name: (-counts[name], name))
-    joined = {n: b" ".join(p for _, p in sorted(parts[n].items()))[:DICTIONARY] for n in order}
+    joined = {n: b" ".join(p for _, p in sorted(parts[n].items())) for n in order}
     return [(name, joined[name]) for name in order if joined[name]]
 
 

@@ -198,6 +198,25 @@ def test_mix(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_language_learns_from_windows_of_whole_texts(spark):
+    """Windows lie anywhere in a text, copies come once, and a prediction is the smallest sum of blocks."""
+    texts = [("x" * 5_000 + f" {i} " + "".join(chr(97 + (i * 7 + j) % 26) for j in range(5_000)), "aa") for i in range(30)]
+    texts += [("der die das und nicht " * 40, "de")] * 60 + [("the of and to in that " * 40, "en")] * 20
+    rows = spark.createDataFrame(texts, "text string, lang string")
+    model = language.dictionaries(rows)
+    assert [name for name, _ in model] == ["de", "aa", "en"]
+    sizes = {name: len(content) for name, content in model}
+    assert sizes["de"] == sizes["en"] <= language.WINDOW  # one window of a text that is there 60 times
+    own = dict(model)["aa"]
+    assert any(part.strip(b"x ") for part in own.split(b" ")) and len(own) <= 30 * (language.WINDOW + 1)
+    assert max(len(set(w)) for w in own.split(b" ")) > 20  # beyond the first characters
+    names, compressors = [n for n, _ in model], language._compressors(model)
+    for text in ("das und die der nicht", "that and the of to in", "xxxx xxxxxx xxxxxxxxx"):
+        plain = language.folded(text)
+        totals = [sum(len(c.compress(plain[a : a + language.BLOCK])) for a in range(0, len(plain), language.BLOCK)) for c in compressors]
+        assert language.judge(text, names, compressors)[0] == names[totals.index(min(totals))]
+
+
 def test_language(spark):
     whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.report(whole).join(whole.select("doc_id", "lang"), "doc_id").collect()
