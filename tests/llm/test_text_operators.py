@@ -206,7 +206,7 @@ def test_language_learns_from_windows_of_whole_texts(spark):
     model = language.dictionaries(rows)
     assert [name for name, _ in model] == ["de", "aa", "en"]
     sizes = {name: len(content) for name, content in model}
-    assert sizes["de"] == sizes["en"] <= language.WINDOW  # one window of a text that is there 60 times
+    assert all(language.WINDOW - 30 < sizes[name] <= language.WINDOW for name in ("de", "en"))  # one window of a text that is there 60 times
     own = dict(model)["aa"]
     assert any(part.strip(b"x ") for part in own.split(b" ")) and len(own) <= 30 * (language.WINDOW + 1)
     assert max(len(set(w)) for w in own.split(b" ")) > 20  # beyond the first characters
