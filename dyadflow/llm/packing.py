@@ -1,13 +1,14 @@
-"""Best-fit packing of token pieces into sequences, in bulk-synchronous steps.
+"""Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
 Documents are tokenised once, cut only if longer than a sequence, and their pieces written without the
-tokens. Pieces and gaps are kept sorted by length. A step takes all pieces of one length, longest first,
-and sweeps the gaps from the smallest that fits upward: the gaps of one size are filled in order of rank
-by the pieces in order of rank, then count as smaller gaps, and the next step follows. New sequences are
-opened only where no gap fits. Since lengths are whole numbers up to the capacity, a sorted list is its
-counts by length, and what a step matches are runs of ranks: the driver holds counts and runs, whose
-number depends on the capacity, not on the rows. Rows get their rank from range-sorted prefix sums and
-their place from the runs. This is best-fit decreasing over all pieces.
+tokens. Then rounds follow, the longest pieces first, a band of lengths after the other. In a round the
+pieces of the band and the gaps of all open sequences are range-sorted together by size, ranges are
+swept by tasks of their own, and each piece that wins takes the smallest gap that fits: conflicts over a
+gap are settled by rank, longer pieces first, so that losers are the shorter ones. Gaps are updated by
+what they took, and the next round follows with the pieces left. Sequences are opened only for pieces
+longer than every gap, as many as their tokens fill. A round's pieces, gaps and places are written
+tables, and one row a range and a few sums a round come to the driver. Every round places the longest
+piece left at least, and usually one or more for every gap that some piece fits.
 
 A null text is empty: a document of one end token. Empty tables give no rows; repeated rows are packed
 each; other columns play no part.
@@ -15,20 +16,23 @@ each; other columns play no part.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadflow.llm.ranges import prefix_sum, range_sorted
 from dyadflow.session import ship_package
-from dyadflow.staging import stage
+from dyadflow.staging import release, stage
 
 CAPACITY = 2_048
 END = 0
+#: A band holds pieces longer than its upper end divided by this. Bears on the number of rounds.
+BAND = 2
+#: A band's last pieces, fewer than one in so many, are left to the next band. Bears on the number of rounds.
+HANDED_ON = 10
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 #: The vocabulary's special token, and its word pattern for texts in which white space
@@ -119,92 +123,187 @@ def pieces(
     return source.mapInArrow(run, schema + (", ids array<bigint>" if with_ids else ""))
 
 
-@dataclass
-class Runs:
-    """Pieces ``rank`` and up of ``length`` go, ``each`` to a sequence, to ``sequence`` and up at ``offset``."""
-
-    length: list[int]
-    rank: list[int]
-    each: list[int]
-    sequence: list[int]
-    offset: list[int]
-
-
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Runs:
-    """Match counts of pieces by length with gaps, one step for each length."""
-    runs = Runs([], [], [], [], [])
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, how many)
-    sizes = 0  # bit g: some sequence has gap g
-    opened = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            fitting = sizes >> length
-            if not fitting:
-                fresh = -(-left // (capacity // length))
-                gaps[capacity].append((opened, fresh))
-                sizes |= 1 << capacity
-                opened += fresh
-                continue
-            gap = length + (fitting & -fitting).bit_length() - 1
-            first, many = gaps[gap].pop()
-            each = min(gap // length, left)
-            filled = min(many, left // each)
-            for name, value in zip(
-                ("length", "rank", "each", "sequence", "offset"),
-                (length, rank, each, first, capacity - gap), strict=True,
-            ):
-                getattr(runs, name).append(value)
-            rest = gap - each * length
-            gaps[rest].append((first, filled))
-            sizes |= 1 << rest
-            if filled < many:
-                gaps[gap].append((first + filled, many - filled))
-            if not gaps[gap]:
-                sizes &= ~(1 << gap)
-            rank += filled * each
-            left -= filled * each
-    return runs
-
-
-def _place(ranked: DataFrame, runs: Runs) -> DataFrame:
-    """Append sequence_id and offset to rows with ``length`` and ``rank``."""
-    order = sorted(range(len(runs.length)), key=lambda i: (runs.length[i], runs.rank[i]))
-    column = lambda values: np.array([values[i] for i in order], dtype=np.int64)
-    length, rank, each, sequence, offset = map(
-        column, (runs.length, runs.rank, runs.each, runs.sequence, runs.offset)
-    )
-    starts = (length << 48) | rank  # lengths take 15 bits, ranks 48
+#: Rows a range of a sweep holds. Bears on the layout only.
+RANGE_ROWS = 1_000_000
 
-    def run(batches):
-        import pyarrow as pa
+SWEPT = "kind int, item bigint, turn int, size bigint, free bigint, place bigint"
 
-        for batch in batches:
-            own = batch.column("length").to_numpy()
-            at = batch.column("rank").to_numpy()
-            found = np.searchsorted(starts, (own << 48) | at, side="right") - 1
-            turn = at - rank[found]
-            placed = [sequence[found] + turn // each[found], offset[found] + turn % each[found] * own]
-            keep = [n for n in batch.schema.names if n != "rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in keep], *map(pa.array, placed)],
-                names=[*keep, "sequence_id", "offset"],
+
+def _sweep(table, carry: dict[int, tuple[int, int, int]], later: dict[int, int]):
+    """One range of pieces and slots in descending size: who gets a slot, and which.
+
+    ``carry`` holds pieces, slots and the peak of the excess before the range, ``later`` the least
+    spare slots behind it. Returns the sorted columns, the mask of pieces that win, the places, and
+    what the range adds to either.
+    """
+    kind, item, turn, size, free, part = (
+        table.column(n).to_numpy() for n in ("kind", "item", "turn", "size", "free", "_part")
+    )
+    own = int(part[0])
+    pieces_before, slots_before, peak = carry.get(own, (0, 0, 0))
+    order = np.lexsort((turn, item, -kind, -size))
+    kind, item, turn, size, free = (a[order].astype(np.int64) for a in (kind, item, turn, size, free))
+    doc = kind == 0
+    slots = slots_before + np.cumsum(~doc) - ~doc  # slots before each row
+    number = pieces_before + np.cumsum(doc) - doc  # pieces before each row
+    excess = np.where(doc, number + 1 - slots, np.iinfo(np.int64).min)
+    highest = np.maximum.accumulate(np.append(max(peak, 0), excess))
+    wins = doc & (excess <= highest[:-1])
+    rank = number - highest[:-1]
+    spare = np.where(wins, slots - rank, np.iinfo(np.int64).max)
+    least = np.minimum.accumulate(np.append(spare, later.get(own, np.iinfo(np.int64).max))[::-1])[::-1]
+    place = np.where(doc, rank - 1 + np.where(wins, least[:-1], 0), slots)
+    return (kind, item, turn, size, free, place), wins, own, int(spare.min())
+
+
+def match(line: DataFrame, ranges: int = 1) -> DataFrame:
+    """Sweep pieces and slots: (kind, item, turn, size, free, place), losing pieces left out.
+
+    ``line`` holds (kind, item, turn, size, free): kind 0 a piece of ``size``, kind 1 a slot. A piece
+    and a slot with one ``place`` belong together. Where slots run short the longer pieces have them;
+    of the pieces that win, in ascending order, each has the smallest slot that fits and that no
+    shorter one holds. Both follow from running counts and extremes over the sorted line: a piece of
+    rank r with S slots as large as itself wins unless r + 1 - S tops all before, and takes slot
+    r - 1 + min(S' - r') over itself and the shorter winners. With several ranges every range is
+    swept by a task of its own and hands one row of counts on to the next.
+    """
+    import pyarrow as pa
+
+    carry: dict[int, tuple[int, int, int]] = {}
+    later: dict[int, int] = {}
+    if ranges > 1:
+        order = [F.desc("size"), F.desc("kind"), "item", "turn"]
+        placed = line.repartitionByRange(ranges, *order).withColumn("_part", F.spark_partition_id())
+        line = stage(placed, "line")  # borders come from a sample: all passes must see the same
+
+        def summary(table):
+            kind = table.column("kind").to_numpy()
+            slots = int((kind == 1).sum())
+            (sorted_kind, *_, place), _, own, _ = _sweep(table, {}, {})
+            doc = sorted_kind == 0
+            slots_before = np.cumsum(~doc)[doc]
+            peak = (np.arange(1, len(slots_before) + 1) - slots_before).max() if doc.any() else None
+            return pa.table(
+                {"part": pa.array([own], pa.int32()), "docs": pa.array([int(doc.sum())], pa.int64()),
+                 "slots": pa.array([slots], pa.int64()), "peak": pa.array([peak], pa.int64())}
             )
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank"]
-    return ranked.mapInArrow(run, ", ".join([*kinds, "sequence_id bigint", "offset bigint"]))
+        found = line.groupBy("_part").applyInArrow(summary, "part int, docs bigint, slots bigint, peak bigint")
+        docs = slots = peak = 0
+        for r in sorted(found.collect(), key=lambda r: r.part):  # one row for each range
+            carry[r.part] = (docs, slots, peak)
+            if r.peak is not None:
+                peak = max(peak, r.peak + docs - slots)
+            docs, slots = docs + r.docs, slots + r.slots
+
+        def fewest(table):
+            _, _, own, spare = _sweep(table, carry, {})
+            return pa.table({"part": pa.array([own], pa.int32()), "spare": pa.array([spare], pa.int64())})
+
+        least = np.iinfo(np.int64).max
+        rows = line.groupBy("_part").applyInArrow(fewest, "part int, spare bigint").collect()
+        for r in sorted(rows, key=lambda r: -r.part):
+            later[r.part] = least
+            least = min(least, r.spare)
+    else:
+        line = line.withColumn("_part", F.lit(0))
+
+    def sweep(table):
+        columns, wins, _, _ = _sweep(table, carry, later)
+        keep = wins | (columns[0] == 1)
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["kind", "item", "turn", "size", "free", "place"]
+        return pa.table({n: pa.array(c[keep], k) for n, c, k in zip(names, columns, kinds, strict=True)})
+
+    return line.groupBy("_part").applyInArrow(sweep, SWEPT)
+
+
+def _round(docs: DataFrame, gaps: DataFrame, top: int, lower: int, most: int, ranges: int, capacity: int) -> DataFrame:
+    """Pieces placed in one round: (item, length, sequence_id, offset)."""
+    offered = gaps.where(F.col("free") > lower)
+    turns = F.least(F.greatest(F.floor(F.col("free") / top), F.lit(1)), F.lit(most)).cast("int")
+    # a gap offers a slot of its whole size, or several that hold the longest piece each
+    slots = offered.select(
+        F.lit(1).alias("kind"), F.col("sequence_id").alias("item"),
+        F.explode(F.sequence(F.lit(1), turns)).alias("turn"),
+        F.when(turns > 1, F.lit(top)).otherwise(F.col("free")).cast("bigint").alias("size"), "free",
+    )
+    line = docs.select(
+        F.lit(0).alias("kind"), "item", F.lit(0).alias("turn"), F.col("length").alias("size"),
+        F.lit(0).cast("bigint").alias("free"),
+    ).unionByName(slots)
+    piece, slot = F.col("kind") == 0, F.col("kind") == 1
+    pairs = (
+        match(line, ranges).groupBy("place")
+        .agg(
+            F.max(F.when(piece, F.col("item"))).alias("item"), F.max(F.when(piece, F.col("size"))).alias("length"),
+            F.max(F.when(slot, F.col("item"))).alias("sequence_id"), F.max(F.when(slot, F.col("turn"))).alias("turn"),
+            F.max(F.when(slot, F.col("free"))).alias("free"),
+        )
+        .where("item IS NOT NULL")
+    )
+    before = Window.partitionBy("sequence_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    offset = capacity - F.col("free") + F.coalesce(F.sum("length").over(before), F.lit(0))
+    return pairs.select("item", "length", "sequence_id", offset.cast("bigint").alias("offset"))
+
+
+def best_fit(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(item, sequence_id, offset) of all ``items`` (item, length): rounds of sweeps, see the module.
+
+    ``item`` is unique, lengths are 1 to ``capacity``.
+    """
+    spark = items.sparkSession
+    lasting, opened = [], 0
+    gaps = spark.createDataFrame([], "sequence_id bigint, free bigint")
+    left = items.select("item", "length").limit(0)
+    upper = capacity
+    while upper:
+        lower, started = upper // BAND, None
+        band = items.where((F.col("length") > lower) & (F.col("length") <= upper)).select("item", "length")
+        docs = left.unionByName(band)
+        while True:
+            offered = gaps.where(F.col("free") > lower)
+            none = F.lit(None).cast("bigint")
+            top, many, roomy, widest, open_gaps, room = (
+                docs.select("length", none.alias("free")).unionByName(offered.select(none.alias("length"), "free"))
+                .agg(F.max("length"), F.count("length"), F.sum("length"), F.max("free"), F.count("free"), F.sum("free"))
+                .first()
+            )
+            started = many if started is None else started
+            if not many or (lower and many * HANDED_ON < started):
+                break
+            if widest is None or widest < top:  # the pieces that fit nowhere open sequences
+                beyond = roomy if widest is None else docs.where(F.col("length") > widest).agg(F.sum("length")).first()[0]
+                fresh = -(-beyond // capacity)
+                more = spark.range(opened, opened + fresh).select(
+                    F.col("id").alias("sequence_id"), F.lit(capacity).cast("bigint").alias("free")
+                )
+                newly, opened = gaps.unionByName(more), opened + fresh
+                open_gaps, room = open_gaps + fresh, (room or 0) + fresh * capacity
+            else:
+                newly = gaps
+            most = -(-2 * many // open_gaps)  # slots a gap offers: the rest of a large gap waits
+            ranges = -(-(many + open_gaps + min(room // top, open_gaps * most)) // range_rows)
+            placed = stage(_round(docs, newly, top, lower, most, ranges, capacity), "placed")
+            lasting.append(placed.select("item", "sequence_id", "offset"))
+            taken = placed.select("sequence_id", (-F.col("length")).alias("free"))
+            filled = newly.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free"))
+            newer = stage(filled.where("free > 0"), "gaps")
+            rest = stage(docs.join(placed.select("item"), "item", "left_anti"), "unplaced")
+            release(gaps, docs)
+            gaps, docs = newer, rest
+        left, upper = docs, lower
+    if not lasting:
+        return spark.createDataFrame([], "item bigint, sequence_id bigint, offset bigint")
+    return functools.reduce(DataFrame.unionByName, lasting)
 
 
 def pack(
     df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-    vocabulary: str | None = None,
+    vocabulary: str | None = None, range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    if capacity > 32_767:
-        raise ValueError("a sequence holds at most 32,767 tokens")
-    cut = stage(pieces(df, key, text, capacity, vocabulary), "pieces")
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    order = ["length", key, "piece", "start", "ids_crc32"]
-    ranked = prefix_sum(range_sorted(cut, order, "sorted"), ["length"], order[1:], F.lit(1), "rank")
-    ranked = ranked.select(*cut.columns, F.col("rank").cast("bigint").alias("rank"))
-    return _place(ranked, best_fit(counts, capacity))
+    cut = pieces(df, key, text, capacity, vocabulary).withColumn("_item", F.monotonically_increasing_id())
+    cut = stage(cut, "pieces")  # the numbers hold for all rounds
+    placed = best_fit(cut.select(F.col("_item").alias("item"), "length"), capacity, range_rows)
+    return cut.join(placed.withColumnRenamed("item", "_item"), "_item").drop("_item")

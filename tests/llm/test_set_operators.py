@@ -1,5 +1,6 @@
 """Fingerprints, search, packing, media, fixity and quality against brute force."""
 
+import bisect
 import hashlib
 import random
 import zlib
@@ -190,10 +191,57 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-def test_best_fit_counts():
-    runs = packing.best_fit({7: 5, 3: 4, 2: 1}, 10)
-    assert (runs.length, runs.rank, runs.each) == ([7, 3, 2], [0, 0, 0], [1, 1, 1])
-    assert (runs.sequence, runs.offset) == ([0, 0, 4], [0, 7, 7])
+def one_by_one(lengths, capacity):
+    """Sequences that best-fit decreasing needs, piece by piece."""
+    free = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(free, n)
+        gap = free.pop(at) if at < len(free) else capacity
+        bisect.insort(free, gap - n)
+    return len(free)
+
+
+def test_successor_sweep(spark):
+    rng = random.Random(3)
+    for turn in range(4):
+        docs = [(0, i, 0, rng.randint(1, 30), 0) for i in range(40)]
+        slots = [(1, i, 1, rng.randint(1, 40), 0) for i in range(25 + 10 * turn)]
+        line = spark.createDataFrame(docs + slots, "kind int, item long, turn int, size long, free long")
+        # the longest pieces that can all be served, then the smallest free slot for each, shortest first
+        sizes = sorted(s[3] for s in slots)
+        won = []
+        for n in sorted((d[3] for d in docs), reverse=True):
+            trial = sorted([*won, n], reverse=True)
+            if all(sum(s >= x for s in sizes) >= k for k, x in enumerate(trial, 1)):
+                won = trial
+        free, want = list(sizes), []
+        for n in reversed(won):
+            want.append((n, free.pop(bisect.bisect_left(free, n))))
+        for ranges in (1, 5):
+            rows = packing.match(line, ranges).collect()
+            slot = {r.place: r.size for r in rows if r.kind == 1}
+            got = [(r.size, slot[r.place]) for r in rows if r.kind == 0]
+            assert len({r.place for r in rows if r.kind == 0}) == len(got)
+            assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("range_rows", [10**6, 150])
+def test_best_fit_rounds(spark, range_rows):
+    rng = random.Random(5)
+    lengths = [100] * 30 + [1] * 150 + [rng.randint(1, 100) for _ in range(300)]
+    lengths += [33] * 90 if range_rows > 150 else []
+    items = spark.createDataFrame(list(enumerate(lengths)), "item long, length long")
+    rows = packing.best_fit(items, 100, range_rows).collect()
+    assert sorted(r.item for r in rows) == list(range(len(lengths)))
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, lengths[r.item]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+        assert sum(n for _, n in own) <= 100
+    assert len(places) <= 1.01 * one_by_one(lengths, 100) + 1
+    assert packing.best_fit(items.limit(0), 100).collect() == []
     assert packing.cuts(5000) == [0, 904, 2952] and packing.cuts(4096) == [0, 2048]
 
 
