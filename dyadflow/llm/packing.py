@@ -218,33 +218,29 @@ def match(line: DataFrame, ranges: int = 1) -> DataFrame:
     return line.groupBy("_part").applyInArrow(sweep, SWEPT)
 
 
-def _round(docs: DataFrame, gaps: DataFrame, top: int, lower: int, most: int, ranges: int, capacity: int) -> DataFrame:
+def _round(state: DataFrame, top: int, lower: int, most: int, ranges: int, capacity: int) -> DataFrame:
     """Pieces placed in one round: (item, length, sequence_id, offset)."""
-    offered = gaps.where(F.col("free") > lower)
-    turns = F.least(F.greatest(F.floor(F.col("free") / top), F.lit(1)), F.lit(most)).cast("int")
     # a gap offers a slot of its whole size, or several that hold the longest piece each
-    slots = offered.select(
-        F.lit(1).alias("kind"), F.col("sequence_id").alias("item"),
-        F.explode(F.sequence(F.lit(1), turns)).alias("turn"),
-        F.when(turns > 1, F.lit(top)).otherwise(F.col("free")).cast("bigint").alias("size"), "free",
+    turns = f"CAST(least(greatest(floor(size / {top}), 1), {most}) AS INT)"
+    line = state.where(f"kind = 0 OR size > {lower}").selectExpr(
+        "kind", "id AS item", f"explode(CASE WHEN kind = 0 THEN array(0) ELSE sequence(1, {turns}) END) AS turn",
+        f"CASE WHEN kind = 0 OR {turns} = 1 THEN size ELSE {top}L END AS size", "size AS free",
     )
-    line = docs.select(
-        F.lit(0).alias("kind"), "item", F.lit(0).alias("turn"), F.col("length").alias("size"),
-        F.lit(0).cast("bigint").alias("free"),
-    ).unionByName(slots)
-    piece, slot = F.col("kind") == 0, F.col("kind") == 1
-    pairs = (
-        match(line, ranges).groupBy("place")
-        .agg(
-            F.max(F.when(piece, F.col("item"))).alias("item"), F.max(F.when(piece, F.col("size"))).alias("length"),
-            F.max(F.when(slot, F.col("item"))).alias("sequence_id"), F.max(F.when(slot, F.col("turn"))).alias("turn"),
-            F.max(F.when(slot, F.col("free"))).alias("free"),
-        )
-        .where("item IS NOT NULL")
+    pairs = match(line, ranges).groupBy("place").agg(
+        F.expr("max(item) FILTER (WHERE kind = 0) AS item"), F.expr("max(size) FILTER (WHERE kind = 0) AS length"),
+        F.expr("max(item) FILTER (WHERE kind = 1) AS sequence_id"), F.expr("max(turn) AS turn"),
+        F.expr("max(free) FILTER (WHERE kind = 1) AS free"),
+    )
+    before = "OVER (PARTITION BY sequence_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return pairs.where("item IS NOT NULL").selectExpr(
+        "item", "length", "sequence_id", f"{capacity} - free + coalesce(sum(length) {before}, 0) AS offset"
     )
-    before = Window.partitionBy("sequence_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    offset = capacity - F.col("free") + F.coalesce(F.sum("length").over(before), F.lit(0))
-    return pairs.select("item", "length", "sequence_id", offset.cast("bigint").alias("offset"))
+
+
+def _sums(state: DataFrame, lower: int):
+    """Most, number and sum of the pieces left, then of the gaps larger than ``lower``."""
+    sums = [F.expr(f"{f}(size) FILTER (WHERE kind = {k})") for k in (0, 1) for f in ("max", "count", "sum")]
+    return state.where(f"kind = 0 OR size > {lower}").agg(*sums).first()
 
 
 def best_fit(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -254,45 +250,39 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE
     """
     spark = items.sparkSession
     lasting, opened = [], 0
-    gaps = spark.createDataFrame([], "sequence_id bigint, free bigint")
-    left = items.select("item", "length").limit(0)
+    # what is left: pieces of the band (kind 0) with their length, sequences (kind 1) with their gap
+    state = spark.createDataFrame([], "kind int, id bigint, size bigint")
     upper = capacity
     while upper:
         lower, started = upper // BAND, None
-        band = items.where((F.col("length") > lower) & (F.col("length") <= upper)).select("item", "length")
-        docs = left.unionByName(band)
+        band = items.where(f"length > {lower} AND length <= {upper}")
+        left, state = state, state.unionByName(band.selectExpr("0 AS kind", "item AS id", "length AS size"))
         while True:
-            offered = gaps.where(F.col("free") > lower)
-            none = F.lit(None).cast("bigint")
-            top, many, roomy, widest, open_gaps, room = (
-                docs.select("length", none.alias("free")).unionByName(offered.select(none.alias("length"), "free"))
-                .agg(F.max("length"), F.count("length"), F.sum("length"), F.max("free"), F.count("free"), F.sum("free"))
-                .first()
-            )
+            top, many, roomy, widest, open_gaps, room = _sums(state, lower)
             started = many if started is None else started
             if not many or (lower and many * HANDED_ON < started):
                 break
             if widest is None or widest < top:  # the pieces that fit nowhere open sequences
-                beyond = roomy if widest is None else docs.where(F.col("length") > widest).agg(F.sum("length")).first()[0]
+                beyond = roomy
+                if widest is not None:
+                    beyond = state.where(f"kind = 0 AND size > {widest}").agg(F.sum("size")).first()[0]
                 fresh = -(-beyond // capacity)
-                more = spark.range(opened, opened + fresh).select(
-                    F.col("id").alias("sequence_id"), F.lit(capacity).cast("bigint").alias("free")
-                )
-                newly, opened = gaps.unionByName(more), opened + fresh
+                more = spark.range(opened, opened + fresh).selectExpr("1 AS kind", "id", f"{capacity}L AS size")
+                state, opened = state.unionByName(more), opened + fresh
                 open_gaps, room = open_gaps + fresh, (room or 0) + fresh * capacity
-            else:
-                newly = gaps
             most = -(-2 * many // open_gaps)  # slots a gap offers: the rest of a large gap waits
             ranges = -(-(many + open_gaps + min(room // top, open_gaps * most)) // range_rows)
-            placed = stage(_round(docs, newly, top, lower, most, ranges, capacity), "placed")
+            placed = stage(_round(state, top, lower, most, ranges, capacity), "placed")
             lasting.append(placed.select("item", "sequence_id", "offset"))
-            taken = placed.select("sequence_id", (-F.col("length")).alias("free"))
-            filled = newly.unionByName(taken).groupBy("sequence_id").agg(F.sum("free").alias("free"))
-            newer = stage(filled.where("free > 0"), "gaps")
-            rest = stage(docs.join(placed.select("item"), "item", "left_anti"), "unplaced")
-            release(gaps, docs)
-            gaps, docs = newer, rest
-        left, upper = docs, lower
+            # a placed piece leaves nothing of itself, a gap what is left of it
+            taken = placed.selectExpr(
+                "explode(map(0, item, 1, sequence_id)) AS (kind, id)", "-length AS size"
+            )
+            rest = state.unionByName(taken).groupBy("kind", "id").agg(F.sum("size").alias("size"))
+            newer = stage(rest.where("size > 0"), "left")
+            release(left)
+            left = state = newer
+        upper = lower
     if not lasting:
         return spark.createDataFrame([], "item bigint, sequence_id bigint, offset bigint")
     return functools.reduce(DataFrame.unionByName, lasting)
