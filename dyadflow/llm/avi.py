@@ -8,7 +8,9 @@ block is a restart interval, so a block is 64 pairs of a code byte and a payload
 ``read_back`` parses the RIFF chunks and the index, decodes the frames (any baseline grey or colour JPEG
 with one scan; of colours, the luminance), and detects shots: a frame starts one when its histogram
 differs from the frame's before by more than mean and ``SIGMAS`` deviations of the differences in the
-``WINDOW`` frames before it, and by ``LEAST`` at least. ``clips`` lists the shots as timed rows.
+``WINDOW`` frames before it, and by ``LEAST`` at least. At the first frame of a shot the differences at the end
+of the shots before count, and where there are none yet the limit is ``ALONE``. Further ``AVIX`` parts and
+``rec `` lists are read in order. ``clips`` lists the shots as timed rows.
 
 Null texts count as empty and give a frame of padding; null media give null results; empty tables give no
 rows; equal bytes give equal results; other columns play no part. Files that are not AVI raise an error.
@@ -34,6 +36,7 @@ BINS = 16
 WINDOW = 8
 SIGMAS = 3.0
 LEAST = 0.15
+ALONE = 0.5  # the limit before any difference within a shot is known
 ROWS = 64  # documents of an Arrow batch that carries media
 
 
@@ -119,35 +122,52 @@ def encode(payload: bytes) -> bytes:
     return _chunk(b"RIFF", body)
 
 
+def _in_order(media: bytes, at: int, end: int) -> list[bytes]:
+    """Coded frames of a list of chunks, those within ``rec `` lists too."""
+    found = []
+    while at + 8 <= end:
+        name, (size,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
+        if name == b"LIST" and media[at + 8 : at + 12] == b"rec ":
+            at += 12
+            continue
+        if name[2:] in (b"dc", b"db"):
+            found.append(media[at + 8 : at + 8 + size])
+        at += 8 + size + (size & 1)
+    return found
+
+
 def frames_of(media: bytes) -> tuple[list[bytes], int]:
-    """Coded frames in order of the index (without one, of the chunks), and microseconds a frame."""
+    """Coded frames in order, and microseconds a frame.
+
+    The index orders the frames of the first part; without one, and in further parts, the chunks do.
+    """
     if media[:4] != b"RIFF" or media[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    micros, movi, index, at = FRAME_MS * 1000, None, None, 12
+    micros, lists, index, at = FRAME_MS * 1000, [], None, 12
     while at + 8 <= len(media):
         name, (size,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
+        if name == b"RIFF" and media[at + 8 : at + 12] == b"AVIX":
+            at += 12
+            continue
         if name == b"LIST" and media[at + 8 : at + 12] == b"movi":
-            movi = (at + 8, at + 8 + size)
+            lists.append((at + 8, at + 8 + size))
         elif name == b"LIST" and media[at + 12 : at + 16] == b"avih":
             (micros,) = struct.unpack_from("<I", media, at + 20)
         elif name == b"idx1":
             index = np.frombuffer(media, dtype="<u4", count=size // 16 * 4, offset=at + 8).reshape(-1, 4)
         at += 8 + size + (size & 1)
-    if movi is None:
+    if not lists:
         raise ValueError("no frames in this AVI file")
+    frames = []
     if index is not None:
-        base = movi[0]
+        base = lists.pop(0)[0]
         video = [(o, n) for c, _, o, n in index.tolist() if c >> 16 & 0xFFFF in (0x6364, 0x6264)]
         if video and video[0][0] >= base:  # some writers count from the start of the file
             base = 0
-        return [media[base + o + 8 : base + o + 8 + n] for o, n in video], micros
-    found, at = [], movi[0] + 4
-    while at + 8 <= movi[1]:
-        name, (size,) = media[at : at + 4], struct.unpack_from("<I", media, at + 4)
-        if name[2:] in (b"dc", b"db"):
-            found.append(media[at + 8 : at + 8 + size])
-        at += 8 + size + (size & 1)
-    return found, micros
+        frames = [media[base + o + 8 : base + o + 8 + n] for o, n in video]
+    for start, end in lists:
+        frames += _in_order(media, start + 4, end)
+    return frames, micros
 
 
 @functools.lru_cache(maxsize=64)
@@ -288,10 +308,11 @@ def pixels(blocks: np.ndarray, quant: np.ndarray) -> np.ndarray:
 def starts(histograms: np.ndarray) -> list[int]:
     """Frames that start a shot, from rows of shares."""
     change = np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2
-    cuts, since = [0], 0
+    cuts, since, before = [0], 0, change[:0]
     for t, d in enumerate(change.tolist()):
-        before = change[max(since, t - WINDOW) : t]
-        limit = before.mean() + SIGMAS * before.std() if len(before) else 1.0
+        if t > since:
+            before = change[max(since, t - WINDOW) : t]
+        limit = before.mean() + SIGMAS * before.std() if len(before) else ALONE
         if d > max(limit, LEAST):
             cuts.append(t + 1)
             since = t + 1

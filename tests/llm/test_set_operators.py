@@ -270,10 +270,26 @@ def test_media_frames_and_shots():
     shares = np.zeros((20, 16))
     shares[:10, 3] = shares[10:, 9] = 1
     assert avi.starts(shares) == [0, 10]
+    assert avi.starts(shares[[0, 0, 0, 0, 0, 10]]) == [0, 5] and avi.starts(shares[[0, 10]]) == [0, 1]
+    single = np.eye(16)[[1] * 5 + [2] + [3] * 5]
+    assert avi.starts(single) == [0, 5, 6]  # a shot of one frame
     with pytest.raises(ValueError):
         avi.frames_of(b"not a file")
 
 
+def test_media_parts_and_record_lists():
+    first, second = avi.encode(bytes(range(256)) * 9), avi.encode(b"z" * 1152)
+    later = [avi._chunk(b"00dc", f) for f in avi.frames_of(second)[0]]
+    record = avi._chunk(b"LIST", b"rec " + later[0])
+    whole = first + avi._chunk(b"RIFF", b"AVIX" + avi._chunk(b"LIST", b"movi" + record + later[1]))
+    wanted = avi.frames_of(first)[0] + avi.frames_of(second)[0]
+    assert avi.frames_of(whole)[0] == wanted
+    assert avi.inspect(whole)["payload"] == bytes(range(256)) * 9 + b"z" * 1152
+    bare = bytearray(first)
+    bare[bare.rindex(b"idx1") : bare.rindex(b"idx1") + 4] = b"JUNK"  # no index: the chunks give the order
+    assert avi.frames_of(bytes(bare))[0] == avi.frames_of(first)[0]
+
+
 def test_clips(spark):
     df = spark.createDataFrame([(1, bytearray(avi.encode(b"a" * 576 * 3))), (2, None)], "doc_id long, media binary")
     assert [tuple(r)[:5] for r in avi.clips(df).collect()] == [(1, 0, 0, 120, 3)]
