@@ -87,10 +87,10 @@ def kg_values(text: Column | str) -> Column:
     return F.transform(found, lambda m: F.regexp_replace(m, "[^0-9-]", ""))
 
 
-def replace_context(text: Column | str, table: Mapping[str, str] | None = None) -> Column:
+def replace_context(text: Column | str, table: Mapping[str, str]) -> Column:
     """Phrase replacement, one phrase after the other."""
     result = col(text)
-    for phrase, replacement in (table or vocab.CONTEXT_REPLACEMENTS).items():
+    for phrase, replacement in table.items():
         result = F.replace(result, F.lit(phrase), F.lit(replacement))
     return result
 

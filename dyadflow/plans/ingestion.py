@@ -600,16 +600,18 @@ def timestamps(spark, sf):
 
 @query(
     "context_replaced",
-    """SELECT doc_id, sha256(text || CASE doc_id % 3 WHEN 0 THEN ' the right-hand match' WHEN 1 THEN ' right-hand prep updates' ELSE '' END)
+    """SELECT doc_id, sha256(replace(replace(text || CASE doc_id % 3 WHEN 0 THEN ' the morning session'
+      WHEN 1 THEN ' open draft' ELSE '' END, 'morning session', 'evening session'), 'open draft', 'final draft'))
   AS body_sha FROM documents""",
 )
 def context_replaced(spark, sf):
+    phrases = {"morning session": "evening session", "open draft": "final draft"}
     tail = (
-        F.when(F.col("doc_id") % 3 == 0, " the left-hand bout")
-        .when(F.col("doc_id") % 3 == 1, " left-hand prep updates").otherwise("")
+        F.when(F.col("doc_id") % 3 == 0, " the morning session")
+        .when(F.col("doc_id") % 3 == 1, " open draft").otherwise("")
     )
     return table(spark, sf, "documents").select(
-        "doc_id", F.sha2(text.replace_context(F.concat("text", tail)), 256).alias("body_sha")
+        "doc_id", F.sha2(text.replace_context(F.concat("text", tail), phrases), 256).alias("body_sha")
     )
 
 
