@@ -290,12 +290,12 @@ def _filled(columns, capacity: int):
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, rows, kinds, strict=True)})
 
 
-def _round(state: DataFrame, top: int, lower: int, most: int, ranges: int, capacity: int) -> DataFrame:
+def _round(state: DataFrame, top: int, lower: int, ranges: int, capacity: int) -> DataFrame:
     """``ROUND`` after one round over the pieces and gaps above ``lower``; the others stay as they are."""
     import pyarrow as pa
 
     # a gap offers a slot of its whole size, or several that hold the longest piece each
-    turns = f"CASE WHEN kind = 0 THEN 1 ELSE CAST(least(greatest(floor(size / {top}), 1), {most}) AS INT) END"
+    turns = f"CASE WHEN kind = 0 THEN 1 ELSE CAST(greatest(floor(size / {top}), 1) AS INT) END"
     line = state.where(f"size > {lower}").selectExpr(
         "kind", "first AS item", f"{turns} AS turn", f"CASE WHEN {turns} = 1 THEN size ELSE {top}L END AS size",
         "size AS free", f"many * {turns} AS many",
@@ -317,8 +317,8 @@ def _round(state: DataFrame, top: int, lower: int, most: int, ranges: int, capac
 
 
 def _sums(state: DataFrame, lower: int):
-    """Of pieces and gaps above ``lower``: longest piece, pieces, widest gap, gaps, rows."""
-    sums = [F.expr(f"{f} FILTER (WHERE kind = {k})") for k in (0, 1) for f in ("max(size)", "sum(many)")]
+    """Of pieces and gaps above ``lower``: longest piece, widest gap, pieces, rows."""
+    sums = [F.expr(f"{s} FILTER (WHERE kind = {k})") for s, k in (("max(size)", 0), ("max(size)", 1), ("sum(many)", 0))]
     return state.where(f"size > {lower}").agg(*sums, F.count(F.lit(1))).first()
 
 
@@ -331,7 +331,7 @@ def rounds(counts: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_
     while upper:
         lower, started = upper // BAND, None
         while True:
-            top, many, widest, open_gaps, lines = _sums(state, lower)
+            top, widest, many, lines = _sums(state, lower)
             started = many if started is None else started
             if not many or (lower and many * HANDED_ON < started):
                 break
@@ -342,9 +342,8 @@ def rounds(counts: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_
                     "1 AS kind", f"{capacity}L AS size", f"{opened}L AS first", f"{fresh}L AS many"
                 )
                 state, opened = state.unionByName(more), opened + fresh
-                open_gaps, lines = (open_gaps or 0) + fresh, lines + 1
-            most = -(-2 * many // open_gaps)  # slots a gap offers: the rest of a large gap waits
-            done = stage(_round(state, top, lower, most, -(-lines // range_rows), capacity), "round")
+                lines += 1
+            done = stage(_round(state, top, lower, -(-lines // range_rows), capacity), "round")
             lasting.append(done.where("kind = 2"))
             state = done.where("kind < 2").select("kind", "size", "first", "many")
         upper = lower
