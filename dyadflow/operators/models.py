@@ -100,14 +100,18 @@ def bradley_terry_family(alpha: float = vocab.BT_ALPHA) -> ModelFamily:
             matches.join(plan.select("event_id", "position", "fold_index"), "event_id"), "bt-matches"
         )
 
-        # games are summed for each event position first, then given to the folds that train on it
+        # folds in the order of their positions: what one trains on, all later ones do too
+        ordered = sorted(_folds(plan), key=lambda fold: fold[1])
+        ends = F.array(*[F.lit(at) for _, at in ordered])
+        first = F.size(F.filter(ends, lambda at: at <= F.col("position")))
         games = (
-            ratings.pair_results(placed, "position")
-            .withColumn("fold_index", F.explode(_trained_by(_folds(plan))))
-            .groupBy("fold_index", "athlete_id", "opponent_id")
-            .agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
+            ratings.pair_results(placed.withColumn("first", first), "first")
+            .where(F.col("first") < len(ordered))
+        )
+        numbers = F.array(*[F.lit(fold).cast("long") for fold, _ in ordered])
+        strengths = ratings.fit_strengths(games, len(ordered), alpha, tolerance=1e-9).select(
+            F.get(numbers, F.col("set")).alias("fold_index"), "athlete_id", "strength"
         )
-        strengths = ratings.fit_strengths(games, ["fold_index"], alpha, tolerance=1e-9)
         test = placed.where("fold_index IS NOT NULL").withColumn(
             "fold_index", F.col("fold_index").cast("long")
         )
