@@ -16,7 +16,9 @@ join on the rarest shingles names every pair whose shingle sets can agree to ``S
 sets are compared for each pair that links, whatever its fingerprints. Before that, fingerprints of
 512 bits connect what is close (neighbours within blocks of sampled bits, compared like the others),
 so that the join need not list the pairs of a large group: only pairs across what is connected already
-are named. Shingles count by their 64-bit hashes, equal sets by a 128-bit hash of the set.
+are named, and of these only pairs that the parities of their sets allow (each shingle flips one of
+``PARITY_WORDS`` words' bits, so as many bits as two sets differ in, as many shingles at least).
+Shingles count by their 64-bit hashes, equal sets by a 128-bit hash of the set.
 
 Null and empty texts have fingerprint zero and are linked like any other. Empty tables give none.
 Repeated rows are rows of the same class. Other columns play no part.
@@ -51,6 +53,7 @@ WIDE_DISTANCE = 110
 SIMILARITY = (4, 5)  # a fraction, so that sizes are compared as whole numbers
 COUNTERS = (1 << 20, 1 << 24)  # of shingles by hash: as many as rows, within these; any number is right
 COUNTER_SLICE = 4_096
+PARITY_WORDS = 16  # of a set's parities; they tell apart what differs in some 700 shingles and fewer
 SEEN = 1 << 18  # sets a task remembers, to name the prefix of repeated ones once
 
 
@@ -128,6 +131,11 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _bits_apart(a: str, b: str) -> Column:
+    """In how many bits two arrays of longs differ."""
+    return F.aggregate(F.zip_with(a, b, _distance), F.lit(0), lambda total, d: total + d)
+
+
 def _shared_bits(parts: int) -> list[int]:
     """For every two of ``parts`` blocks, the mask of their bits (as a signed 64-bit number)."""
     edges = [64 * i // parts for i in range(parts + 1)]
@@ -259,8 +267,7 @@ def candidates(classes: DataFrame, numbers: range) -> DataFrame:
     pairs = keyed.mapInArrow(run, "a bigint, b bigint").distinct()
     left = classes.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
     right = classes.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    apart = F.aggregate(F.zip_with("fa", "fb", _distance), F.lit(0), lambda total, d: total + d)
-    return pairs.join(left, "a").join(right, "b").where(apart <= WIDE_DISTANCE).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_bits_apart("fa", "fb") <= WIDE_DISTANCE).select("a", "b")
 
 
 def _shingle_set(text: bytes | None, shingle: int):
@@ -278,15 +285,25 @@ def _set_hash(shingles) -> tuple[int, int]:
     return signed(whole >> 64), signed(whole & ((1 << 64) - 1))
 
 
+def _parities(shingles):
+    """Little-endian bits: whether a set has an odd number of shingles with the bit's number as top bits."""
+    import numpy as np
+
+    size = 64 * PARITY_WORDS
+    places = (shingles >> np.uint64(65 - size.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=size) & 1, bitorder="little").tobytes()
+
+
 def _prints(df: DataFrame, key: str, text: str, shingle: int, counters: int) -> DataFrame:
-    """(key, _content, h1, h2, fp) of each row: a hash and the wide fingerprint of its set of shingles;
-    no hash without words. Rows with a ``slice`` hold each task's counts of shingles by ``counters``.
+    """(key, _content, h1, h2, fp, parity) of each row: a hash, the wide fingerprint and the parities of
+    its set of shingles; no hash without words. Rows with a ``slice`` hold each task's counts of shingles
+    by ``counters``.
     """
     ship_package(df.sparkSession)
     content = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     source = df.select(F.col(key).alias("_key"), content.alias("_content"), F.encode(text, "UTF-8").alias("_text"))
     kind = source.schema["_key"].dataType.simpleString()
-    names = ["_key", "_content", "h1", "h2", "fp", "slice", "counts"]
+    names = ["_key", "_content", "h1", "h2", "fp", "parity", "slice", "counts"]
 
     def run(batches):
         import zlib
@@ -299,20 +316,26 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int, counters: int) ->
             none = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, prints, places = [], [], []
+                ids, prints, parities, places = [], [], [], []
                 for t in part.column(2):
                     own = _shingle_set(t.as_py(), shingle)
                     bits = _counts(own, WIDE_WORDS) * 2 > len(own)
                     prints.append(np.packbits(bits, bitorder="little").tobytes())
+                    parities.append(_parities(own))
                     ids.append(_set_hash(own) if len(own) else (None, None))
                     places.append(own % np.uint64(counters))
                 np.add.at(counts, np.concatenate(places).astype(np.int64), 1)
-                ends = np.arange(len(prints) + 1, dtype=np.int32) * WIDE_WORDS
-                fp = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(prints), dtype="<i8")))
+                fp, parity = (
+                    pa.ListArray.from_arrays(
+                        pa.array(np.arange(len(own) + 1, dtype=np.int32) * words),
+                        pa.array(np.frombuffer(b"".join(own), dtype="<i8")),
+                    )
+                    for own, words in ((prints, WIDE_WORDS), (parities, PARITY_WORDS))
+                )
                 h1, h2 = zip(*ids, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), fp,
-                     pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
+                     parity, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())],
                     names=names,
                 )
         slices = [n for n, part in enumerate(counts.reshape(-1, COUNTER_SLICE)) if part.any()]
@@ -322,12 +345,14 @@ def _prints(df: DataFrame, key: str, text: str, shingle: int, counters: int) ->
         size = len(slices)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(size, none), pa.nulls(size, pa.string()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()),
-             pa.nulls(size, pa.list_(pa.int64())), pa.array(slices, pa.int32()), pa.array(packed, pa.binary())],
+             *[pa.nulls(size, pa.list_(pa.int64()))] * 2, pa.array(slices, pa.int32()), pa.array(packed, pa.binary())],
             names=names,
         )
 
     return source.mapInArrow(
-        run, f"_key {kind}, _content string, h1 bigint, h2 bigint, fp array<bigint>, slice int, counts binary"
+        run,
+        f"_key {kind}, _content string, h1 bigint, h2 bigint, fp array<bigint>, parity array<bigint>, "
+        "slice int, counts binary",
     )
 
 
@@ -444,10 +469,13 @@ def _repeated(prefixes: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``_prefixes`` and (h1, h2, id, root) → every pair (a, b) of different roots that can reach ``SIMILARITY``.
+    """``_prefixes`` and (h1, h2, id, root, parity) → every pair (a, b) of different roots that can
+    reach ``SIMILARITY``.
 
     Of two similar sets, the first shingle they share is in the prefix of the larger one and in a
-    shorter prefix of the smaller one, and as many shingles follow it in both as must be shared. Pairs
+    shorter prefix of the smaller one, and as many shingles follow it in both as must be shared. Two sets
+    differ in as many shingles at least as their parities in bits, which leaves out most pairs of a group
+    whose members fall short of ``SIMILARITY``. Pairs
     of roots are found before their members, so rows of one root never meet each other. Sets meet by
     shingle and band of sizes: similar ones are in one band or in neighbouring ones.
     """
@@ -455,7 +483,7 @@ def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     both = part + whole  # shared >= part / both * (size of one + size of the other)
     repeated = stage(_repeated(prefixes), "repeated")
     shared = stage(
-        repeated.join(roots.select("h1", "h2", "id", "root"), ["h1", "h2"]).drop("h1", "h2"), "shared"
+        repeated.join(roots.select("h1", "h2", "id", "root", "parity"), ["h1", "h2"]).drop("h1", "h2"), "shared"
     )
     release(repeated)
     across = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -487,12 +515,14 @@ def prefix_pairs(prefixes: DataFrame, roots: DataFrame) -> DataFrame:
     )
     side = lambda frame, n: frame.select(
         "shingle", "band", F.col("root").alias(f"r{n}"), F.col("id").alias(n),
-        F.col("size").alias(f"s{n}"), F.col("tail").alias(f"t{n}"),
+        F.col("size").alias(f"s{n}"), F.col("tail").alias(f"t{n}"), F.col("parity").alias(f"p{n}"),
     )
     ordered = (F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
+    sizes = F.col("sa") + F.col("sb")
+    allowed = (sizes - _bits_apart("pa", "pb")) * both >= sizes * (2 * part)
     found = stage(
         root_pairs.join(side(small, "a"), ["shingle", "band", "ra"]).join(side(rows, "b"), ["shingle", "band", "rb"])
-        .where(ordered & reach("ta", "tb", "sa", "sb"))
+        .where(ordered & reach("ta", "tb", "sa", "sb") & allowed)
         .select("a", "b").distinct(),
         "exact_pairs",
     )
@@ -557,7 +587,8 @@ def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", s
     prints = wide.where("slice IS NULL")
     order = F.struct(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key")).alias("k"), "_content")
     classes = stage(
-        prints.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min(order).alias("low"), F.first("fp").alias("fp"))
+        prints.where("h1 IS NOT NULL").groupBy("h1", "h2")
+        .agg(F.min(order).alias("low"), F.first("fp").alias("fp"), F.first("parity").alias("parity"))
         .withColumn("id", F.monotonically_increasing_id()),  # as written; two sets never share one
         "wide_classes",
     )

@@ -120,6 +120,40 @@ def test_distinct_documents_in_families(spark):
     assert {r.doc_id for r in simhash.distinct_documents(df).collect()} == want
 
 
+def test_pairs_that_fall_short_are_not_named(spark, monkeypatch):
+    """A group just below 0.8 whose members share rare shingles: few pairs beyond the links are named."""
+    rng = random.Random(17)
+    common = [f"c{rng.randrange(10**9)}" for _ in range(150)]
+    rows = []
+    for n in range(120):
+        text = list(common)
+        for at in rng.sample(range(15), 4):  # few places and words, so that members share what is rare
+            text[10 * at + 2] = f"e{rng.randrange(2)}"
+        rows.append((n, " ".join(text)))
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+
+    def copies(a, b):
+        shared = len(sets[a] & sets[b])
+        return 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared)
+
+    within = sum(copies(a, b) for a in sets for b in sets if a < b)
+    assert within < 120 * 119 / 2 / 4
+    named, written = [], simhash.stage
+
+    def counted(df, name, *more):
+        out = written(df, name, *more)
+        if name == "exact_pairs":
+            named.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", counted)
+    monkeypatch.setattr(simhash, "candidates", lambda classes, numbers: classes.selectExpr("id a", "id b").limit(0))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = set(roots(sorted(sets), copies).values())
+    assert {r.doc_id for r in simhash.distinct_documents(df).collect()} == want
+    assert within <= named[0] < 2 * within
+
+
 def test_prefix_join_needs_no_early_links(spark, monkeypatch):
     monkeypatch.setattr(simhash, "candidates", lambda classes, numbers: classes.selectExpr("id a", "id b").limit(0))
     test_distinct_documents_in_families(spark)
