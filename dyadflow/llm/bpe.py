@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 
@@ -31,6 +32,8 @@ from dyadflow.session import ship_package
 VOCABULARY = "word_bpe_49k.json"
 CHUNKS_KEPT = 200_000  # distinct chunks a task remembers; beyond that it starts anew
 LONGEST_KEPT = 64  # characters of a chunk worth remembering
+OPENING = 4  # letters that tell how long the tokens are that start with them
+SCANNED = 32  # symbols of a word whose merges are found by scanning it; longer ones keep a heap
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to Python, not to the vocabulary's rules
 _ASCII_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -69,6 +72,9 @@ class Merges:
         made = self.rank >= 0
         self.proper &= bool((self.rank[self.left[made]] < self.rank[made]).all())
         self.proper &= bool((self.rank[self.right[made]] < self.rank[made]).all())
+        self.ranks = {pair: rank for pair, (rank, _) in self.rank_of.items()}
+        self.whole = {rank: whole for rank, whole in self.rank_of.values()}
+        self.never = len(model["merges"])
         keys = np.array([x * size + y for x, y in self.rank_of], dtype=np.int64)
         order = np.argsort(keys)
         self.size, self.keys = size, keys[order]
@@ -79,6 +85,11 @@ class Merges:
         self.final = {t.removesuffix(self.end): i for t, i in vocab.items() if t.endswith(self.end) and sound[i]}
         self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.end) and sound[i]}
         self.longest = max(map(len, vocab))
+        # how far a token goes that starts with these letters; no longer ones need be tried
+        self.reach: dict[str, int] = {}
+        for token in self.inner:
+            start = token[:OPENING]
+            self.reach[start] = max(len(token), self.reach.get(start, 0))
 
     def _sound(self):
         """Whether each token encodes to itself: both parts do, and their border holds until they merge."""
@@ -124,17 +135,17 @@ class Merges:
         if whole is not None:
             return [whole]
         out, at, size = [], 0, len(word)
-        inner, final = self.inner, self.final
+        inner, final, reach = self.inner.get, self.final.get, self.reach.get
         while at < size:
-            end = at + self.longest
-            if end >= size:
-                token = final.get(word[at:])
+            if at + self.longest >= size:
+                token = final(word[at:])
                 if token is not None:
                     out.append(token)
                     return out
-                end = size - 1
+            # tokens shorter than an opening have an entry of their own, if any
+            end = min(at + reach(word[at : at + OPENING], OPENING - 1), size - 1)
             while end > at:
-                token = inner.get(word[at:end])
+                token = inner(word[at:end])
                 if token is not None:
                     break
                 end -= 1
@@ -148,6 +159,8 @@ class Merges:
         """The merges themselves, lowest rank first and leftmost among equals."""
         letters = [*word[:-1], word[-1] + self.end]
         ids = [self.symbols[s] for s in letters if s in self.symbols]  # unknown symbols are dropped
+        if len(ids) <= SCANNED:
+            return self._scanned(ids)
         size = len(ids)
         before, after = list(range(-1, size - 1)), list(range(1, size + 1))
         look = self.rank_of.get
@@ -168,6 +181,20 @@ class Merges:
                 heapq.heappush(heap, (found[0], before[i], found[1]))
         return [i for i in ids if i >= 0]
 
+    def _scanned(self, ids: list[int]) -> list[int]:
+        """``exact`` of a short word's symbols: the lowest rank is looked for anew after each merge."""
+        look, never = self.ranks.get, self.never
+        ranks = [look(pair, never) for pair in itertools.pairwise(ids)]
+        while ranks and (rank := min(ranks)) != never:
+            at = ranks.index(rank)  # leftmost among equals
+            ids[at] = self.whole[rank]
+            del ids[at + 1], ranks[at]
+            if at:
+                ranks[at - 1] = look((ids[at - 1], ids[at]), never)
+            if at < len(ranks):
+                ranks[at] = look((ids[at], ids[at + 1]), never)
+        return ids
+
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, written in byte letters."""
         import numpy as np
@@ -212,6 +239,9 @@ class Coder:
         # the pattern's classes as they are for ASCII, lower case
         classes = split[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9")
         self.ascii_words = re.compile(classes, re.ASCII)
+        # letters alone are one word, where all that is tried before starts with an apostrophe
+        before, found, _ = f"|{classes}|".partition("|[a-z]+|")
+        self.whole_words = bool(found) and all(part[:1] == "'" for part in before[1:].split("|") if before)
         self.letters = dict(enumerate(byte_letters()))
         self.special = {t["content"]: t["id"] for t in own["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
@@ -226,7 +256,10 @@ class Coder:
 
     def _words(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            found = self.ascii_words.findall(chunk.lower())
+            lower = chunk.lower()
+            if self.whole_words and lower.isalpha():
+                return [lower]
+            found = self.ascii_words.findall(lower)
             return [w if w.isprintable() else w.translate(self.letters) for w in found]
         return [w for w, _ in self.splitter.pre_tokenize_str(self.normal.normalize_str(chunk))]
 
@@ -251,12 +284,17 @@ class Coder:
             else:
                 parts.append(self._words(chunk))
         words = list({p for own in parts for p in own if isinstance(p, str)})
-        ids = dict(zip(words, self.merges.encode(words), strict=True)) if words else {}
+        coded: dict[str | int, bytes] = {}
+        if words:
+            ids = self.merges.encode(words)
+            flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=self.u4).tobytes()
+            ends = list(itertools.accumulate((4 * len(i) for i in ids), initial=0))
+            coded = {w: flat[a:b] for w, a, b in zip(words, ends, ends[1:], strict=False)}
+        coded |= {number: number.to_bytes(4, "little") for number in self.special.values()}
         passing = {}
         for chunk, own in zip(fresh, parts, strict=True):
-            flat = [i for p in own for i in (ids[p] if isinstance(p, str) else (p,))]
             target = known if len(chunk) <= LONGEST_KEPT else passing
-            target[chunk] = np.array(flat, dtype=self.u4).tobytes()
+            target[chunk] = coded[own[0]] if len(own) == 1 else b"".join(map(coded.__getitem__, own))
         if not passing:
             return [b"".join(map(known.__getitem__, own)) for own in parted]
         return [b"".join(known[c] if c in known else passing[c] for c in own) for own in parted]

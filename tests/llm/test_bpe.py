@@ -53,6 +53,32 @@ def test_check_tells_exactly_which_guesses_hold(coder):
     assert min(agree.values()) > 100  # both outcomes were met
 
 
+def test_guesses_try_only_lengths_that_occur(coder, monkeypatch):
+    """Tokens are looked up no longer than any that starts with the same letters."""
+
+    class Counted(dict):
+        tries = 0
+
+        def get(self, *key):
+            Counted.tries += 1
+            return super().get(*key)
+
+    draw = random.Random(8)
+    words = ["".join(draw.choice("abcdeinorst") for _ in range(12)) for _ in range(2_000)]
+    wanted = [coder.merges.greedy(w) for w in words]
+    monkeypatch.setattr(coder.merges, "inner", Counted(coder.merges.inner))
+    assert [coder.merges.greedy(w) for w in words] == wanted
+    assert Counted.tries < 3 * sum(map(len, wanted))
+
+
+def test_short_and_long_words_are_merged_alike(coder, monkeypatch):
+    draw = random.Random(7)
+    words = ["".join(draw.choice("aabceehinorstt") for _ in range(draw.randrange(1, 40))) for _ in range(4_000)]
+    scanned = [coder.merges.exact(w) for w in words]
+    monkeypatch.setattr(bpe, "SCANNED", 0)
+    assert [coder.merges.exact(w) for w in words] == scanned
+
+
 def test_small_memory_gives_the_same(coder, monkeypatch):
     texts = odd_texts()[:500]
     wanted = coder.encode(texts)
