@@ -52,14 +52,18 @@ def rolling_origin(
     )
 
 
-def fold_members(plan: DataFrame, matches: DataFrame) -> DataFrame:
-    """Long listing (fold_index, role, match_id) of a rolling-origin plan."""
+def fold_members(plan: DataFrame, matches: DataFrame, *keep: str) -> DataFrame:
+    """Long listing (fold_index, role, match_id) of a rolling-origin plan, with columns of ``matches`` to keep.
+
+    A match's rows are made where the match is; what they carry needs no join with the listing, which
+    has folds x matches rows.
+    """
     folds = plan.agg(F.max("fold_index")).first()[0]
-    placed = matches.select("match_id", "event_id").join(
+    placed = matches.select("match_id", "event_id", *keep).join(
         plan.select("event_id", "fold_index", "first_train_fold"), "event_id"
     )
     test = placed.where("fold_index IS NOT NULL").select(
-        "fold_index", F.lit("test").alias("role"), "match_id"
+        "fold_index", F.lit("test").alias("role"), "match_id", *keep
     )
     if folds is None:
         return test
@@ -67,6 +71,7 @@ def fold_members(plan: DataFrame, matches: DataFrame) -> DataFrame:
         F.explode(F.sequence("first_train_fold", F.lit(folds).cast("long"))).alias("fold_index"),
         F.lit("train").alias("role"),
         "match_id",
+        *keep,
     )
     return train.unionByName(test)
 

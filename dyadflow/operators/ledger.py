@@ -65,8 +65,12 @@ def prediction_problems(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("p_win").isNull() | (F.col("p_win") < 0) | (F.col("p_win") > 1))
 
 
-def _hashed_inputs(matches: DataFrame, *keep: str) -> DataFrame:
-    """(keep, match_id, role, payload, payload_sha256): both forms a match takes as a rating model's input."""
+#: What a match reads like as an input, by role; ``folds.fold_members`` can carry these along.
+INPUTS = ("train_input", "test_input")
+
+
+def with_inputs(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``INPUTS``, the payload and its digest in both forms a rating model takes a match in."""
     fields = {
         "match_id": F.col("match_id"),
         "scheduled_at": F.date_format("scheduled_at", "yyyy-MM-dd HH:mm:ss"),
@@ -76,23 +80,33 @@ def _hashed_inputs(matches: DataFrame, *keep: str) -> DataFrame:
         "missingness": F.lit("not_applicable"),
     }
     won = {"train": (F.col("result_a") == "win").cast("string"), "test": F.lit(None).cast("string")}
-    per_role = matches.select(
-        *keep, "match_id",
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(role).alias("role"), canonical(fields | {"athlete_a_won": w}).alias("payload"))
-                for role, w in won.items()
-            ])
-        ).alias("p"),
-    )
-    return per_role.select(
-        *keep, "match_id", "p.role", "p.payload", F.sha2("p.payload", 256).alias("payload_sha256")
-    )
+    texts = {role: canonical(fields | {"athlete_a_won": w}) for role, w in won.items()}
+    return matches.withColumns({
+        f"{role}_input": F.struct(text.alias("payload"), F.sha2(text, 256).alias("payload_sha256"))
+        for role, text in texts.items()
+    })
+
 
+def _hashed_inputs(matches: DataFrame, *keep: str) -> DataFrame:
+    """(keep, match_id, role, payload, payload_sha256): a row for each of a match's ``INPUTS``."""
+    both = F.array(*[
+        F.struct(F.lit(c.removesuffix("_input")).alias("role"), F.col(c).alias("input")) for c in INPUTS
+    ])
+    per_role = with_inputs(matches).select(*keep, "match_id", F.explode(both).alias("p"))
+    return per_role.select(*keep, "match_id", "p.role", "p.input.*")
+
+
+def rating_payloads(members: DataFrame, matches: DataFrame | None = None) -> DataFrame:
+    """Input row per (fold, role, match) of a rating model; only training rows carry the outcome.
 
-def rating_payloads(members: DataFrame, matches: DataFrame) -> DataFrame:
-    """Input row per (fold, role, match) of a rating model; only training rows carry the outcome."""
-    # a training row reads the same in every fold, so it is built and hashed once per match
+    A training row reads the same in every fold, so it is built and hashed once per match. Members that
+    carry ``INPUTS`` have all they need; any other listing is joined with its matches.
+    """
+    if set(INPUTS) <= set(members.columns):
+        own = F.when(F.col("role") == "train", F.col("train_input")).otherwise(F.col("test_input"))
+        return members.select("match_id", "role", "fold_index", own.alias("p")).select(
+            "match_id", "role", "fold_index", "p.payload", "p.payload_sha256"
+        )
     return members.select("fold_index", "role", "match_id").join(_hashed_inputs(matches), ["match_id", "role"])
 
 
@@ -122,8 +136,14 @@ PIECES = [f"_p{i}" for i in range(5)]
 
 
 def _piece_sums() -> list:
-    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
-    return [F.sum(piece(i)).alias(name) for i, name in enumerate(PIECES)]
+    # a piece has 60 bits: its halves add up as plain longs, which is much quicker than decimals
+    piece = lambda i: F.conv(F.substring("payload_sha256", 1 + 15 * i, 15), 16, 10).cast("long")
+    half = F.lit(1 << 30).cast("decimal(20,0)")
+    return [
+        (F.sum(F.shiftright(piece(i), 30)).cast("decimal(20,0)") * half + F.sum(piece(i).bitwiseAND((1 << 30) - 1)))
+        .cast("decimal(38,0)").alias(name)
+        for i, name in enumerate(PIECES)
+    ]
 
 
 def _sealed(summed: DataFrame, *by: str) -> DataFrame:
@@ -381,7 +401,8 @@ class Ledger:
     def _put(self, name: str, run_id: int, rows: DataFrame) -> None:
         attempt = self._running(run_id)["attempt"]
         plain = rows.drop("run_id", "attempt")
-        plain.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}/attempt={attempt}")
+        folder = f"{self.root}/{name}/run_id={run_id}/attempt={attempt}"
+        plain.write.mode("overwrite").option("compression", "zstd").parquet(folder)  # kept for good, half of it digests
 
     def append_inputs(self, run_id: int, payloads: DataFrame) -> None:
         self._put("feature_rows", run_id, payloads)

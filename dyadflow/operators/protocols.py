@@ -14,7 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadflow.operators import folds
-from dyadflow.operators.ledger import Ledger, evaluate_lockbox_gate, rating_payloads, run_experiment
+from dyadflow.operators.ledger import (
+    INPUTS,
+    Ledger,
+    evaluate_lockbox_gate,
+    rating_payloads,
+    run_experiment,
+    with_inputs,
+)
 
 KINDS = ("rolling_origin", "lockbox_retrospective", "lockbox_prospective")
 
@@ -205,7 +212,7 @@ def evaluate_lockbox(
     }
     if dry_run:
         return result
-    payloads = rating_payloads(folds.fold_members(plan, placed), placed)
+    payloads = rating_payloads(folds.fold_members(plan, with_inputs(placed), *INPUTS))
     run_experiment(
         ledger, run_id, family_name, family, placed, plan, payloads,
         protocol_id=protocol.protocol_id, feature_schema=feature_schema, git_sha=git_sha,

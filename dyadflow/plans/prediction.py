@@ -1013,9 +1013,8 @@ hashed AS (SELECT *, sha256(payload) AS payload_sha256 FROM payloads)
 )
 def rating_payloads(spark, sf):
     matches, _, plan = _plan(spark, sf)
-    return ledger.rating_payloads(folds.fold_members(plan, matches), matches).withColumn(
-        "fold_index", F.col("fold_index").cast("long")
-    )
+    members = folds.fold_members(plan, ledger.with_inputs(matches), *ledger.INPUTS)
+    return ledger.rating_payloads(members).withColumn("fold_index", F.col("fold_index").cast("long"))
 
 
 _PIECES = ", ".join(

@@ -50,7 +50,7 @@ UNION ALL SELECT 2, 'failed', false, trains + tests, 0, 0, false FROM n, trained
 def ledger_runs(spark, sf):
     """A run that completes and one whose probabilities are refused, from the ledger they wrote."""
     matches, _, plan = _plan(spark, sf)
-    payloads = stage(ledger.rating_payloads(folds.fold_members(plan, matches), matches), "payloads")
+    payloads = ledger.rating_payloads(folds.fold_members(plan, ledger.with_inputs(matches), *ledger.INPUTS))
     book = ledger.Ledger(spark, stage_path(spark, "ledger"))
 
     def beyond(given, folded):
@@ -101,10 +101,11 @@ def ledger_retries(spark, sf):
     """A run that fails after its predictions and is run again, one that stays failed, one with an id handed
     out; then every table is written to and every id started once more."""
     matches, _, plan = _plan(spark, sf)
-    members = stage(folds.fold_members(plan, matches), "members")
-    payloads = stage(ledger.rating_payloads(members, matches), "payloads")
+    athletes = ("athlete_a_id", "athlete_b_id")
+    members = folds.fold_members(plan, ledger.with_inputs(matches), *athletes, *ledger.INPUTS)
+    payloads = ledger.rating_payloads(members)
     book = ledger.Ledger(spark, stage_path(spark, "ledger"))
-    even = members.where("role = 'test'").select("fold_index", "match_id", F.lit(0.5).alias("p_a"))
+    even = members.where("role = 'test'").select("fold_index", "match_id", *athletes, F.lit(0.5).alias("p_a"))
     params = even.select("fold_index", "match_id", F.lit("p").alias("name"), F.col("p_a").alias("value"))
 
     def started(run_id):
@@ -116,8 +117,7 @@ def ledger_retries(spark, sf):
     def attempt(run_id, *, fails):
         run_id = started(run_id)
         book.append_inputs(run_id, payloads)
-        named = even.join(matches.select("match_id", "athlete_a_id", "athlete_b_id"), "match_id")
-        book.append_predictions(run_id, named)
+        book.append_predictions(run_id, even)
         book.append_params(run_id, params)
         if fails:
             book.fail(run_id, "lost on the way")
