@@ -135,7 +135,8 @@ def _slopes(rows: DataFrame, numeric: Sequence[str], levels: Sequence[tuple[str,
     """Loss, gradient and curvature of every fold's weights in one pass over its training rows.
 
     ``at`` maps a fold to (position, weights). Tasks add up their own rows; what reaches the driver is
-    a square of the number of coefficients for each fold, whatever the rows.
+    a square of the number of coefficients for each fold, whatever the rows. A batch is put in the order
+    of its positions once: what a fold trains on is then the first of its rows, read in place.
     """
     import numpy as np
 
@@ -143,28 +144,33 @@ def _slopes(rows: DataFrame, numeric: Sequence[str], levels: Sequence[tuple[str,
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         sums = {fold: np.zeros(1 + size + size * size) for fold in at}
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name))
-            x = np.ones((batch.num_rows, size))
+            place = column("position").to_numpy(zero_copy_only=False)
+            order = np.argsort(place, kind="stable")
+            place = place[order]
+            label = column("label").to_numpy(zero_copy_only=False)[order]
+            x = np.empty((size, batch.num_rows))
             for i, name in enumerate(numeric):
-                x[:, i] = column(name).to_numpy(zero_copy_only=False)
-            values = {c: np.array(column(c).to_pylist(), dtype=object) for c in {c for c, _ in levels}}
+                x[i] = column(name).to_numpy(zero_copy_only=False)[order]
             for i, (name, level) in enumerate(levels, len(numeric)):
-                x[:, i] = values[name] == level
-            label = column("label").to_numpy(zero_copy_only=False)
-            position = column("position").to_numpy(zero_copy_only=False)
+                held = pc.fill_null(pc.equal(column(name), pa.scalar(level, pa.string())), False)
+                x[i] = held.to_numpy(zero_copy_only=False)[order]
+            x[-1] = 1.0
+            sign = 1.0 - 2.0 * label
             for fold, (until, weights) in at.items():
-                mine = position < until
-                if not mine.any():
+                n = int(np.searchsorted(place, until))
+                if n == 0:
                     continue
-                own, sign = x[mine], 1.0 - 2.0 * label[mine]
-                z = own @ weights
+                own = x[:, :n]
+                z = weights @ own
                 p = 0.5 * (1.0 + np.tanh(0.5 * z))
-                curved = own.T @ (own * (p * (1.0 - p))[:, None])
+                curved = (own * (p * (1.0 - p))) @ own.T
                 sums[fold] += np.concatenate(
-                    [[np.logaddexp(0.0, sign * z).sum()], own.T @ (p - label[mine]), curved.ravel()]
+                    [[np.logaddexp(0.0, sign[:n] * z).sum()], own @ (p - label[:n]), curved.ravel()]
                 )
         yield pa.RecordBatch.from_pydict({
             "fold": pa.array(list(sums), pa.int64()),
@@ -224,16 +230,21 @@ def _weighed(rows: DataFrame, params: DataFrame, numeric: Sequence[str], categor
 
     Names a fold has no weight for count as zero: unseen categories, and all of a degenerate fold.
     """
-    per_fold = params.groupBy("fold_index").agg(
-        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_w")
-    )
-    weight = lambda name: F.coalesce(F.try_element_at("_w", name), F.lit(0.0))
-    score = weight(F.lit("intercept"))
-    for name in numeric:
-        score = score + F.col(name) * weight(F.lit(name))
+    plain = ["intercept", *numeric]
+    of = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    # a row per fold, whose size Spark cannot know beforehand: unasked it would move all rows to it
+    per_fold = F.broadcast(params.groupBy("fold_index").agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_w"),
+        *[F.coalesce(of(name), F.lit(0.0)).alias(f"_w{i}") for i, name in enumerate(plain)],
+    ))
+    score = F.col("_w0")
+    for i, name in enumerate(numeric, 1):
+        score = score + F.col(name) * F.col(f"_w{i}")
     for name in categorical:
-        score = score + weight(F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit(""))))
-    return rows.join(per_fold, "fold_index").withColumn("_z", score)
+        level = F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit("")))
+        score = score + F.coalesce(F.try_element_at("_w", level), F.lit(0.0))
+    given = rows.columns
+    return rows.join(per_fold, "fold_index").select(*given, "_w", score.alias("_z"))
 
 
 def fit_logistic_folds(
@@ -308,18 +319,24 @@ def logistic_gradient(
     """
     rows = train.withColumn("fold_index", F.explode(_trained_by(folds)))
     miss = 1.0 / (1.0 + F.exp(-F.col("_z"))) - F.col("label")
-    one = lambda name, value: F.struct(name.alias("name"), value.cast("double").alias("x"))
-    inputs = [
-        *[one(F.lit(n), F.col(n)) for n in numeric],
-        *[one(F.concat(F.lit(f"{n}="), F.col(n)), F.lit(1)) for n in categorical],
-        one(F.lit("intercept"), F.lit(1)),
-    ]
-    listed = _weighed(rows, params, numeric, categorical).select(
-        "fold_index", miss.alias("miss"), F.explode(F.array(*inputs)).alias("i")
+    weighed = _weighed(rows, params, numeric, categorical).withColumn("_miss", miss)
+    # added up by what the rows share, so that a row is read once and not once for every name
+    met = weighed.groupBy("fold_index", *categorical).agg(
+        F.sum("_miss").alias("_miss"), F.count(F.lit(1)).cast("double").alias("_n"),
+        *[F.sum(F.col("_miss") * F.col(n)).alias(f"_slope{i}") for i, n in enumerate(numeric)],
+        *[F.sum(F.abs(n)).alias(f"_size{i}") for i, n in enumerate(numeric)],
     )
-    sums = listed.groupBy("fold_index", F.col("i.name").alias("name")).agg(
-        F.sum(F.col("miss") * F.col("i.x")).alias("slope"), F.sum(F.abs("i.x")).alias("size")
+    one = lambda name, slope, size: F.struct(
+        name.alias("name"), F.col(slope).alias("slope"), F.col(size).cast("double").alias("size")
     )
+    inputs = [
+        *[one(F.lit(n), f"_slope{i}", f"_size{i}") for i, n in enumerate(numeric)],
+        *[one(F.concat(F.lit(f"{n}="), F.col(n)), "_miss", "_n") for n in categorical],
+        one(F.lit("intercept"), "_miss", "_n"),
+    ]
+    sums = met.select("fold_index", F.explode(F.array(*inputs)).alias("i")).groupBy(
+        "fold_index", F.col("i.name").alias("name")
+    ).agg(F.sum("i.slope").alias("slope"), F.sum("i.size").alias("size"))
     penalty = F.when(F.col("name") == "intercept", 0.0).otherwise(F.col("value"))
     gradient = (F.col("slope") + penalty) / F.greatest("size", F.lit(1.0))
     return sums.join(params, ["fold_index", "name"]).select("fold_index", "name", gradient.alias("gradient"))
@@ -345,17 +362,30 @@ def tabular_inputs(
     return train, test
 
 
+def placed_inputs(train: DataFrame, test: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``tabular_inputs`` along a plan, written once: training rows by position, test rows by fold."""
+    place = plan.select("event_id", "position", "fold_index")
+    return (
+        stage(train.join(place, "event_id"), "train-rows"),
+        stage(test.join(place, "event_id").where("fold_index IS NOT NULL"), "test-rows"),
+    )
+
+
 def logistic_family(
-    evidence: DataFrame | None = None, default_ratings: DataFrame | None = None
+    evidence: DataFrame | None = None,
+    default_ratings: DataFrame | None = None,
+    placed: tuple[DataFrame, DataFrame] | None = None,
 ) -> ModelFamily:
-    """Logistic regression on history features, with the evidence columns when given."""
+    """Logistic regression on history features, with the evidence columns when given.
+
+    ``placed`` are the inputs of the same matches and plan, for a caller that goes on with them.
+    """
     numeric = NUMERIC if evidence is None else [*NUMERIC, *EVIDENCE]
 
     def run(matches: DataFrame, plan: DataFrame) -> FoldRun:
-        train, test = tabular_inputs(_eligible(matches, plan), evidence, default_ratings)
-        place = plan.select("event_id", "position", "fold_index")
-        train = stage(train.join(place, "event_id"), "train-rows")
-        test = stage(test.join(place, "event_id").where("fold_index IS NOT NULL"), "test-rows")
+        train, test = placed or placed_inputs(
+            *tabular_inputs(_eligible(matches, plan), evidence, default_ratings), plan
+        )
         return fit_logistic_folds(train, test, _folds(plan), numeric)
 
     return ModelFamily("tabular", run)

@@ -20,6 +20,8 @@ def dyads(spark: SparkSession, sf: str) -> DataFrame:
     """Every contest, completed or not: the first two suppliers of each order."""
     per_supplier = (
         table(spark, sf, "lineitem")
+        .select("l_orderkey", "l_suppkey", "l_quantity")
+        .repartition("l_orderkey")  # once for all three steps, which each keep to an order
         .groupBy("l_orderkey", "l_suppkey")
         .agg(F.sum("l_quantity").alias("score"))
     )

@@ -704,10 +704,10 @@ FROM matches m JOIN eligible e USING (event_id) JOIN tested t ON e.position < t.
 def logreg_gradient(spark, sf):
     """What a fitted fold's weights leave of the penalised gradient, and which names it has learned."""
     matches, _, plan = _plan(spark, sf)
-    run = models.logistic_family().run(matches, plan)
-    place = plan.select("event_id", "position")
-    train = models.tabular_inputs(matches)[0].join(place, "event_id")
-    slopes = models.logistic_gradient(train, run.params, models._folds(plan))
+    # the rows the folds are fitted on, made once for both
+    train, test = models.placed_inputs(*models.tabular_inputs(models._eligible(matches, plan)), plan)
+    run = models.logistic_family(placed=(train, test)).run(matches, plan)
+    slopes = models.logistic_gradient(train.drop("fold_index"), run.params, models._folds(plan))
     return slopes.select("fold_index", "name", (F.round("gradient", 6) + 0.0).alias("gradient"))
 
 
