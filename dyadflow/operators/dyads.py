@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,18 @@ def competitor_names(competitors: DataFrame, athletes: DataFrame) -> DataFrame:
     )
 
 
-def sides(matches: DataFrame, *extra: str) -> DataFrame:
-    """Long form: one row per match and athlete, ``won`` as 1.0 or 0.0."""
+def sides(matches: DataFrame, *extra: str, on_a: Sequence[str] = ()) -> DataFrame:
+    """Long form: one row per match and athlete, ``won`` as 1.0 or 0.0.
+
+    ``on_a`` are columns that one row per match is enough to carry: side b has null there.
+    """
     a_won = F.when(F.col("result_a") == "win", 1.0).otherwise(0.0)
     side = lambda name, me, other, won: F.struct(
         F.lit(name).alias("side"),
         F.col(me).alias("athlete_id"),
         F.col(other).alias("opponent_id"),
         won.alias("won"),
+        *[F.when(F.lit(name == "a"), F.col(c)).alias(c) for c in on_a],
     )
     return matches.select(
         *MATCH_ORDER,

@@ -8,6 +8,8 @@ neither replays history per row.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,18 +52,18 @@ def head_to_head(matches: DataFrame, max_rows_per_task: int | None = None) -> Da
 
 
 def athlete_history(
-    matches: DataFrame, *extra: str, max_rows_per_task: int | None = None
+    matches: DataFrame, *extra: str, on_a: Sequence[str] = (), max_rows_per_task: int | None = None
 ) -> DataFrame:
     """Long form with win rate, recent form, days since the last match and the ids they rest on."""
     history = running_before(
-        sides(matches, *extra), ["athlete_id"], MATCH_ORDER,
+        sides(matches, *extra, on_a=on_a), ["athlete_id"], MATCH_ORDER,
         sums={"_n": F.lit(1), "_wins": "won"},
         last={"_last": LastK(_LAST_FIELDS, K)},
         max_rows_per_task=max_rows_per_task,
     )
     last = F.col("_last")
     return history.select(
-        *MATCH_ORDER, *extra, "side", "athlete_id", "opponent_id", "won",
+        *MATCH_ORDER, *extra, *on_a, "side", "athlete_id", "opponent_id", "won",
         F.col("_n").alias("prior_matches"),
         _win_rate("_wins", "_n").alias("win_rate"),
         _recent_form(last).alias("recent_form"),
@@ -84,10 +86,10 @@ def history_features(
     """
     keep = ("arm", "weight_class", "result_a", "head_to_head_diff")
     long = athlete_history(
-        head_to_head(matches, max_rows_per_task), *keep, max_rows_per_task=max_rows_per_task
+        head_to_head(matches, max_rows_per_task), on_a=keep, max_rows_per_task=max_rows_per_task
     )
     wide = long.groupBy("match_id").agg(
-        *[F.first(c).alias(c) for c in (*MATCH_ORDER[:3], *keep)],
+        *[per_side(c, "a").alias(c) for c in (*MATCH_ORDER[:3], *keep)],
         *[
             per_side(c, s)
             for c in (
@@ -177,7 +179,7 @@ def cutoff_features(matches: DataFrame, max_rows_per_task: int | None = None) ->
         group_bound=n_events,
     ).drop("_diff", "_met")
     with_pair = matches.join(pair_events, [*PAIR, *EVENT_ORDER])
-    long = sides(with_pair, *keep, "head_to_head_diff", "prior_meetings").join(
+    long = sides(with_pair, on_a=(*keep, "head_to_head_diff", "prior_meetings")).join(
         _event_state(matches, max_rows_per_task, n_events), ["athlete_id", *EVENT_ORDER]
     )
     last = F.col("_last")
@@ -189,7 +191,7 @@ def cutoff_features(matches: DataFrame, max_rows_per_task: int | None = None) ->
         _days_since(last).alias("days_since_last_match"),
     )
     return valued.groupBy("match_id").agg(
-        *[F.first(c).alias(c) for c in (*MATCH_ORDER[:3], *keep, "head_to_head_diff", "prior_meetings")],
+        *[per_side(c, "a").alias(c) for c in (*MATCH_ORDER[:3], *keep, "head_to_head_diff", "prior_meetings")],
         *[
             per_side(c, s)
             for c in (

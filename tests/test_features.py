@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dyadflow.operators import features, ratings
+from dyadflow.operators.dyads import sides
 from tests.helpers import match, matches, random_matches
 
 
@@ -118,3 +119,9 @@ def test_default_ratings_only_replace_debut_values(spark):
     got = _rows(features.history_features(df, ratings.elo_history(df), supplied))
     assert got[1]["prior_rating_a"] == 1800.0 and got[1]["prior_rating_b"] == 1500.0
     assert got[2]["prior_rating_a"] == 1512.0 and got[2]["prior_rating_b"] == 1300.0
+
+
+def test_columns_of_a_match_travel_once(spark):
+    df = matches(spark, [match(1, 0, 1, 2, arm="left"), match(2, 1, 1, 3, "loss")])
+    rows = {(r["match_id"], r["side"]): (r["arm"], r["result_a"]) for r in sides(df, on_a=("arm", "result_a")).collect()}
+    assert rows == {(1, "a"): ("left", "win"), (1, "b"): (None, None), (2, "a"): ("right", "loss"), (2, "b"): (None, None)}
